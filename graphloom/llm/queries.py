@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from graphloom.llm.minhash import op7_near_duplicates
 from graphloom.llm.token_counts import op4_token_counts
 from graphloom.llm.token_output import op8_token_output
 
 QUERIES = {
     "op4_token_counts": op4_token_counts,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_token_output": op8_token_output,
 }
 
