@@ -5,15 +5,19 @@ from __future__ import annotations
 from graphloom.llm.decontaminate import op1_decontamination
 from graphloom.llm.language import op10_language_id
 from graphloom.llm.minhash import op7_near_duplicates
+from graphloom.llm.mixing import OP2_SQL, op2_mixing
 from graphloom.llm.token_counts import op4_token_counts
 from graphloom.llm.token_output import op8_token_output
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_mixing": op2_mixing,
     "op4_token_counts": op4_token_counts,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_output": op8_token_output,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": OP2_SQL,
+}
