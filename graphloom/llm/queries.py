@@ -6,12 +6,14 @@ from graphloom.llm.decontaminate import op1_decontamination
 from graphloom.llm.language import op10_language_id
 from graphloom.llm.minhash import op7_near_duplicates
 from graphloom.llm.mixing import OP2_SQL, op2_mixing
+from graphloom.llm.private import op3_personal_data
 from graphloom.llm.token_counts import op4_token_counts
 from graphloom.llm.token_output import op8_token_output
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
+    "op3_personal_data": op3_personal_data,
     "op4_token_counts": op4_token_counts,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_output": op8_token_output,
