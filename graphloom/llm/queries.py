@@ -9,12 +9,14 @@ from graphloom.llm.mixing import OP2_SQL, op2_mixing
 from graphloom.llm.private import op3_personal_data
 from graphloom.llm.token_counts import op4_token_counts
 from graphloom.llm.token_output import op8_token_output
+from graphloom.llm.vectors import op6_near_vectors
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
     "op3_personal_data": op3_personal_data,
     "op4_token_counts": op4_token_counts,
+    "op6_near_vectors": op6_near_vectors,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_output": op8_token_output,
     "op10_language_id": op10_language_id,
