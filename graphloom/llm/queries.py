@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from graphloom.llm.decontaminate import op1_decontamination
+from graphloom.llm.html_text import op5_html_text
 from graphloom.llm.language import op10_language_id
 from graphloom.llm.minhash import op7_near_duplicates
 from graphloom.llm.mixing import OP2_SQL, op2_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_personal_data": op3_personal_data,
     "op4_token_counts": op4_token_counts,
+    "op5_html_text": op5_html_text,
     "op6_near_vectors": op6_near_vectors,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_output": op8_token_output,
