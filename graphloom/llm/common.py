@@ -51,6 +51,12 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def spread(df: DataFrame, name: str, rows_per_task: int = 20_000) -> DataFrame:
-    """`df` dealt out evenly by row, for stages whose work a scan's few splits would bunch."""
-    return df.repartition(max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+#: Rows of one long column that are broadcast at most (16 MB); more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id is not in `ids` (doc_id, written already); null doc_ids stay."""
+    ids = ids.select("doc_id").where("doc_id is not null")
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*docs.columns)

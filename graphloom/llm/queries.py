@@ -8,6 +8,7 @@ from graphloom.llm.language import op10_language_id
 from graphloom.llm.minhash import op7_near_duplicates
 from graphloom.llm.mixing import OP2_SQL, op2_mixing
 from graphloom.llm.private import op3_personal_data
+from graphloom.llm.quotes import op9_chat_threads
 from graphloom.llm.token_counts import op4_token_counts
 from graphloom.llm.token_output import op8_token_output
 from graphloom.llm.vectors import op6_near_vectors
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_near_vectors": op6_near_vectors,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_output": op8_token_output,
+    "op9_chat_threads": op9_chat_threads,
     "op10_language_id": op10_language_id,
 }
 
