@@ -13,35 +13,46 @@ PREVIEW_WORDS = 100
 FILE_EXTENSIONS = ("rs", "ts", "tsx", "js", "jsx", "py", "md", "go", "java", "rb", "c", "cpp", "h")
 #: Path parts that mark library code.
 LIBRARY_MARKERS = ("node_modules/", ".venv/", "site-packages/", "/dist/", "/build/", "/target/", ".eggs/", ".npm/", ".cache/")
-
-
-def stem(word: Column) -> Column:
-    """Suffix stripping in five steps, at most one rule each; ASCII words of four letters or more.
-
-    A rule is (suffix, what replaces it, least length left, whether a doubled final consonant is
-    made single, endings that forbid it).
+#: Stemming steps of (suffix, what replaces it, least length left, whether a doubled
+#: final consonant is made single, endings that forbid the rule).
+STEM_STEPS = (
+    (("ies", "y", 2, False, ()), ("es", "", 3, False, ()), ("s", "", 3, False, ("ss", "us", "is"))),
+    (("ied", "y", 2, False, ()), ("ing", "", 4, True, ()), ("ed", "", 4, True, ())),
+    (("ization", "ize", 3, False, ()), ("ation", "ate", 3, False, ()), ("tion", "t", 3, False, ()), ("sion", "s", 3, False, ()), ("ment", "", 4, False, ()), ("ness", "", 3, False, ())),
+    (("er", "", 4, True, ()), ("or", "", 4, False, ())),
+    (("e", "", 3, False, ()),),
+)
+
+
+def stems(words: Column) -> Column:
+    """Suffix stripping of an array of words, in the steps of `STEM_STEPS`, at most one rule each; only
+    ASCII words of four letters or more change.
+
+    Each step is a `transform` of its own: its variable stands for the word, where nested
+    expressions would repeat all earlier steps in every rule.
     """
-    steps = (
-        (("ies", "y", 2, False, ""), ("es", "", 3, False, ""), ("s", "", 3, False, "(?:ss|us|is)$")),
-        (("ied", "y", 2, False, ""), ("ing", "", 4, True, ""), ("ed", "", 4, True, "")),
-        (("ization", "ize", 3, False, ""), ("ation", "ate", 3, False, ""), ("tion", "t", 3, False, ""), ("sion", "s", 3, False, ""), ("ment", "", 4, False, ""), ("ness", "", 3, False, "")),
-        (("er", "", 4, True, ""), ("or", "", 4, False, "")),
-        (("e", "", 3, False, ""),),
-    )
 
     def apply(w: Column, rules: tuple) -> Column:
         out = None
         for suffix, new, least, single, forbidden in rules:
             left = F.substring(w, F.lit(1), F.length(w) - len(suffix))
             fits = w.endswith(suffix) & (F.length(w) >= least + len(suffix))
-            if forbidden:
-                fits = fits & ~w.rlike(forbidden)
+            for ending in forbidden:
+                fits = fits & ~w.endswith(ending)
             value = F.regexp_replace(left, r"([^aeiou])\1$", "$1") if single else F.concat(left, F.lit(new))
             out = F.when(fits, value) if out is None else out.when(fits, value)
         return out.otherwise(w)
 
-    fit = word.rlike(r"^[\x00-\x7F]{4,}$")
-    return F.when(fit, reduce(apply, steps, word)).otherwise(word)
+    # what must not change goes through the steps behind a mark that no suffix matches
+    fit = r"^[\x00-\x7F]{4,}$"
+    marked = F.transform(words, lambda w: F.when(w.rlike(fit), w).otherwise(F.concat(w, F.lit("\u0001"))))
+    done = reduce(lambda ws, rules: F.transform(ws, lambda w: apply(w, rules)), STEM_STEPS, marked)
+    return F.transform(done, lambda w: F.rtrim(w, F.lit("\u0001")))
+
+
+def stem(word: Column) -> Column:
+    """`stems` of one word."""
+    return F.element_at(stems(F.array(word)), 1)
 
 
 def split_camel(text: Column) -> Column:
@@ -59,7 +70,7 @@ def raw_tokens(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Stemmed tokens of a text, in order, repeats kept."""
-    return F.transform(raw_tokens(text), stem)
+    return stems(raw_tokens(text))
 
 
 def preview(text: Column, words: int = PREVIEW_WORDS) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom import queries_graph
+from graphloom import queries_graph, queries_search
 
-QUERIES = {**queries_graph.QUERIES}
-SQL = {**queries_graph.SQL}
+QUERIES = {**queries_graph.QUERIES, **queries_search.QUERIES}
+SQL = {**queries_graph.SQL, **queries_search.SQL}

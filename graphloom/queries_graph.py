@@ -154,7 +154,7 @@ SQL["degree_by_relationship"] = GRAPH_SQL + " select id, relationship, sum(o)::b
 
 LOG_SQL = """
 log as (
-  select event_id as seq, event_type as kind, user_id, event_id as n, epoch(ts)::bigint as secs, 'u' || user_id as uid,
+  select event_id as seq, event_type as kind, user_id, event_id as n, floor(epoch(ts))::bigint as secs, 'u' || user_id as uid,
          case when event_type = 'click' then 'u' || ((user_id * 7 + event_id) % 150) else 'p' || (event_id % 50) end as target
   from events
 ), touched as (
