@@ -6,7 +6,9 @@ pairs). A candidate pair's signatures are compared batch by batch, and the pair
 the posterior probability that its similarity reaches the threshold falls below the chosen miss
 probability; survivors are held against each other on their full sets. Links join classes to
 components. Where a bucket still holds more than one component, its pairs of different components
-are compared the same way, so that no link between candidates is lost.
+are compared the same way, so that no link between candidates is lost: in grids of bounded blocks,
+each pair in the first bucket it shares, and a block gives a spanning forest of its links, never
+its pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from graphloom.llm.common import table, written
 from graphloom.llm.components import components
 
 BATCH = 24
+#: Rows of a bucket's block, on average.
+BLOCK = 256
 #: Bits of the filter that picks documents for full comparison; a fixed size, whatever the corpus.
 FILTER_BITS = 1 << 23
 _WORDS_KEPT = 1 << 20
@@ -139,22 +143,25 @@ def _signed(docs: DataFrame, plan: Plan) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, signature binary")
 
 
+def bucket_hashes(signatures: np.ndarray, plan: Plan) -> np.ndarray:
+    """(documents, bands) hash of each band of each signature."""
+    x = signatures.reshape(-1, plan.bands, plan.rows).astype(np.uint64)
+    h = np.broadcast_to((np.arange(plan.bands, dtype=np.uint64) + np.uint64(1)) * _K2, x.shape[:2]).copy()
+    for i in range(plan.rows):
+        h = (h ^ (h >> np.uint64(29))) * _K1 + x[:, :, i]
+    h ^= h >> np.uint64(32)
+    h *= _K2
+    return h.view(np.int64)
+
+
 def _banded(classes: DataFrame, plan: Plan) -> DataFrame:
     """(bucket, rep) for each band of each class."""
-    bands, rows = plan.bands, plan.rows
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = (np.arange(bands, dtype=np.uint64) + np.uint64(1)) * _K2
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            s = np.frombuffer(b"".join(_column(batch, "signature").to_pylist()), np.uint32).reshape(-1, bands, rows).astype(np.uint64)
-            h = np.broadcast_to(salt, s.shape[:2]).copy()
-            for i in range(rows):
-                h = (h ^ (h >> np.uint64(29))) * _K1 + s[:, :, i]
-            h ^= h >> np.uint64(32)
-            h *= _K2
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), pa.array(np.repeat(_column(batch, "rep").to_numpy(), bands))], names=["bucket", "rep"])
+            if batch.num_rows:
+                h = bucket_hashes(np.frombuffer(b"".join(_column(batch, "signature").to_pylist()), np.uint32), plan)
+                yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1)), pa.array(np.repeat(_column(batch, "rep").to_numpy(), plan.bands))], names=["bucket", "rep"])
 
     return classes.select("rep", "signature").mapInArrow(cut, "bucket long, rep long")
 
@@ -179,17 +186,15 @@ def _posterior(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     return both.mapInArrow(prune, "a long, b long")
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs of classes whose full sets meet the threshold.
+def _sets(involved: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """(rep, shingle_set) of the documents in `involved` (rep) and some more.
 
-    Sets are made again from the texts of the documents that stand for a class in some pair. A
-    filter of fixed size tells the scan which these are, so texts are never shuffled; what it lets
-    through besides is dropped by the join.
+    Sets are made again from the texts. A filter of fixed size tells the scan which are wanted, so
+    texts are never shuffled; what it lets through besides is dropped by a later join.
     """
-    spark, k, num, den = docs.sparkSession, plan.words, plan.num, plan.den
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    bit = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS))
-    words = involved.select((bit / 32).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {FILTER_BITS}) % 32 as int))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    spark, k = docs.sparkSession, plan.words
+    bit = f"pmod(xxhash64(rep), {FILTER_BITS})"
+    words = involved.selectExpr(f"cast({bit} / 32 as int) as word", f"shiftleft(1L, cast({bit} % 32 as int)) as bits").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     bits = np.zeros(FILTER_BITS // 32, np.uint32)
     got = words.toArrow()  # at most FILTER_BITS / 32 rows
     bits[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
@@ -205,7 +210,13 @@ def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, plan: Plan) ->
                 yield pa.RecordBatch.from_arrays([_column(batch, "doc_id").take(pa.array(part)), pa.array([shingles(texts[int(i)].as_py(), k).tobytes() for i in part], pa.binary())], names=["rep", "shingle_set"])
 
     scanned = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
-    full = written(scanned.mapInArrow(sets, "rep long, shingle_set binary"), "shingle-sets")
+    return written(scanned.mapInArrow(sets, "rep long, shingle_set binary"), "shingle-sets")
+
+
+def _exact(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) whose full sets meet the threshold."""
+    num, den = plan.num, plan.den
+    full = _sets(pairs.select("a").union(pairs.select("b")).toDF("rep"), docs, plan)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,6 +235,119 @@ def _exact(pairs: DataFrame, docs: DataFrame, classes: DataFrame, plan: Plan) ->
     return pieces.mapInArrow(verify, "a long, b long")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """`rows` (bucket, rep, ...) in cells of a grid over each bucket's blocks of about `BLOCK` rows.
+
+    A row of block i goes to the cells (i, k) and (k, i): every two rows of a bucket meet in one
+    cell, and no cell holds more than two blocks.
+    """
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).cast("int")
+    placed = rows.join(sizes, "bucket").withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = placed.withColumns({"x": F.least("own", "k"), "y": F.greatest("own", "k")}).drop("k", "blocks")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(n, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "own", "rep")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one cell after another."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([_column(batch, c).to_numpy().astype(np.int64) for c in ("bucket", "x", "y")], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            key = tuple(keys[lo])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _candidates(cell: pa.Table, plan: Plan) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): a row of the cell and the later ones that it may be linked with.
+
+    Pairs of one component, of one block in a cell of two, and those that share an earlier band
+    are left out; the others must survive every batch of their signatures.
+    """
+    component, own = cell["component"].to_numpy(), cell["own"].to_numpy()
+    x, y, bucket = cell["x"][0].as_py(), cell["y"][0].as_py(), cell["bucket"][0].as_py()
+    signature = np.frombuffer(b"".join(cell["signature"].to_pylist()), np.uint32).reshape(len(own), -1)
+    hashes = bucket_hashes(signature, plan)
+    steps = plan.least_matches()
+    for i in np.flatnonzero(own == x).tolist():
+        j = np.arange(i + 1, len(own)) if x == y else np.flatnonzero(own == y)
+        j = j[component[j] != component[i]]
+        at, equal = 0, np.zeros(len(j), np.int64)
+        for n, m in steps:
+            if not len(j):
+                break
+            equal = equal + (signature[j, at:n] == signature[i, at:n]).sum(1)
+            j, equal, at = j[equal >= m], equal[equal >= m], n
+        if len(j):
+            shared = hashes[j] == hashes[i]
+            j = j[hashes[i][shared.argmax(1)] == bucket]
+        if len(j):
+            yield i, j
+
+
+def _open_links(rows: DataFrame, docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
+    """(a, b): links that join what links between different components of a bucket join.
+
+    `rows`: bucket, rep, component. First signatures alone tell which rows have a candidate left;
+    only these are met again with their sets.
+    """
+    num, den = plan.num, plan.den
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches):
+            hit = np.zeros(cell.num_rows, bool)
+            for i, j in _candidates(cell, plan):
+                hit[i] = True
+                hit[j] = True
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([cell[c].combine_chunks().filter(pa.array(hit)) for c in ("bucket", "rep", "component")], names=["bucket", "rep", "component"])
+
+    schema = "bucket long, rep long, component long"
+    signed = rows.join(classes.select("rep", "signature"), "rep")
+    flagged = _dealt(signed).select("bucket", "x", "y", "own", "rep", "component", "signature").mapInArrow(flag, schema)
+    flagged = written(flagged.distinct(), "flagged")
+    full = _sets(flagged.select("rep").distinct(), docs, plan)
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches):
+            rep, label, sets, edges = cell["rep"].to_numpy(), None, None, []
+            for i, j in _candidates(cell, plan):
+                if label is None:
+                    label = np.unique(cell["component"].to_numpy(), return_inverse=True)[1]
+                    sets = [np.frombuffer(c.as_buffer(), np.uint64) for c in cell["shingle_set"]]
+                    sizes = np.array([len(x) for x in sets])
+                    values = np.concatenate(sets)
+                    order = np.argsort(values, kind="stable")
+                    values, owner = values[order], np.repeat(np.arange(len(sets)), sizes)[order]
+                j = j[label[j] != label[i]]
+                if not len(j):
+                    continue
+                lo, hi = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+                n = hi - lo
+                both = np.bincount(owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(sets))[j]
+                for k in j[den * both >= num * (sizes[i] + sizes[j] - both)].tolist():
+                    if label[k] != label[i]:
+                        edges.append((rep[i], rep[k]))
+                        label[label == label[k]] = label[i]
+            if edges:
+                a, b = zip(*edges, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    whole = flagged.join(classes.select("rep", "signature"), "rep").join(full, "rep")
+    return _dealt(whole).select("bucket", "x", "y", "own", "rep", "component", "signature", "shingle_set").mapInArrow(link, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -243,18 +367,14 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     hubs = banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("bucket", "hub")
     members = written(banded.join(hubs, "bucket"), "buckets")
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(_exact(written(_posterior(stars, classes, plan), "survivors"), docs, classes, plan), "links")
+    links = written(_exact(written(_posterior(stars, classes, plan), "survivors"), docs, plan), "links")
     found = components(links)
     # buckets that still hold different components: their pairs of different components
     labelled = members.select("bucket", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("bucket")
-    rest = written(labelled.join(open_, "bucket"), "open-buckets")
-    pairs = rest.toDF("bucket", "a", "ca").join(rest.toDF("bucket", "b", "cb"), "bucket").where("a < b and ca <> cb").select("a", "b").distinct()
-    more = written(_posterior(pairs.join(stars, ["a", "b"], "left_anti"), classes, plan), "survivors")
+    more = written(_open_links(written(labelled.join(open_, "bucket"), "open-buckets"), docs, classes, plan), "links")
     if more.take(1):
-        more = written(_exact(more, docs, classes, plan), "links")
-        if more.take(1):
-            found = components(found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
+        found = components(found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
     groups = classes.select("set_key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(groups, "set_key", "left")
     component = F.coalesce("component", "doc_id")
