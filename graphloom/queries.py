@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom import queries_graph, queries_search
+from graphloom import queries_docs, queries_graph, queries_search
 
-QUERIES = {**queries_graph.QUERIES, **queries_search.QUERIES}
-SQL = {**queries_graph.SQL, **queries_search.SQL}
+QUERIES = {**queries_graph.QUERIES, **queries_search.QUERIES, **queries_docs.QUERIES}
+SQL = {**queries_graph.SQL, **queries_search.SQL, **queries_docs.SQL}
