@@ -43,7 +43,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(jvm_path):
         return spark.createDataFrame([], LOG)
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     # splits, one row each: their rank gives the leading part of seq
     splits = lines.select("file", "block").distinct()
     ranked = splits.groupBy().agg(F.array_sort(F.collect_list(F.struct("file", "block"))).alias("all")).select(F.posexplode("all").alias("rank", "s")).select(F.col("rank").cast("bigint").alias("rank"), "s.file", "s.block")
@@ -62,7 +62,7 @@ def to_json(log: DataFrame) -> DataFrame:
 def append(log: DataFrame, path: str) -> None:
     """Adds events, in order of seq, as new files whose names sort behind the old ones."""
     spark = log.sparkSession
-    n = spark.read.text(path).select(F.col("_metadata.file_path")).distinct().count() if _exists(spark, path) else 0
+    n = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path")).distinct().count() if _exists(spark, path) else 0
     part = f"{path.rstrip('/')}/batch-{n:012d}-{uuid.uuid4().hex[:8]}"
     to_json(log.orderBy("seq")).write.text(part)
 
