@@ -18,10 +18,15 @@ from graphloom.llm.mixing import Recipe, choose, plan, with_patterns
 from graphloom.llm.token_output import binary_output
 
 
+def _held(docs: DataFrame, *columns: str) -> DataFrame:
+    """`columns`, and whole rows as `_doc`, so that no column of `docs` meets one that a stage adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *columns)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; without labelled rows to learn from, all of them."""
     model = learn(docs)
-    return docs if model is None else identify(docs, model).where("accepted").select(*docs.columns)
+    return docs if model is None else identify(_held(docs, "doc_id", "text"), model).where("accepted").select("_doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix reads them: not at all, once or twice."""
     recipe, members = Recipe(), F.array("source")
     sized = written(with_patterns(docs.select("doc_id", "text", "source"), members, recipe).select("doc_id", "pattern", "size", "h"), "sized")
-    chosen = choose(with_patterns(docs, members, recipe), plan(sized, recipe)).where("times > 0")
-    return chosen.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("_time")).drop("_time")
+    chosen = choose(with_patterns(_held(docs, "doc_id", "text", "source"), members, recipe), plan(sized, recipe)).where("times > 0")
+    return chosen.select("_doc", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("_doc.*")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
