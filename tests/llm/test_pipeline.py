@@ -21,6 +21,17 @@ def test_stages(spark):
     assert sorted((r.doc_id, r.n_tokens) for r in out) == want
 
 
+def test_clashing_columns_and_nulls(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "'keep' as pattern", "'keep' as score", "'keep' as h", "'keep' as bucket")
+    odd = spark.createDataFrame([(None, "some words are here", None, None, 0), (-1, None, None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "'keep' as pattern", "'keep' as score", "'keep' as h", "'keep' as bucket")
+    docs = docs.unionByName(odd)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, SF).cache()
+        assert docs.columns == before.columns
+        assert docs.where("pattern <> 'keep' or score <> 'keep' or h <> 'keep' or bucket <> 'keep'").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
 def test_run_on_nothing(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))

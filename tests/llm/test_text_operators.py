@@ -109,6 +109,19 @@ def test_mix_overlapping_sources(spark):
     assert mixing.mix(docs.limit(0), F.col("sources")).count() == 0
 
 
+def test_mix_null_source(spark):
+    r = random.Random(2)
+    rows = [(i, "w " * r.randrange(1, 30), r.choice(["a", "b", None]), 0) for i in range(200)] + [(1, "w w", None, 0)] * 2 + [(None, None, None, 0)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string, h int")).collect()
+    assert len(got) == len(rows)
+    sizes = {s: sum(len((t or "").split()) for _, t, x, _ in rows if x == s) for s in ("a", "b", None)}
+    for s, goal in mixing.targets(sizes, mixing.Recipe()).items():
+        taken = sum(g.taken for g in got if g.source_size == sizes[s] and abs(g.target - goal) < 1e-6)
+        assert abs(taken - goal) <= 30
+    nothing = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
+    assert [(g.size, g.taken, g.target) for g in mixing.mix(nothing).collect()] == [(0, 0, 0.0)] * 2
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
@@ -178,7 +191,9 @@ def page(body, i=0):
     return f"<!DOCTYPE html><html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><nav><a href='/'>Home</a></nav><div class=\"ad\">Buy {i % 2}</div>{body}<footer>&copy; us</footer>"
 
 
-def test_main_text(spark):
+@pytest.mark.parametrize("most", [200_000, -1])
+def test_main_text(spark, monkeypatch, most):
+    monkeypatch.setattr("graphloom.llm.html_text.BROADCAST_NODES", most)
     article = "<article><h1>A &amp; B</h1><p><b>one\n two<br><p>three &lt;4&gt;</p><div class=comments><p>nice!</p></div></article>"
     rows = [(1, "http://a.example/x", page(article), "x"), (2, None, None, "x"), (3, "::bad", "", "x"), (4, "http://b.example/", "<p>plain <i>text</i><p>more", "x"), (4, "http://b.example/", "<p>plain <i>text</i><p>more", "x"), (5, "http://a.example/y", "<p>open <b", "x")]
     # a host whose boxes without telling names repeat, while contents differ
