@@ -53,7 +53,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """`encode(texts)` gives (ids of all texts in order, number of ids of each text)."""
 
-    def __init__(self, path: str, slots_log2: int = 22, fill: float = 0.55):
+    def __init__(self, path: str, slots_log2: int = 21, fill: float = 0.55):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 

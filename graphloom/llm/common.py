@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +47,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """`f`, a task's function, giving free memory back when it ends: workers live on and would hold
+    what their largest task took."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        try:
+            yield from f(*args, **kwargs)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # not this C library
+
+    return run
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Within it, tasks that are run get Arrow batches of at most so many rows: for rows of much data."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import released, table
 
 #: Characters of benchmark windows that are searched for in one pass over the texts; a larger
 #: benchmark takes several passes, so what is broadcast never grows with it.
@@ -234,6 +234,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
     for idx in _passes(items, rules):
         shared = spark.sparkContext.broadcast(idx)
 
+        @released
         def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []

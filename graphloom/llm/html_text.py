@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table, written
+from graphloom.llm.common import released, table, written
 
 #: Distinct pages of a host that a node must be on before its importance counts.
 LEAST_PAGES = 8
@@ -174,6 +174,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
     before they are shuffled, so a host's pages never meet in one place.
     """
 
+    @released
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["host", "page", "node", "inside", "content", "look"]
         for batch in batches:
@@ -228,6 +229,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         by_host = low.groupBy("host").agg(F.collect_set("node").alias("drop"))
         shown = shown.withColumn("host", F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))).join(by_host, "host", "left").select("page_id", "url", "html", "drop")
 
+    @released
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             urls, sources, drops = (batch.column(batch.schema.get_field_index(c)) for c in ("url", "html", "drop"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import table
+from graphloom.llm.common import released, table
 
 #: Length of feature vectors; n-grams are hashed into it.
 DIM = 4096
@@ -118,6 +118,7 @@ def fit(labelled: DataFrame) -> Model | None:
     rate = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, (1.3 * each + 20) / n))])[F.col("lang")]
     sample = labelled.select("doc_id", "text", "lang", chance.alias("chance")).where(F.col("chance") < rate)
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
@@ -151,6 +152,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
     kept = docs.select(*rest)
 
+    @released
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:

@@ -23,15 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table, written
+from graphloom.llm.common import batches_of, released, table, written
 from graphloom.llm.components import components
 
 BATCH = 24
 #: Rows of a bucket's block, on average.
 BLOCK = 256
+#: Rows of signatures or sets in an Arrow batch.
+PAIRS = 1000
 #: Bits of the filter that picks documents for full comparison; a fixed size, whatever the corpus.
 FILTER_BITS = 1 << 23
-_WORDS_KEPT = 1 << 20
+_WORDS_KEPT = 1 << 18
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -129,6 +131,7 @@ def _signed(docs: DataFrame, plan: Plan) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits of the set; null if empty), signature."""
     size, k = plan.size, plan.words
 
+    @released
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(size)
         for batch in batches:
@@ -157,6 +160,7 @@ def bucket_hashes(signatures: np.ndarray, plan: Plan) -> np.ndarray:
 def _banded(classes: DataFrame, plan: Plan) -> DataFrame:
     """(bucket, rep) for each band of each class."""
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -170,6 +174,7 @@ def _posterior(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     """The pairs (a, b) that no batch of their signatures rules out."""
     steps = plan.least_matches()
 
+    @released
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             alive = np.arange(batch.num_rows)
@@ -200,6 +205,7 @@ def _sets(involved: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     bits[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
     shared = spark.sparkContext.broadcast(bits)
 
+    @released
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = _column(batch, "bit").to_numpy()
@@ -218,6 +224,7 @@ def _exact(pairs: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     num, den = plan.num, plan.den
     full = _sets(pairs.select("a").union(pairs.select("b")).toDF("rep"), docs, plan)
 
+    @released
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -304,6 +311,7 @@ def _open_links(rows: DataFrame, docs: DataFrame, classes: DataFrame, plan: Plan
     """
     num, den = plan.num, plan.den
 
+    @released
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _cells(batches):
             hit = np.zeros(cell.num_rows, bool)
@@ -319,6 +327,7 @@ def _open_links(rows: DataFrame, docs: DataFrame, classes: DataFrame, plan: Plan
     flagged = written(flagged.distinct(), "flagged")
     full = _sets(flagged.select("rep").distinct(), docs, plan)
 
+    @released
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in _cells(batches):
             rep, label, sets, edges = cell["rep"].to_numpy(), None, None, []
@@ -367,12 +376,16 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     hubs = banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("bucket", "hub")
     members = written(banded.join(hubs, "bucket"), "buckets")
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(_exact(written(_posterior(stars, classes, plan), "survivors"), docs, plan), "links")
+    spark = docs.sparkSession
+    with batches_of(spark, PAIRS):
+        links = written(_exact(written(_posterior(stars, classes, plan), "survivors"), docs, plan), "links")
     found = components(links)
     # buckets that still hold different components: their pairs of different components
     labelled = members.select("bucket", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("bucket")
-    more = written(_open_links(written(labelled.join(open_, "bucket"), "open-buckets"), docs, classes, plan), "links")
+    rest = written(labelled.join(open_, "bucket"), "open-buckets")
+    with batches_of(spark, PAIRS):
+        more = written(_open_links(rest, docs, classes, plan), "links")
     if more.take(1):
         found = components(found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
     groups = classes.select("set_key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))

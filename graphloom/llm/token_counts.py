@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import new_path, table
+from graphloom.llm.common import new_path, released, table
 from graphloom.llm.token_output import tokenised
 
 BLOCK_IDS = 1 << 19
@@ -28,6 +28,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_id
     `order` lists, for people who check the scan, the doc_ids whose end lies in the block.
     """
 
+    @released
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -77,6 +78,7 @@ def scan(store: DataFrame, end_id: int, width: int) -> DataFrame:
     """
     kind = "<u2" if width == 2 else "<u4"
 
+    @released
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shards, blocks, cells, names = (batch.column(batch.schema.get_field_index(x)) for x in ("shard", "block", "ids", "order"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import encoder
-from graphloom.llm.common import new_path, table
+from graphloom.llm.common import new_path, released, table
 
 BLOCK_IDS = 1 << 20
 #: Stands for a null doc_id in files.
@@ -126,6 +126,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
     dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), place.alias("part"))
     dealt = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "text")
 
+    @released
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _schema(BLOCKS)
         ids: list[np.ndarray] = []
@@ -159,6 +160,7 @@ def read_blocks(spark, path: str) -> DataFrame:
     before, total = {}, 0
     for k in sorted(parts):
         before[k], total = total, total + parts[k]
+    @released
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table, written
+from graphloom.llm.common import released, table, written
 from graphloom.llm.components import components
 
 #: Vectors that the quantisers are fitted on, at most.
@@ -98,6 +98,7 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
 def _prepared(vectors: DataFrame) -> DataFrame:
     """vec_id, key (of the unit vector; null where it links with nothing), x (unit vector, float64 bytes)."""
 
+    @released
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, cells = [], []
@@ -143,6 +144,7 @@ def links(classes: DataFrame, n: int, dim: int, cosine: float) -> tuple[DataFram
         sample = np.frombuffer(b"".join(r[0] for r in classes.select("x").limit(SAMPLE).collect()), float).reshape(-1, dim)
     shared = spark.sparkContext.broadcast(fit(sample, n))
 
+    @released
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -161,6 +163,7 @@ def links(classes: DataFrame, n: int, dim: int, cosine: float) -> tuple[DataFram
         queries[row[0]] = row[1]
     wide, tall = np.maximum(1, -(-members // MEMBERS)), np.maximum(1, -(-(queries + members) // QUERIES))
 
+    @released
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["list", "across", "down", "role", "rep", "weight", "x"]
         for batch in batches:
@@ -183,6 +186,7 @@ def links(classes: DataFrame, n: int, dim: int, cosine: float) -> tuple[DataFram
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n_blocks, 2000) // 8)
     dealt = dealt.repartition(parts, "list", "across", "down").sortWithinPartitions("list", "across", "down", "role", "rep")
 
+    @released
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         block: tuple | None = None
