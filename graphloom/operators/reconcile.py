@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators import code, markdown
@@ -12,6 +12,8 @@ from graphloom.plans.graph import Graph
 
 #: Ranks of event kinds within a batch: what is removed goes first, links come after all nodes.
 _ORDER = {"delete": 0, "file": 1, "node": 2, "declared": 3, "reference": 4}
+#: Bits of seq that order the events of one rank.
+SEQ_BITS = 44
 _COLUMNS = ("event_type", "id", "label", "from_id", "to_id", "relationship", "properties")
 
 
@@ -64,8 +66,8 @@ def events(files: DataFrame, graph: Graph, now_ms: int, first_seq: int = 0) -> D
         _event(restored, "reference", "LINK_NODES", from_id=F.col("from_id"), to_id=F.col("to_id"), relationship=F.col("relationship"), properties=F.col("properties")),
     ]
     batch = reduce(DataFrame.unionAll, parts)
-    # seq within a batch: one rank after another, any order inside
-    seq = F.lit(first_seq) + F.row_number().over(Window.orderBy("rank", "id", "from_id", "to_id", "relationship")) - 1
+    # seq within a batch: one rank after another, inside a rank by a hash of the row, which needs no shuffle and is the same when a task runs again
+    seq = F.lit(first_seq) + F.shiftleft(F.col("rank").cast("bigint"), SEQ_BITS) + F.pmod(F.xxhash64(*_COLUMNS), F.lit(1 << SEQ_BITS))
     return batch.select(seq.cast("bigint").alias("seq"), F.lit(1).alias("version"), (stamp / 1000).cast("bigint").alias("timestamp"), "event_type", "id", "label", "from_id", "to_id", "relationship", F.lit(None).cast("string").alias("direction"), "properties")
 
 
