@@ -36,6 +36,7 @@ def events(files: DataFrame, graph: Graph, now_ms: int, first_seq: int = 0) -> D
     classes and sections, and these are linked to it. Calls and imports are resolved by name against
     the graph and the batch, section references against the same, so that documents find code
     that comes with them. References of other documents to what was deleted are restored by name.
+    seq starts at `first_seq` and has gaps; rows that are equal share one.
     """
     full = files.where("content is not null and trim(content) <> ''")
     gone = deletions(files, graph)
