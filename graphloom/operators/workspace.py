@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from graphloom.plans.graph import Graph
 from graphloom.sources.log import event
 
+#: Active workspaces that are broadcast at most; more of them are joined by shuffle, dealt in PARTS.
+BROADCAST_SPACES = 100_000
+PARTS = 64
+
 
 def active(graph: Graph) -> DataFrame:
     return graph.nodes.where("label = 'Workspace' and status = 'active'")
@@ -43,8 +47,12 @@ def mapped(graph: Graph, path: str) -> DataFrame:
     """(from_id, to_id, relationship, properties): active workspaces to all that `path` declares."""
     inside = graph.edges.where((F.col("relationship") == "DECLARED_IN") & (F.col("to_id") == path)).select(F.col("from_id").alias("to_id")).distinct()
     spaces = active(graph).select(F.col("id").alias("from_id"))
-    # few active workspaces: their number is the broadcast's bound
-    return inside.join(F.broadcast(spaces.limit(1000)), F.lit(True)).select("from_id", "to_id", F.lit("MAPPED_TO").alias("relationship"), F.lit('{"is_stale":false}').alias("properties"))
+    if spaces.limit(BROADCAST_SPACES + 1).count() <= BROADCAST_SPACES:
+        pairs = inside.crossJoin(F.broadcast(spaces))
+    else:
+        dealt = inside.withColumn("part", F.pmod(F.xxhash64("to_id"), F.lit(PARTS)).cast("int"))
+        pairs = dealt.join(spaces.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), "part")
+    return pairs.select("from_id", "to_id", F.lit("MAPPED_TO").alias("relationship"), F.lit('{"is_stale":false}').alias("properties"))
 
 
 def notes(graph: Graph, limit: int = 5) -> DataFrame:
