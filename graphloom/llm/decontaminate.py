@@ -1,6 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Benchmark items are cut into overlapping windows. A passage within k edits of a window of w
+Benchmark items are cut into overlapping windows of two lengths: long ones, within which edits may
+stand unevenly, and short, dense ones, so that an excerpt is found wherever it starts. A passage within k edits of a window of w
 characters shares at least w - q + 1 - k q of its q-grams, all of them on diagonals (text place
 less window place) that differ by k at most. Shared q-grams are counted in diagonal bands of
 width 2 (k + 1) that overlap by half, so some band holds them all; bands with fewer are left out,
@@ -28,11 +29,16 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Rules:
-    """q of the q-grams, window and step in characters, edits a character of a window may cost."""
+    """q of the q-grams, windows and steps in characters, edits a character of a window may cost.
+
+    A verbatim excerpt of `short + short_step - 1` characters holds a short window wherever it starts.
+    """
 
     q: int = 8
     window: int = 128
     step: int = 64
+    short: int = 40
+    short_step: int = 10
     rate: float = 0.08
     #: Windows shorter than this must be found without an edit; items shorter than q characters, too.
     shortest: int = 24
@@ -117,10 +123,13 @@ class Index:
 
 
 def windows(item: int, points: np.ndarray, rules: Rules) -> list[tuple[int, int, np.ndarray]]:
-    """(item, offset, code points) of the windows that cover an item."""
-    n, w = len(points), rules.window
-    starts = [0] if n <= w else [*range(0, n - w, rules.step), n - w]
-    return [(item, s, points[s : s + w]) for s in starts if n]
+    """(item, offset, code points) of the windows of both lengths that cover an item."""
+    n = len(points)
+    spans = set()
+    for w, step in ((rules.window, rules.step), (rules.short, rules.short_step)):
+        starts = [0] if n <= w else [*range(0, n - w, step), n - w]
+        spans |= {(s, min(w, n - s)) for s in starts if n}
+    return [(item, s, points[s : s + w]) for s, w in sorted(spans)]
 
 
 def index(cut: list[tuple[int, int, np.ndarray]], rules: Rules) -> Index:
@@ -220,12 +229,12 @@ def search(text: str, idx: Index) -> list[tuple[int, int, int, int, int]]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """One row for each row of `docs` (doc_id, text) and item of `benchmark` (item_id, text) that it
-    holds a passage of: doc_id, item_id, edits (fewest of any window), windows (found), start, end
-    (of all of them; code points, end exclusive).
+    holds a passage of: doc_id, item_id, edits (fewest of any window), windows (places of the item
+    at which found ones begin), start, end (of all of them; code points, end exclusive).
 
-    A passage is a window of an item, or the whole of a shorter one, within `rules.rate` edits a
-    character; case and white space don't count. Null or blank texts and items hold and are
-    nothing. Items of fewer than q characters are not looked for. Repeated rows give a row each.
+    A passage is a window of an item, of either length, or the whole of a shorter one, within
+    `rules.rate` edits a character; case and white space don't count. Null or blank texts and items
+    hold and are nothing. Items of fewer than q characters are not looked for. Repeated rows give a row each.
     Empty tables give no rows. Further columns play no part.
     """
     spark = docs.sparkSession
