@@ -226,8 +226,9 @@ def main_text(pages: DataFrame) -> DataFrame:
         shown = shown.withColumn("drop", F.lit(None).cast("array<bigint>"))
     else:
         shared = spark.sparkContext.broadcast(None)
+        # by the tree's own host(): Spark's URL functions know no host of some URLs
         by_host = low.groupBy("host").agg(F.collect_set("node").alias("drop"))
-        shown = shown.withColumn("host", F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))).join(by_host, "host", "left").select("page_id", "url", "html", "drop")
+        shown = shown.withColumn("host", F.udf(host, "string")("url")).join(by_host, "host", "left").select("page_id", "url", "html", "drop")
 
     @released
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
