@@ -1,8 +1,9 @@
 """Personal data: exact patterns, and information-theoretic sanitisation of what betrays them.
 
-Patterns find the protected entities (e-mail and IP addresses, card and phone numbers). Terms near
-an entity are then weighed by what they tell of it: with document counts n over the corpus of N,
-pmi = log2(N n(term, entity) / (n(term) n(entity))) of the entity's own log2(N / n(entity)) bits.
+Patterns find the protected entities (e-mail and IP addresses, card and phone numbers). Terms of an
+entity's documents are then weighed by what they tell of it: with document counts n over the corpus
+of N, pmi = log2(p(entity | term) / p(entity)) of the entity's own log2(N / n(entity)) bits. The
+chance of the entity where the term stands is smoothed: (n(term, entity) + a p(entity)) / (n(term) + a).
 A term that gives away a large share of them is removed, one that gives away less but much is
 generalised. All of it runs as DataFrame expressions.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import table, written
@@ -32,7 +33,7 @@ PATTERNS = {
 }
 #: What a text must hold for the pattern to be tried.
 _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){12}[0-9]", "phone": "\\+[0-9]"}
-TERM = r"\p{L}{4,}"
+TERM = r"[\p{L}\p{M}]+"
 #: Terms whose corpus counts are looked up through a broadcast; more of them are joined by shuffle.
 BROADCAST_TERMS = 500_000
 _SPAN = "array<struct<start:int,end:int,value:string>>"
@@ -40,12 +41,10 @@ _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 @dataclass(frozen=True)
 class Disclosure:
-    """Code points around an entity in which terms are weighed, documents that must show term and
-    entity together, and the shares of the entity's information from which a term is generalised
-    and removed."""
+    """Documents by which each term is smoothed, and the shares of the entity's information from
+    which a term is generalised and removed."""
 
-    window: int = 80
-    support: int = 2
+    prior: float = 1.0
     generalise: float = 0.5
     remove: float = 0.8
 
@@ -104,52 +103,63 @@ def _entities(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(F.concat(F.lit(kind + ":"), value(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
 
 
-def _near(text: Column, entity: Column, rules: Disclosure) -> Column:
-    """Terms before and after an entity, whole words only, with their places in the text."""
-    w = rules.window
-    low = F.greatest(entity["start"] - w, F.lit(0))
-    before = F.substring(text, low + 1, entity["start"] - low)
-    after = F.substring(text, entity["end"] + 1, F.lit(w))
-    inside = F.filter(matches(before, TERM), lambda s: (s["start"] > 0) | (low == 0))
-    # a term that touches the window's end may be cut short
-    beyond = F.filter(matches(after, TERM), lambda s: (s["end"] < w) & (s["start"] > 0))
+def _pieces(text: Column) -> Column:
+    """The text between e-mail addresses: no other kind of entity holds letters."""
+    return F.when(text.contains("@"), F.split(text, PATTERNS["email"], -1)).otherwise(F.array(text))
 
-    def placed(spans: Column, base: Column) -> Column:
-        return F.transform(spans, lambda s: F.struct(entity["entity"].alias("entity"), F.lower(s["value"]).alias("term"), (s["start"] + base).alias("start"), (s["end"] + base).alias("end")))
 
-    return F.concat(placed(inside, low), placed(beyond, entity["end"]))
+def _tokens(text: Column) -> Column:
+    """The text cut at its terms and e-mail addresses: (gap before, length, term or null), in order."""
+    mails = F.when(text.contains("@"), F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
+    def cut(piece: Column, mail: Column) -> Column:
+        terms = F.zip_with(F.split(piece, TERM, -1), F.regexp_extract_all(piece, F.lit(TERM), F.lit(0)), lambda g, t: F.struct(F.length(g).alias("gap"), F.coalesce(F.length(t), F.lit(0)).alias("size"), F.lower(t).alias("term")))
+        return F.concat(terms, F.array(F.struct(F.lit(0).alias("gap"), F.coalesce(F.length(mail), F.lit(0)).alias("size"), F.lit(None).cast("string").alias("term"))))
 
-def _scanned(docs: DataFrame, rules: Disclosure) -> DataFrame:
-    """doc_id, text_hash, the four kinds' spans, and `near`: (entity, term, start, end)."""
+    return F.flatten(F.zip_with(_pieces(text), mails, cut))
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, the four kinds' spans, `entities`, and `words`: tokens of texts with entities."""
     # a hash of the text tells rows of one doc_id apart
     base = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     found = base.select("doc_id", "text", "text_hash", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
-    entities = found.withColumn("entities", F.concat(*[_entities(k) for k in KINDS]))
-    near = F.when(F.size("entities") > 0, F.flatten(F.transform("entities", lambda e: _near(F.col("text"), e, rules))))
-    return entities.select("doc_id", "text_hash", *KINDS, F.array_distinct(F.transform("entities", lambda e: e["entity"])).alias("entities"), near.alias("near"))
-
-
-def disclosures(docs: DataFrame, scanned: DataFrame, rules: Disclosure) -> DataFrame | None:
-    """(entity, term, share): pairs of which the term gives away `rules.generalise` or more; None if no pair has support."""
-    pairs = scanned.where("near is not null").select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("x"))
-    pairs = pairs.groupBy("x.entity", "x.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= rules.support)
-    pairs = written(pairs, "pairs")
-    terms = pairs.select("term").distinct()
-    n_terms = terms.count()
-    if not n_terms:
-        return None
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    entities = found.withColumn("entities", F.array_distinct(F.transform(F.concat(*[_entities(k) for k in KINDS]), lambda e: e["entity"])))
+    return entities.select("doc_id", "text_hash", *KINDS, "entities", F.when(F.size("entities") > 0, _tokens(F.col("text"))).alias("words"))
+
+
+def disclosures(docs: DataFrame, scanned: DataFrame, rules: Disclosure) -> DataFrame:
+    """(text_hash, term, share): terms of texts with entities that give away `rules.generalise` or more of one.
+
+    Entities that stand in the same documents have the same shares and are weighed as one kin.
+    """
+    rows = scanned.where("words is not null")
+    texts = rows.groupBy("text_hash").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("words").alias("words"))
+    texts = written(texts.select("text_hash", "copies", "entities", F.array_distinct(F.filter(F.transform("words", lambda x: x["term"]), lambda t: t.isNotNull())).alias("terms")), "texts")
+    each = texts.select("text_hash", "copies", F.explode("entities").alias("entity"))
+    kin = each.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.sum(F.xxhash64("text_hash", F.lit(1)).cast("decimal(20,0)")).alias("where_"), F.sum(F.xxhash64("text_hash", F.lit(2)).cast("decimal(20,0)")).alias("where2"))
+    kin = each.join(kin, "entity").select("text_hash", "copies", "n_entity", F.xxhash64("n_entity", "where_", "where2").alias("kin")).distinct()
+    stands = texts.select("text_hash", F.explode("terms").alias("term"))
+    terms = written(stands.select("term").distinct(), "terms")
+    words = F.array_distinct(F.flatten(F.transform(_pieces(F.col("text")), lambda p: F.transform(F.regexp_extract_all(p, F.lit(TERM), F.lit(0)), lambda t: F.lower(t)))))
     corpus = docs.where("text is not null").select(F.explode(words).alias("term"))
-    if n_terms <= BROADCAST_TERMS:
-        corpus = corpus.join(F.broadcast(terms), "term", "left_semi")
+    corpus = corpus.join(F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms, "term", "left_semi")
     n_term = corpus.groupBy("term").agg(F.count("*").alias("n_term"))
-    n_entity = scanned.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    both = kin.join(stands, "text_hash").groupBy("kin", "n_entity", "term").agg(F.sum("copies").alias("n_both"))
     n = F.lit(float(scanned.count()))
-    bits = F.log2(n / F.col("n_entity"))
-    pmi = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    share = F.when(bits > 0, pmi / bits).otherwise(F.lit(0.0))
-    return pairs.join(n_entity, "entity").join(n_term, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= rules.generalise)
+    prior = F.col("n_entity") / n
+    told = (F.col("n_both") + rules.prior * prior) / (F.col("n_term") + rules.prior)
+    share = F.when(prior < 1, -F.log2(told / prior) / F.log2(prior)).otherwise(F.lit(0.0))
+    told = both.join(n_term, "term").select("kin", "term", share.alias("share")).where(F.col("share") >= rules.generalise)
+    return kin.select("text_hash", "kin").join(stands, "text_hash").join(told, ["kin", "term"]).groupBy("text_hash", "term").agg(F.max("share").alias("share"))
+
+
+def _places(scanned: DataFrame) -> DataFrame:
+    """(text_hash, term, start, end) of each term of texts with entities."""
+    one = scanned.where("words is not null").groupBy("text_hash").agg(F.first("words").alias("words"))
+    each = one.select("text_hash", F.posexplode("words").alias("at", "x")).select("text_hash", "at", "x.*")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("text_hash").orderBy("at")).cast("int")
+    return each.withColumn("end", end).where("term is not null").select("text_hash", "term", (F.col("end") - F.col("size")).alias("start"), "end")
 
 
 def find(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:  # noqa: B008
@@ -159,17 +169,13 @@ def find(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:  # noq
     Null text is an empty one. Rows that repeat count as documents of their own in the corpus
     counts. An empty table gives no rows. Further columns play no part.
     """
-    scanned = written(_scanned(docs, rules), "personal")
-    told = disclosures(docs, scanned, rules)
+    scanned = written(_scanned(docs), "personal")
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")
-    if told is None:
-        return scanned.select("doc_id", "text_hash", *KINDS, none.alias("terms"))
-    places = scanned.where("near is not null").select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.*")
-    action = F.when(F.max("share") >= rules.remove, "remove").otherwise("generalise")
-    spans = places.join(told, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(action.alias("action"))
-    spans = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
-    spans = spans.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "terms")
-    joined = scanned.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    told = disclosures(docs, scanned, rules)
+    action = F.when(F.col("share") >= rules.remove, "remove").otherwise("generalise")
+    spans = _places(scanned).join(told, ["text_hash", "term"]).select("text_hash", F.struct("start", "end", action.alias("action")).alias("x"))
+    spans = spans.groupBy(F.col("text_hash").alias("h")).agg(F.array_sort(F.collect_list("x")).alias("terms"))
+    joined = scanned.join(spans, F.col("text_hash") == F.col("h"), "left")
     return joined.select("doc_id", "text_hash", *KINDS, F.coalesce("terms", none).alias("terms"))
 
 
