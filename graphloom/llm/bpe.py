@@ -2,7 +2,9 @@
 
 A byte-level BPE without a normaliser encodes each pre-token on its own, so a text's ids are
 the ids of its pre-tokens in order. `Encoder` cuts texts into pre-tokens with numpy, asks the
-library once for each distinct pre-token, and gathers the rest from a hash table. Texts with
+library once for each distinct pre-token, and gathers the rest from a hash table, whose entries
+keep their code points: what it finds is compared letter by letter, and a pre-token that only
+shares another's hash goes to the library itself. Texts with
 characters whose class could differ between Unicode versions, or that hold the literal of a
 special token, go to the library whole.
 """
@@ -20,6 +22,8 @@ OTHER, LETTER, NUMBER, SPACE, UNSURE = 0, 1, 2, 3, 7
 _SPACES = {9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000}
 _LIMIT = 0x3400
 _PIECE = 1 << 18
+#: Code points that the memo's entries hold at most, beyond those of one group of texts.
+_HELD = 1 << 24
 _MUL = 0x9E3779B97F4A7C15
 _BASE = 0xD1342543DE82EF95
 _MASK = (1 << 64) - 1
@@ -71,8 +75,14 @@ class Encoder:
     def _reset(self) -> None:
         n = 1 << self.slots_log2
         self.keys, self.entry = np.zeros(n, np.uint64), np.zeros(n, np.int32)
+        # of each entry: its ids in `store` and its code points in `held`
         self.offset, self.length, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
+        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.store, self.used = np.zeros(1 << 18, self.dtype), 0
+        self.held, self.n_held = np.zeros(1 << 18, np.uint32), 0
+
+    def _full(self, entries: int, points: int) -> bool:
+        return self.n > 0 and (self.n + entries > self.fill * (1 << self.slots_log2) or self.n_held + points > _HELD)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.words.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,24 +102,31 @@ class Encoder:
             open_ = open_[~hit & (key != 0)]
         return out
 
-    def _add(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        """Entries for new, distinct hashes."""
-        if self.n + len(hashes) > self.fill * (1 << self.slots_log2):
-            if len(hashes) > self.fill * (1 << self.slots_log2):
-                self.slots_log2 += 1
+    def _add(self, hashes: np.ndarray, pieces: list[str], points: np.ndarray) -> None:
+        """Entries for new, distinct hashes; `points` are all code points of `pieces`."""
+        while self.n + len(hashes) > self.fill * (1 << self.slots_log2):  # only an empty memo grows
+            self.slots_log2 += 1
             self._reset()
         ids = self._library(pieces)
         lengths = np.fromiter(map(len, ids), np.int32, len(ids))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = np.fromiter((x for i in ids for x in i), self.dtype, int(lengths.sum()))
         first, self.n = self.n, self.n + len(ids)
         while self.n > len(self.offset):
-            self.offset, self.length = np.resize(self.offset, 2 * len(self.offset)), np.resize(self.length, 2 * len(self.length))
+            more = 2 * len(self.offset)
+            self.offset, self.length, self.at, self.size = (np.resize(x, more) for x in (self.offset, self.length, self.at, self.size))
         while self.used + len(flat) > len(self.store):
             self.store = np.resize(self.store, 2 * len(self.store))
+        while self.n_held + len(points) > len(self.held):
+            self.held = np.resize(self.held, 2 * len(self.held))
         self.offset[first : self.n] = self.used + np.cumsum(lengths) - lengths
         self.length[first : self.n] = lengths
         self.store[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
+        self.at[first : self.n] = self.n_held + np.cumsum(sizes) - sizes
+        self.size[first : self.n] = sizes
+        self.held[self.n_held : self.n_held + len(points)] = points
+        self.n_held += len(points)
         mask = (1 << self.slots_log2) - 1
         slot = (hashes >> np.uint64(64 - self.slots_log2)).astype(np.int64)
         left = np.arange(len(hashes))
@@ -187,18 +204,33 @@ class Encoder:
         if len(missing):
             new, at = np.unique(h[missing], return_index=True)
             at = missing[at]
-            before = self.keys
-            self._add(new, [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            if self.keys is before:
-                found[missing] = self._find(h[missing])
-            else:  # the memo was emptied: fill it again with what this group needs
-                return self._group(pieces)
-        lengths = self.length[found].astype(np.int64)
+            if self._full(len(new), int((ends[at] - starts[at]).sum())):  # forget all, then take in the whole group
+                self._reset()
+                missing = np.arange(len(h))
+                new, at = np.unique(h, return_index=True)
+            spans = list(zip(starts[at].tolist(), ends[at].tolist(), strict=True))
+            self._add(new, [joined[a:b] for a, b in spans], np.concatenate([points[a:b] for a, b in spans]))
+            found[missing] = self._find(h[missing])
+        lengths, offset, store = self.length[found].astype(np.int64), self.offset[found], self.store
+        other = self._others(found, points, starts, ends)
+        if len(other):
+            own = self._library([joined[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)])
+            lengths[other] = [len(i) for i in own]
+            offset[other] = self.used + np.cumsum(lengths[other]) - lengths[other]
+            store = np.concatenate([store[: self.used], np.array([x for i in own for x in i], self.dtype)])
         upto = np.append(0, np.cumsum(lengths))
-        ids = self.store[np.repeat(self.offset[found] - upto[:-1], lengths) + np.arange(upto[-1])]
+        ids = store[np.repeat(offset - upto[:-1], lengths) + np.arange(upto[-1])]
         cut = np.searchsorted(starts, np.append(first, n))
         return ids, np.diff(upto[cut])
 
+    def _others(self, found: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Pre-tokens whose entry stands for other code points than theirs."""
+        sizes = ends - starts
+        same = self.size[found] == sizes
+        place = np.repeat(np.where(same, self.at[found], 0) - starts, sizes) + np.arange(len(points))
+        unlike = self.held[np.minimum(place, len(self.held) - 1)] != points
+        return np.flatnonzero(~same | np.logical_or.reduceat(unlike, starts))
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros(len(texts), np.int64)
         parts: list[tuple[np.ndarray, int]] = []

@@ -41,6 +41,18 @@ def test_encoder_forgets_and_goes_on():
         assert small.encode([t])[0].tolist() == ids(t)
 
 
+def test_words_whose_hashes_meet():
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2^64, whatever the base."""
+    for bits in (10, 11, 12):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+        other = word.translate(str.maketrans("ab", "ba"))
+        for texts in ([word, other], [other, word], [f"{word} {other} {word}", other], [word + " x", other + " x y " + word]):
+            enc = Encoder(PATH)
+            for _ in range(2):
+                got, counts = enc.encode(texts)
+                assert got.tolist() == [i for t in texts for i in ids(t)] and counts.tolist() == [len(ids(t)) for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 70_000), max_size=300))
 def test_packing_round_trip(values):
