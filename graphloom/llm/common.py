@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as the word definition `[^\x20\x09-\x0D]+` has it.
@@ -36,7 +36,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    """A path below the application's own part of the shared folder, which goes when the driver's JVM ends."""
+    sc = spark.sparkContext
+    base = f"{shared_folder(spark)}/graphloom/{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -86,12 +94,21 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-#: Rows of one long column that are broadcast at most (16 MB); more are joined by shuffle.
+#: Rows of two long columns that are broadcast at most (32 MB); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id is not in `ids` (doc_id, written already); null doc_ids stay."""
-    ids = ids.select("doc_id").where("doc_id is not null")
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*docs.columns)
+def text_hash() -> Column:
+    """What tells texts of one doc_id apart; null texts have a hash of their own."""
+    return F.xxhash64(F.col("text").isNull(), F.col("text"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id and text are not in `gone` (doc_id, text_hash; written already).
+
+    Null doc_ids meet null doc_ids, so rows without doc_id go like any others.
+    """
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"))
+    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    meets = docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (F.xxhash64(docs["text"].isNull(), docs["text"]) == F.col("_gone_hash"))
+    return docs.join(F.broadcast(gone) if small else gone, meets, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -112,29 +112,26 @@ def tokenised(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
 def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS) -> None:
     """Encodes `docs` (doc_id, text) and writes blocks to `path`.
 
-    Parts are ranges of doc_id with about as many rows each; their bounds are quantiles of
-    doc_id alone, so texts are read once. Rows of equal doc_id keep no particular order but
-    by text. Null doc_id counts as the least; a null text is an empty one.
+    Parts are ranges of doc_id and, within equal or null doc_ids, of a hash of the text, so that
+    one doc_id with many texts is dealt over parts, too. Rows of equal doc_id keep no particular
+    order. Null doc_id counts as the least; a null text is an empty one.
     """
     spark = docs.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    at = [k / n for k in range(1, n)]
-    bounds = docs.agg(F.percentile_approx("doc_id", at, 100 * n)).first()[0] if at else None
-    bounds = sorted(set(bounds or []))
-    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-    place = F.coalesce(place, F.lit(0)).cast("int")
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), place.alias("part"))
-    dealt = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("h"))
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
 
     @released
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = _schema(BLOCKS)
+        from pyspark import TaskContext
+
+        schema, part = _schema(BLOCKS), TaskContext.get().partitionId()
         ids: list[np.ndarray] = []
         doc_ids: list[int] = []
         counts: list[int] = []
-        part, block, before, held = 0, 0, 0, 0
+        block, before, held = 0, 0, 0
         for batch, new, each in tokenised(batches, tokenizer, end_id):
-            part = batch.column(batch.schema.get_field_index("part"))[0].as_py()
             ids.append(new)
             doc_ids += [NO_ID if x is None else x for x in batch.column(batch.schema.get_field_index("doc_id")).to_pylist()]
             counts += each.tolist()
@@ -160,6 +157,7 @@ def read_blocks(spark, path: str) -> DataFrame:
     before, total = {}, 0
     for k in sorted(parts):
         before[k], total = total, total + parts[k]
+
     @released
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,6 +195,7 @@ def binary_output(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int =
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` as token files of byte_bpe_50k with end id 2, read back: a row per document; see `binary_output`."""
     import public_tokenizers
 
     return binary_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
