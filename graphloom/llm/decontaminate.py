@@ -279,40 +279,62 @@ def _align(pairs: list[tuple[int, int]], points: np.ndarray, idx: Index) -> list
     return out
 
 
-def _bands(at: np.ndarray, who: np.ndarray, where: np.ndarray, n_points: int, idx: Index) -> list[tuple[int, int]]:
+def _counted(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys below `most` and how often each occurs; without a sort where keys are dense."""
+    if most > 8 * len(keys):
+        return np.unique(keys, return_counts=True)
+    n = np.bincount(keys, minlength=most)
+    found = np.flatnonzero(n)
+    return found, n[found]
+
+
+def _bands(at: np.ndarray, who: np.ndarray, where: np.ndarray, idx: Index) -> list[tuple[int, int]]:
     """(window, first diagonal) of the bands that hold enough of a window's q-grams."""
-    rules, k, need = idx.rules, idx.edits, idx.need
-    half = (k + 1)[who]
-    diagonal = at - where + rules.window + 1
-    most = n_points + 2 * rules.window + 4
+    wins, _ = _counted(who, len(idx.need))
+    local = np.searchsorted(wins, who) if len(wins) < len(idx.need) else who
+    half, need = idx.edits[wins] + 1, idx.need[wins]
+    wide = idx.rules.window + 1
+    diagonal = at - where + wide
     found = set()
     for shift in (0, 1):  # bands of width 2 (k + 1), then those that begin half a band later
-        key = who * most + (diagonal + shift * half) // (2 * half)
-        keys, n = np.unique(key, return_counts=True)
+        band = (diagonal + (shift * half)[local]) // (2 * half)[local]
+        low = int(band.min())
+        band -= low
+        most = int(band.max()) + 1
+        key = local * most + band
+        keys, n = _counted(key, most * len(wins))
         full = keys[n >= need[keys // most]]
         if not len(full):
             continue
         # a window's q-gram counts once a place, however often it is met in the band
-        in_full = full[np.minimum(np.searchsorted(full, key), len(full) - 1)] == key
-        once = np.unique(key[in_full] * (rules.window + 1) + where[in_full])
-        keys, n = np.unique(once // (rules.window + 1), return_counts=True)
-        enough = keys[n >= need[keys // most]]
+        slot = np.minimum(np.searchsorted(full, key), len(full) - 1)
+        kept = full[slot] == key
+        once, _ = _counted(slot[kept] * wide + where[kept], len(full) * wide)
+        slots, n = _counted(once // wide, len(full))
+        enough = full[slots[n >= need[full[slots] // most]]]
         w = enough // most
-        found |= set(zip(w.tolist(), ((enough % most) * 2 * (k[w] + 1) - shift * (k[w] + 1) - rules.window - 1).tolist(), strict=True))
+        found |= set(zip(wins[w].tolist(), ((enough % most + low) * 2 * half[w] - shift * half[w] - wide).tolist(), strict=True))
     return sorted(found)
 
 
+def _text(points: np.ndarray) -> str:
+    return points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def _verified(bands: list[tuple[int, int]], points: np.ndarray, idx: Index) -> list[tuple[int, int, int, int]]:
     """(window, edits, start, end) of the bands in which the window is found."""
-    hits, todo = [], []
+    hits, todo, names = [], [], {}
+    text = _text(points) if bands else ""
     for w, first in bands:
-        p = idx.window(w)
-        last = min(len(points) - len(p), first + 2 * (int(idx.edits[w]) + 1))
-        exact = [d for d in range(max(0, first), last + 1) if points[d] == p[0] and np.array_equal(points[d : d + len(p)], p)]
-        if exact:
-            hits.append((w, 0, exact[0], exact[-1] + len(p)))
-        else:
+        if w not in names:
+            names[w] = _text(idx.window(w))
+        p = names[w]
+        lo, hi = max(0, first), first + 2 * (int(idx.edits[w]) + 1) + len(p)
+        at = text.find(p, lo, hi)
+        if at < 0:
             todo.append((w, first))
+        else:
+            hits.append((w, 0, at, text.rfind(p, lo, hi) + len(p)))
     return hits + _align(todo, points, idx)
 
 
@@ -367,7 +389,7 @@ def search(text: str, idx: Index) -> list[tuple[int, int, int, int, int]]:
             end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + SLICE_HITS, "right")))
             past = int(np.searchsorted(at, at[end - 1] + reach, "right"))
             part = _ranges(lo[begin:past], n[begin:past])
-            bands = _bands(np.repeat(at[begin:past], n[begin:past]), who[part], where[part], len(points), idx)
+            bands = _bands(np.repeat(at[begin:past], n[begin:past]), who[part], where[part], idx)
             note(_verified(bands, points, idx))
             begin = end
     return [(int(idx.item[w]), c, int(idx.offset[w]), int(places[s]), int(places[e - 1]) + 1) for w, (c, s, e) in best.items()]
