@@ -324,17 +324,19 @@ def _text(points: np.ndarray) -> str:
 def _verified(bands: list[tuple[int, int]], points: np.ndarray, idx: Index) -> list[tuple[int, int, int, int]]:
     """(window, edits, start, end) of the bands in which the window is found."""
     hits, todo, names = [], [], {}
-    text = _text(points) if bands else ""
+    spots = []
     for w, first in bands:
         if w not in names:
             names[w] = _text(idx.window(w))
-        p = names[w]
-        lo, hi = max(0, first), first + 2 * (int(idx.edits[w]) + 1) + len(p)
-        at = text.find(p, lo, hi)
+        spots.append((max(0, first), first + 2 * (int(idx.edits[w]) + 1) + len(names[w])))
+    begin = min((lo for lo, _ in spots), default=0)
+    text = _text(points[begin : max((hi for _, hi in spots), default=0)])
+    for (w, first), (lo, hi) in zip(bands, spots, strict=True):
+        at = text.find(names[w], lo - begin, hi - begin)
         if at < 0:
             todo.append((w, first))
         else:
-            hits.append((w, 0, at, text.rfind(p, lo, hi) + len(p)))
+            hits.append((w, 0, begin + at, begin + text.rfind(names[w], lo - begin, hi - begin) + len(names[w])))
     return hits + _align(todo, points, idx)
 
 
