@@ -4,15 +4,16 @@ Documents with the same set of sources form a pattern. A flow routes each patter
 sources' quotas; the first reading of a pattern's words is free, each further one costs more, so
 repeats are only used where quotas ask for them. As costs stand on the patterns' arcs alone and
 rise with each reading, the flow is found one reading at a time: each time the arcs open by one
-reading more, and augmenting paths fill what quotas still lack. Last, documents are chosen within
+reading more. Patterns of one source fill what its quota lacks first, as they have no other; the
+rest comes along blocking flows of shortest paths. Last, documents are chosen within
 each pattern: all of them as often as the flow covers whole readings, and for the rest those that
 come first by a seeded hash.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import table, word_count, written
 
-#: Patterns whose totals the driver holds at most; each is a few numbers.
-MAX_PATTERNS = 100_000
+#: Patterns whose totals the driver holds at most; each is a few numbers. Sources are of that order at most.
+MAX_PATTERNS = 1_000_000
 _HEX = 3
+_EPS = 1e-6
 
 
 @dataclass(frozen=True)
@@ -57,53 +59,79 @@ def targets(sizes: dict[str | None, int], recipe: Recipe) -> dict[str | None, fl
 
 def flow(sizes: Sequence[int], members: Sequence[Sequence[int]], quotas: Sequence[float], readings: int) -> list[float]:
     """Words each pattern gives: a min-cost flow from patterns (size a reading) to their sources' quotas."""
-    n, eps = len(sizes), 1e-6
-    sent: list[dict[int, float]] = [{s: 0.0 for s in m} for m in members]
-    room, givers = list(quotas), [[] for _ in quotas]
+    room, sent = list(quotas), [{s: 0.0 for s in m} for m in members]
+    givers: dict[int, list[int]] = {}  # patterns that could take what they give to a source elsewhere
     for p, m in enumerate(members):
-        for s in m:
-            givers[s].append(p)
-    left = [0.0] * n
+        for s in m if len(m) > 1 else ():
+            givers.setdefault(s, []).append(p)
+    left = [0.0] * len(sizes)
     for _ in range(readings):
-        left = [left[p] + sizes[p] for p in range(n)]
-        while True:
-            # breadth first from all patterns with words left; through a source to patterns that could give it less
-            came: dict[tuple[str, int], tuple[str, int] | None] = {("p", p): None for p in range(n) if left[p] > eps}
-            queue, end = deque(came), None
-            while queue and end is None:
-                kind, i = at = queue.popleft()
-                if kind == "p":
-                    for s in members[i]:
-                        if ("s", s) not in came:
-                            came["s", s] = at
-                            if room[s] > eps:
-                                end = ("s", s)
-                                break
-                            queue.append(("s", s))
-                else:
-                    for p in givers[i]:
-                        if sent[p][i] > eps and ("p", p) not in came:
-                            came["p", p] = at
-                            queue.append(("p", p))
-            if end is None:
-                break
-            path = [end]
-            while came[path[-1]] is not None:
-                path.append(came[path[-1]])
-            path.reverse()
-            amount = min(left[path[0][1]], room[end[1]], *(sent[b[1]][a[1]] for a, b in zip(path[1:], path[2:], strict=False) if a[0] == "s"))
-            for a, b in zip(path, path[1:], strict=False):
-                if a[0] == "p":
-                    sent[a[1]][b[1]] += amount
-                else:
-                    sent[b[1]][a[1]] -= amount
-            left[path[0][1]] -= amount
-            room[end[1]] -= amount
+        for p, m in enumerate(members):
+            left[p] += sizes[p]
+            if len(m) == 1 and (amount := min(left[p], room[m[0]])) > _EPS:
+                sent[p][m[0]] += amount
+                left[p] -= amount
+                room[m[0]] -= amount
+        while _blocking(members, givers, sent, left, room):
+            pass
     return [sum(x.values()) for x in sent]
 
 
-def _order(doc_id: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def _blocking(members: Sequence[Sequence[int]], givers: dict[int, list[int]], sent: list[dict[int, float]], left: list[float], room: list[float]) -> bool:
+    """One round of shortest augmenting paths: from patterns with words left to sources with room,
+    through sources to patterns that could give them less. False if there is none."""
+    starts = [p for p in range(len(members)) if left[p] > _EPS]
+    level: dict[tuple[bool, int], int] = {(True, p): 0 for p in starts}
+    now, depth, reached = list(level), 0, False
+    while now and not reached:
+        depth, after = depth + 1, []
+        for is_pattern, i in now:
+            nexts = ((False, s) for s in members[i]) if is_pattern else ((True, p) for p in givers.get(i, ()) if sent[p][i] > _EPS)
+            for x in nexts:
+                if x not in level:
+                    level[x] = depth
+                    after.append(x)
+                    reached = reached or not x[0] and room[x[1]] > _EPS
+        now = after
+    if not reached:
+        return False
+    arcs: dict[tuple[bool, int], Iterator] = {}
+    for start in starts:
+        path = [(True, start)]
+        while path and left[start] > _EPS:
+            at = path[-1]
+            is_pattern, i = at
+            if not is_pattern and room[i] > _EPS and level[at] == depth:
+                taken = [sent[b[1]][a[1]] for a, b in zip(path[1:], path[2:], strict=False) if not a[0]]
+                amount = min(left[start], room[i], *taken)
+                for a, b in zip(path, path[1:], strict=False):
+                    if a[0]:
+                        sent[a[1]][b[1]] += amount
+                    else:
+                        sent[b[1]][a[1]] -= amount
+                left[start] -= amount
+                room[i] -= amount
+                path = [(True, start)]
+                continue
+            if at not in arcs:
+                arcs[at] = iter([(False, s) for s in members[i]] if is_pattern else [(True, p) for p in givers.get(i, ())])
+            for x in arcs[at]:
+                if level.get(x, -1) == level[at] + 1 and (is_pattern or sent[x[1]][i] > _EPS):
+                    # the arc may serve again, so it stays at the head
+                    arcs[at] = itertools.chain([x], arcs[at])
+                    path.append(x)
+                    break
+            else:
+                path.pop()
+                if path:
+                    next(arcs[path[-1]])
+    return True
+
+
+def _order(seed: int) -> Column:
+    """A document's place in its pattern: by doc_id, where it has none by its text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), name))
 
 
 def plan(sized: DataFrame, recipe: Recipe) -> DataFrame:
@@ -133,12 +161,12 @@ def plan(sized: DataFrame, recipe: Recipe) -> DataFrame:
     columns = "pattern array<string>, source_size long, target double, whole int, need double"
     data = [(list(p), sum(sources[s] for s in p), sum(goal[s] for s in p), k, x) for p, k, x in zip(patterns, whole, need, strict=True)]
     base = spark.createDataFrame(data, columns)
-    open_ = base.where("need > 0").select(F.hash("pattern").alias("ph"), "pattern", "need", F.lit("").alias("prefix"))
+    open_ = base.where("need > 0").select("pattern", "need", F.lit("").alias("prefix"))
     for step in (1, 2):
         digits = F.substring("h", 1, _HEX * step)
         inside = _within(sized, open_)
         sums = inside.groupBy("pattern", digits.alias("prefix")).agg(F.sum("size").alias("size"), F.first("need").alias("need"))
-        open_ = _crossing(sums, "prefix").select(F.hash("pattern").alias("ph"), "pattern", (F.col("need") - F.col("before")).alias("need"), "prefix")
+        open_ = _crossing(sums, "prefix").select("pattern", (F.col("need") - F.col("before")).alias("need"), "prefix")
         open_ = spark.createDataFrame(open_.collect(), open_.schema)  # one row a pattern
     last = _within(sized, open_).groupBy("pattern", "h").agg(F.sum("size").alias("size"), F.first("need").alias("need"), F.first("prefix").alias("prefix"))
     upto = _crossing(last, "h")
@@ -171,7 +199,7 @@ def choose(sized: DataFrame, planned: DataFrame) -> DataFrame:
 
 def with_patterns(docs: DataFrame, members: Column, recipe: Recipe) -> DataFrame:
     """`docs` with pattern (the sorted set of its sources), size in words and hash."""
-    return docs.withColumns({"pattern": F.array_sort(F.array_distinct(members)), "size": word_count(F.col("text")), "h": _order(F.col("doc_id"), recipe.seed)})
+    return docs.withColumns({"pattern": F.array_sort(F.array_distinct(members)), "size": word_count(F.col("text")), "h": _order(recipe.seed)})
 
 
 def mix(docs: DataFrame, members: Column | None = None, recipe: Recipe = Recipe()) -> DataFrame:  # noqa: B008
@@ -180,7 +208,8 @@ def mix(docs: DataFrame, members: Column | None = None, recipe: Recipe = Recipe(
     reads, repeats counted) and times.
 
     `members`: array of each document's sources, by default its one source; null is a source of
-    its own. Rows of the same doc_id are chosen together. Where sizes are all 0, targets are 0 and
+    its own. Rows of the same doc_id are chosen together, those without doc_id if their texts are
+    equal. Where sizes are all 0, targets are 0 and
     nothing is taken. Further columns play no part. The same rows and recipe give the same mix.
     """
     members = F.array("source") if members is None else members
@@ -190,13 +219,14 @@ def mix(docs: DataFrame, members: Column | None = None, recipe: Recipe = Recipe(
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all of `documents` by the default recipe; see `mix`."""
     return mix(table(spark, sf_dir, "documents")).drop("times")
 
 
 OP2_SQL = r"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-         md5('2024:' || coalesce(doc_id::varchar, 'null')) as h
+         md5('2024:' || coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, '')))) as h
   from documents
 ), sources as (
   select source, sum(size)::bigint as source_size, 2 * sum(size)::bigint as cap,
