@@ -233,7 +233,7 @@ def test_reply_order(spark):
     schema = "conv_id long, turn long, role string, text string"
     got = reply_ordered(spark.createDataFrame([(*r, 1) for r in rows], schema + ", parent int")).collect()
     assert len(got) == len(rows)
-    one = sorted((r for r in got if r.conv_id == 1), key=lambda r: r.path)
+    one = sorted((r for r in got if r.conv_id == 1), key=lambda r: (r.root, r.turn))
     assert [(r.turn, r.parent, r.depth) for r in one] == [(0, None, 0), (1, 0, 1), (2, 1, 2), (5, 2, 3), (3, None, 0), (4, 3, 1)]
     assert one[2].text == "Thanks, and closing?" and one[1].text == "Use open().\nThen read the data you need"
     assert reply_ordered(spark.createDataFrame([], schema)).count() == 0
