@@ -36,6 +36,8 @@ _HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){12}[0
 TERM = r"[\p{L}\p{M}]+"
 #: Terms whose corpus counts are looked up through a broadcast; more of them are joined by shuffle.
 BROADCAST_TERMS = 500_000
+#: Rows of an array that are folded together.
+BLOCK = 128
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -49,17 +51,40 @@ class Disclosure:
     remove: float = 0.8
 
 
+def _folded(rows: Column, start: Column, step, kind: str) -> Column:
+    """Results of `step(at, x)`, which gives (the next `at`, an array with x's results), over `rows`
+    in order. Arrays are copied as they grow, so rows are taken in blocks of `BLOCK`: only a
+    block's results and the list of blocks are, and time stays about in proportion to the rows."""
+    empty = F.array().cast(kind)
+
+    def inner(acc: Column, x: Column) -> Column:
+        at, new = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], new).alias("out"))
+
+    def outer(acc: Column, block: Column) -> Column:
+        first = F.struct(F.element_at(acc, -1)["at"].alias("at"), empty.alias("out"))
+        return F.concat(acc, F.array(F.aggregate(block, first, inner)))
+
+    def cut(held: Column) -> Column:
+        n = F.floor((F.size(held) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda k: F.slice(held, k * BLOCK + 1, F.lit(BLOCK)))
+
+    # by way of a variable, as a slice of an expression would work it out again for each block
+    blocks = F.flatten(F.transform(F.array(rows), cut))
+    done = F.aggregate(blocks, F.array(F.struct(start.alias("at"), empty.alias("out"))), outer)
+    return F.flatten(F.transform(done, lambda d: d["out"]))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Spans of the pattern's matches, from the pieces between them and their own lengths."""
     pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        a = at + x["gap"]
         b = a + F.coalesce(F.length(x["value"]), F.lit(0))
-        return F.struct(b.alias("at"), F.when(x["value"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), x["value"].alias("value"))))).alias("out"))
+        return b, F.when(x["value"].isNull(), F.array().cast(_SPAN)).otherwise(F.array(F.struct(a.alias("start"), b.alias("end"), x["value"].alias("value"))))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return _folded(pieces, F.lit(0), step, _SPAN)
 
 
 def _digits(value: Column) -> Column:
@@ -181,8 +206,8 @@ def find(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:  # noq
 
 def sanitise(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:  # noqa: B008
     """doc_id and text with entities as [EMAIL], [IP], [CARD], [PHONE], terms to generalise as
-    [TERM] and terms to remove gone. Of overlapping spans the one that begins first counts, of
-    those the longest. Null text stays null."""
+    [TERM] and terms to remove gone; a row per row. Of overlapping spans the one that begins first
+    counts, of those the longest. Null text stays null."""
     found = find(docs, rules).dropDuplicates(["doc_id", "text_hash"]).withColumnRenamed("doc_id", "d")
     keyed = docs.select("doc_id", "text").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("text_hash")))
@@ -193,15 +218,22 @@ def sanitise(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:  #
     terms = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg_end"), F.when(s["action"] == "remove", "").otherwise("[TERM]").alias("mark")))
     every = F.array_sort(F.concat(*[marked(k, f"[{k.upper()}]") for k in KINDS], terms))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] < acc["at"], acc).otherwise(F.struct((-s["neg_end"]).alias("at"), F.concat(acc["out"], gap, s["mark"]).alias("out")))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        gap = F.substring(F.col("text"), at + 1, s["start"] - at)
+        taken = s["start"] >= at
+        return F.when(taken, -s["neg_end"]).otherwise(at), F.when(taken, F.array(F.struct(gap.alias("gap"), s["mark"].alias("mark"), (-s["neg_end"]).alias("end")))).otherwise(F.array().cast(kind))
 
-    text = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    kind = "array<struct<gap:string,mark:string,end:int>>"
+    kept = _folded(every, F.lit(0), step, kind)
+    rest = F.substring(F.col("text"), F.coalesce(F.array_max(F.transform("kept", lambda k: k["end"])), F.lit(0)) + 1, F.length("text"))
+    joined = joined.select("doc_id", "text", kept.alias("kept"))
+    text = F.when(F.col("text").isNotNull(), F.concat(F.array_join(F.transform("kept", lambda k: F.concat(k["gap"], k["mark"])), ""), rest))
     return joined.select("doc_id", text.alias("text"))
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the four kinds in each row of `documents`, the digest of their spans, and all spans
+    with those of the terms that betray them; see `find`."""
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.concat(*[_told(F.col(k), k) for k in KINDS])
     spans = F.concat(base, _told(F.col("terms"), "term"))
