@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """`docs` with lang_pred (a learned language; `und` where text is null or has no letter, or no
     model could be learned), score (cosine, 0 to 1; 0 for `und`) and accepted (false for `und` and
     for texts too far from every centroid). Whole texts count, whatever their length. `docs` has
-    columns doc_id and text and any others but these three names.
+    columns doc_id and text and any others; columns of these three names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
@@ -180,6 +180,7 @@ def learn(docs: DataFrame) -> Model | None:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of `documents`, learned from rows that are not held out; see `identify`."""
     docs = table(spark, sf_dir, "documents")
     out = identify(docs.select("doc_id", "text"), learn(docs))
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")

@@ -29,6 +29,8 @@ from graphloom.llm.components import components
 BATCH = 24
 #: Rows of a bucket's block, on average.
 BLOCK = 256
+#: Buckets of more than one block that are broadcast at most.
+BROADCAST_BUCKETS = 500_000
 #: Rows of signatures or sets in an Arrow batch.
 PAIRS = 1000
 #: Bits of the filter that picks documents for full comparison; a fixed size, whatever the corpus.
@@ -248,9 +250,11 @@ def _dealt(rows: DataFrame) -> DataFrame:
     A row of block i goes to the cells (i, k) and (k, i): every two rows of a bucket meet in one
     cell, and no cell holds more than two blocks.
     """
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # only buckets of more than one block are told: few, so rows need not meet by bucket
+    sizes = written(rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "bucket-blocks")
+    few = sizes.limit(BROADCAST_BUCKETS + 1).count() <= BROADCAST_BUCKETS
     own = F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).cast("int")
-    placed = rows.join(sizes, "bucket").withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = rows.join(F.broadcast(sizes) if few else sizes, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = placed.withColumns({"x": F.least("own", "k"), "y": F.greatest("own", "k")}).drop("k", "blocks")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cells.repartition(n, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "own", "rep")
@@ -398,4 +402,5 @@ OP7 = Plan(words=3, num=85, den=100)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of `documents` by 3-word shingles and a similarity of 0.85; see `near_duplicates`."""
     return near_duplicates(table(spark, sf_dir, "documents"), OP7)

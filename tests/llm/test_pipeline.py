@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -32,6 +34,28 @@ def test_clashing_columns_and_nulls(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
 
 
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    """Null and repeated doc_ids: of equal rows and near copies one stays, contaminated rows go."""
+    r = random.Random(4)
+
+    def prose(n):
+        return " ".join("".join(r.choice("aeioubcdst") for _ in range(r.randrange(3, 9))) for _ in range(n))
+
+    item = prose(60)
+    one, two, three, four = prose(80), prose(80), prose(80), prose(80)
+    near = one.rsplit(" ", 1)[0]
+    rows = [(None, one), (None, one), (None, near), (None, two), (5, three), (5, three), (5, two), (6, one), (7, f"{prose(20)} {item}"), (None, f"{prose(20)} {item}"), (8, four), (8, f"{item} {prose(20)}"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "web", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    got = [(x.doc_id, x.text) for x in kept.collect()]
+    assert kept.columns == docs.columns
+    assert (6, one) in got and sum(t in (one, near) for _, t in got) == 1 and sum(t == two for _, t in got) == 1
+    assert got.count((5, three)) == 1 and len(got) == 9
+    clean = [(x.doc_id, x.text) for x in corpus_pipeline.decontaminate(spark, kept, str(tmp_path)).collect()]
+    assert sorted(clean, key=repr) == sorted([x for x in got if item not in (x[1] or "")], key=repr) and len(clean) == 6
+
+
 def test_run_on_nothing(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
