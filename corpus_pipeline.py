@@ -30,15 +30,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, similarity 0.8) the document of least id."""
-    groups = near_duplicates(docs, Plan(words=5, num=80, den=100))
-    return without(docs, written(groups.where("not kept").select("doc_id").distinct(), "duplicates"))
+    """Of each group of near-duplicates (5-word shingles, similarity 0.8) the document of least id.
+
+    Rows without doc_id and rows whose doc_ids repeat are told apart by their texts: they go by
+    ids of their own here, and of those that are equal in both one row stays.
+    """
+    plan = Plan(words=5, num=80, den=100)
+    odd = written(docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "odd-ids")
+    if not odd.take(1):
+        groups = near_duplicates(docs, plan).where("not kept").select("doc_id")
+        return docs.join(written(groups, "duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    # ids past all others, so that of a group a document with an id of its own stays
+    own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    told = odd.select(F.col("doc_id").alias("_odd"), F.lit(True).alias("_is_odd"))
+    rows = _held(docs, "doc_id", "text").join(told, F.col("doc_id").eqNullSafe(F.col("_odd")), "left")
+    plain = rows.where("_is_odd is null").select("_doc", "text", F.col("doc_id").alias("_id"))
+    rest = rows.where("_is_odd").select("_doc", "text", own.alias("_id")).dropDuplicates(["_id"])
+    both = written(plain.unionByName(rest), "named")
+    groups = near_duplicates(both.select(F.col("_id").alias("doc_id"), "text"), plan)
+    gone = written(groups.where("not kept").select(F.col("doc_id").alias("_id")), "duplicates")
+    return both.join(gone, "_id", "left_anti").select("_doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item."""
+    """Documents that hold no passage of a benchmark item; they are told by doc_id and text."""
     found = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, written(found.select("doc_id").distinct(), "contaminated"))
+    return without(docs, written(found.select("doc_id", "text_hash").distinct(), "contaminated"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
