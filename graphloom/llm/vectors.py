@@ -6,8 +6,9 @@ class probes the lists that a vector within the link distance could lie in: thos
 plane with its own list is nearer than a margin. Asymmetric distances come from a table of the
 probing vector's residual against all codewords; as each member's quantisation error is known,
 only members that are certainly too far are dropped, and the rest are held against the exact
-cosine. Lists are dealt out as grids of bounded blocks, and a block gives sums and a spanning
-forest of its links, never its pairs.
+cosine. Neighbouring lists are packed into bins of bounded size, so that a probing vector is sent
+to each bin once, however many of its lists it probes; lists too large for a bin are dealt out as
+grids of bounded blocks. A block gives sums and a spanning forest of its links, never its pairs.
 """
 
 from __future__ import annotations
@@ -24,14 +25,15 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import released, table, written
 from graphloom.llm.components import components
 
-#: Vectors that the quantisers are fitted on, at most.
-SAMPLE = 20_000
+#: Vectors, and bytes of them, that the quantisers are fitted on, at most.
+SAMPLE, SAMPLE_BYTES = 32_768, 64 << 20
 #: Vectors a list should hold, and most lists; beyond that lists grow and are split into blocks.
-PER_LIST, MAX_LISTS = 50, 1024
+PER_LIST, MAX_LISTS = 50, 4096
 SUBSPACES, CODES = 8, 256
 #: Margin of probes in standard deviations of a random direction's part along a plane's normal.
 PROBE_SIGMAS = 4.0
-MEMBERS, QUERIES, STEP = 1024, 8192, 256
+#: Members and probing vectors of a block, and how many of the latter are looked at together.
+MEMBERS, QUERIES, STEP = 2048, 16384, 2048
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,8 @@ class Quantiser:
     gaps: np.ndarray
     cuts: np.ndarray
     books: list[np.ndarray]
+    #: lists in an order that keeps neighbours together
+    order: np.ndarray
 
     def assign(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, list[np.ndarray]]:
         """(own list, other lists to probe) of unit vectors."""
@@ -88,7 +92,9 @@ def fit(sample: np.ndarray, n: int) -> Quantiser:
     books = [_kmeans(residual[:, a:b], CODES, 5, rng) for a, b in zip(cuts, cuts[1:], strict=False)]
     square = (coarse**2).sum(1)
     gaps = np.sqrt(np.maximum(square[:, None] + square - 2 * coarse @ coarse.T, 0))
-    return Quantiser(coarse, gaps, cuts, books)
+    centres = _kmeans(coarse, int(np.sqrt(len(coarse))), 4, rng)
+    order = np.argsort(((centres**2).sum(1) - 2 * coarse @ centres.T).argmin(1), kind="stable")
+    return Quantiser(coarse, gaps, cuts, books, order)
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -102,10 +108,12 @@ def _prepared(vectors: DataFrame) -> DataFrame:
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, cells = [], []
-            for cell in _column(batch, "embedding"):
-                v = cell.as_py()
-                x = np.array(v, float) if v and None not in v else None
-                if x is None or not np.isfinite(x).all() or not x.any():
+            column = _column(batch, "embedding")
+            flat = column.flatten().to_numpy(zero_copy_only=False)  # nulls come as NaN
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            for begin, end in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+                x = flat[begin:end]
+                if not len(x) or not np.isfinite(x).all() or not x.any():
                     keys.append(None)
                     cells.append(None)
                     continue
@@ -132,16 +140,31 @@ def _forest(i: np.ndarray, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[
     return [(a[rows], label_a), (b[cols], label_b)]
 
 
+def _bins(members: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bin of each list, parts of each bin): lists in order, packed up to `MEMBERS` vectors; a list
+    that has more is a bin of its own, in several parts."""
+    bin_of, parts, held = np.zeros(len(order), np.int64), [1], 0
+    for k in order.tolist():
+        if held and held + members[k] > MEMBERS:
+            parts.append(1)
+            held = 0
+        bin_of[k] = len(parts) - 1
+        held += int(members[k])
+        parts[-1] = max(1, -(-held // MEMBERS))
+    return bin_of, np.array(parts)
+
+
 def links(classes: DataFrame, n: int, dim: int, cosine: float) -> tuple[DataFrame, DataFrame]:
     """(rep, n_links) and edges (a, b) that join what links join, for `classes` (rep, weight, x)."""
     spark = classes.sparkSession
     reach = np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
     margin = min(reach, PROBE_SIGMAS * reach / np.sqrt(dim))
+    most = max(256, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
     chance = F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(1 << 30))
-    drawn = classes.where(chance < int(min(1.0, SAMPLE / n) * (1 << 30))).select("x", chance.alias("chance"), "rep").limit(2 * SAMPLE).toArrow().sort_by([("chance", "ascending"), ("rep", "ascending")])
+    drawn = classes.where(chance < int(min(1.0, most / n) * (1 << 30))).select("x", chance.alias("chance"), "rep").limit(2 * most).toArrow().sort_by([("chance", "ascending"), ("rep", "ascending")])
     sample = np.frombuffer(b"".join(drawn["x"].to_pylist()), float).reshape(-1, dim) if drawn.num_rows else np.zeros((0, dim))
     if not len(sample):
-        sample = np.frombuffer(b"".join(r[0] for r in classes.select("x").limit(SAMPLE).collect()), float).reshape(-1, dim)
+        sample = np.frombuffer(b"".join(r[0] for r in classes.select("x").limit(most).collect()), float).reshape(-1, dim)
     shared = spark.sparkContext.broadcast(fit(sample, n))
 
     @released
@@ -155,72 +178,110 @@ def links(classes: DataFrame, n: int, dim: int, cosine: float) -> tuple[DataFram
                 yield pa.RecordBatch.from_arrays([*(_column(batch, c) for c in ("rep", "weight", "x")), pa.array(own.astype(np.int32)), pa.array(up, pa.list_(pa.int32()))], names=["rep", "weight", "x", "list", "probes"])
 
     assigned = written(classes.mapInArrow(assign, "rep long, weight long, x binary, list int, probes array<int>"), "assigned")
-    k = len(shared.value.coarse)
-    members, queries = np.zeros(k, int), np.zeros(k, int)  # as many numbers as there are lists
+    members = np.zeros(len(shared.value.coarse), int)  # as many numbers as there are lists
     for row in assigned.groupBy("list").count().collect():
         members[row[0]] = row[1]
-    for row in assigned.select(F.explode("probes").alias("list")).groupBy("list").count().collect():
+    bin_of, wide = _bins(members, shared.value.order)
+
+    def asked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(row, bin): the bins that each row's own list and probed lists lie in, each once."""
+        probes, own = _column(batch, "probes"), _column(batch, "list").to_numpy()
+        rows = np.append(np.repeat(np.arange(len(own)), probes.value_lengths().to_numpy()), np.arange(len(own)))
+        key = np.unique(rows * len(wide) + bin_of[np.append(probes.flatten().to_numpy(zero_copy_only=False), own)])
+        return key // len(wide), key % len(wide)
+
+    @released
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n_ = np.bincount(asked(batch)[1], minlength=len(wide))
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n_).astype(np.int32)), pa.array(n_[n_ > 0])], names=["bin", "n"])
+
+    queries = np.zeros(len(wide), int)
+    for row in assigned.select("list", "probes").mapInArrow(tally, "bin int, n long").groupBy("bin").agg(F.sum("n")).collect():
         queries[row[0]] = row[1]
-    wide, tall = np.maximum(1, -(-members // MEMBERS)), np.maximum(1, -(-(queries + members) // QUERIES))
+    tall = np.maximum(1, -(-queries // QUERIES))
 
     @released
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["list", "across", "down", "role", "rep", "weight", "x"]
+        names = ["bin", "across", "down", "role", "rep", "weight", "x", "list", "probes"]
         for batch in batches:
-            rep = _column(batch, "rep").to_numpy()
-            own, probes = _column(batch, "list").to_numpy(), _column(batch, "probes").to_pylist()
+            if not batch.num_rows:
+                continue
+            rep, own = _column(batch, "rep").to_numpy(), _column(batch, "list").to_numpy()
             h = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            at, cells = [], []
-            for i in range(batch.num_rows):
-                o = own[i]
-                new = [(o, h[i] % wide[o], d, 0) for d in range(tall[o])]
-                new += [(q, a, h[i] % tall[q], 1 if q == o else 2) for q in (o, *probes[i]) for a in range(wide[q])]
-                at += [i] * len(new)
-                cells += new
-                if len(at) >= 20_000 or i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in zip(*cells, strict=True)), *(_column(batch, c).take(pa.array(at)) for c in names[4:])], names=names)
-                    at, cells = [], []
-
-    dealt = assigned.mapInArrow(deal, "list int, across int, down int, role int, rep long, weight long, x binary")
-    n_blocks = int((wide * tall).sum())
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(n_blocks, 2000) // 8)
-    dealt = dealt.repartition(parts, "list", "across", "down").sortWithinPartitions("list", "across", "down", "role", "rep")
+            home = bin_of[own]
+            # members: to every block down their own part; probing vectors: to every part across the bins they ask
+            row, to = asked(batch)
+            a = np.repeat(np.arange(len(own)), tall[home])
+            b, c = np.repeat(row, wide[to]), np.repeat(to, wide[to])
+            down = np.arange(len(a)) - np.repeat(np.cumsum(tall[home]) - tall[home], tall[home])
+            across = np.arange(len(b)) - np.repeat(np.cumsum(wide[to]) - wide[to], wide[to])
+            cells = np.concatenate([np.stack([home[a], (h % wide[home])[a], down, np.zeros(len(a), int)], 1), np.stack([c, across, h[b] % tall[c], np.ones(len(b), int)], 1)])
+            at = np.append(a, b)
+            for lo in range(0, len(at), 20_000):
+                part = slice(lo, lo + 20_000)
+                yield pa.RecordBatch.from_arrays([*(pa.array(cells[part, i].astype(np.int32)) for i in range(4)), *(_column(batch, x).take(pa.array(at[part])) for x in names[4:])], names=names)
+
+    dealt = assigned.mapInArrow(deal, "bin int, across int, down int, role int, rep long, weight long, x binary, list int, probes array<int>")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(int((wide * tall).sum()), 2000) // 8)
+    dealt = dealt.repartition(parts, "bin", "across", "down").sortWithinPartitions("bin", "across", "down", "role", "rep")
 
     @released
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         block: tuple | None = None
         held: list[tuple[np.ndarray, ...]] = []
-        ready: tuple | None = None
+        ready: dict | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([_column(batch, c).to_numpy() for c in ("list", "across", "down", "role")], 1)
-            rep, weight = _column(batch, "rep").to_numpy(), _column(batch, "weight").to_numpy()
+            keys = np.stack([_column(batch, c).to_numpy() for c in ("bin", "across", "down", "role")], 1)
+            rep, weight, own = (_column(batch, c).to_numpy() for c in ("rep", "weight", "list"))
             x = np.frombuffer(b"".join(_column(batch, "x").to_pylist()), float).reshape(-1, dim)
+            probes = _column(batch, "probes")
+            flat, upto = probes.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(probes.value_lengths().to_numpy()))
             edges = np.append(0, np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)))
-            for lo, hi in zip(edges, edges[1:], strict=False):
+            for lo, hi in zip(edges.tolist(), edges[1:].tolist(), strict=False):
                 here = tuple(keys[lo, :3])
                 if here != block:
                     block, held, ready = here, [], None
                 if keys[lo, 3] == 0:
-                    held.append((rep[lo:hi], weight[lo:hi], x[lo:hi]))
+                    held.append((rep[lo:hi], weight[lo:hi], x[lo:hi], own[lo:hi]))
                     continue
                 if not held:
                     continue
                 if ready is None:
-                    m_rep, m_weight, m_x = (np.concatenate(c) for c in zip(*held, strict=True))
-                    codes, error = q.encode((m_x - q.coarse[block[0]]).astype(np.float32))
-                    ready = m_rep, m_weight, m_x, codes, ((reach + error) ** 2 + 1e-4).astype(np.float32)
+                    ready = _prepare(q, [np.concatenate(c) for c in zip(*held, strict=True)], reach)
                 for a in range(lo, hi, STEP):
-                    out = _meet(q, block[0], (rep[a : min(hi, a + STEP)], weight[a : min(hi, a + STEP)], x[a : min(hi, a + STEP)]), ready, cosine, bool(keys[lo, 3] == 2))
-                    if out is not None:
-                        yield out
-
-    found = written(dealt.select("list", "across", "down", "role", "rep", "weight", "x").mapInArrow(compare, "rep long, n long, other long"), "vector-links")
+                    b = min(hi, a + STEP)
+                    asks = np.append(np.repeat(np.arange(a, b), np.diff(upto[a : b + 1])), np.arange(a, b))
+                    lists = np.append(flat[upto[a] : upto[b]], own[a:b])
+                    for k in ready:
+                        rows = asks[lists == k]
+                        for cross in (False, True):
+                            mine = rows[(own[rows] != k) == cross]
+                            for i in range(0, len(mine), 256):
+                                some = mine[i : i + 256]
+                                out = _meet(q, k, (rep[some], weight[some], x[some]), ready[k], cosine, cross)
+                                if out is not None:
+                                    yield out
+
+    found = written(dealt.mapInArrow(compare, "rep long, n long, other long"), "vector-links")
     return found.groupBy("rep").agg(F.sum("n").alias("n_links")), found.where("other <> rep").select(F.col("rep").alias("a"), F.col("other").alias("b"))
 
 
+def _prepare(q: Quantiser, members: list[np.ndarray], reach: float) -> dict[int, tuple]:
+    """A block's members by list: rep, weight, x, codes and how far a code may be for a link."""
+    rep, weight, x, own = members
+    out = {}
+    for k in np.unique(own).tolist():
+        at = np.flatnonzero(own == k)
+        codes, error = q.encode((x[at] - q.coarse[k]).astype(np.float32))
+        out[k] = rep[at], weight[at], x[at], codes, ((reach + error) ** 2 + 1e-4).astype(np.float32)
+    return out
+
+
 def _meet(q: Quantiser, list_: int, asked: tuple, members: tuple, cosine: float, cross: bool) -> pa.RecordBatch | None:
     """Links of some vectors with a block's members: (rep, weight linked, a node it is joined with)."""
     a_rep, a_weight, a_x = asked
@@ -258,25 +319,27 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     directly), component_id (smallest vec_id reachable by links, itself included), kept (vec_id =
     component_id).
 
-    Vectors are linked if their cosine in double precision is `cosine` or more. A vector that is
-    null, empty, zero or holds null or non-finite components links with nothing, nor does one
-    of a length other than most have. Equal vectors are linked like any others, through
-    their class. An empty table gives no rows; further columns play no part. A link whose ends lie
-    on both sides of a plane between lists is lost only if it crosses it by more than
-    `PROBE_SIGMAS` standard deviations of a random direction.
+    Vectors of one length are linked if their cosine in double precision is `cosine` or more;
+    each length has quantisers of its own. A vector that is null, empty, zero or holds null or
+    non-finite components links with nothing, nor does a row without vec_id, whose component_id is
+    null. Equal vectors are linked like any others, through their class. An empty table gives no
+    rows; further columns play no part. A link whose ends lie on both sides of a plane between
+    lists is lost only if it crosses it by more than `PROBE_SIGMAS` standard deviations of a random
+    direction.
     """
-    spark = vectors.sparkSession
     rows = written(_prepared(vectors), "vectors")
-    usual = rows.where("key is not null").groupBy(F.octet_length("x").alias("bytes")).count().orderBy(F.desc("count"), "bytes").first()
-    lone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if usual is None:
-        return lone
-    good = (F.col("key").isNotNull()) & (F.octet_length("x") == usual["bytes"]) & F.col("vec_id").isNotNull()
+    good = (F.col("key").isNotNull()) & F.col("vec_id").isNotNull()
     grouped = rows.where(good).groupBy("key").agg(F.min(F.struct("vec_id", "x")).alias("least"), F.count("*").alias("weight"))
     classes = written(grouped.select("key", F.col("least.vec_id").alias("rep"), "weight", F.col("least.x").alias("x")), "classes")
-    counts, edges = links(classes.select("rep", "weight", "x"), classes.count(), usual["bytes"] // 8, cosine)
-    found = components(edges)
-    joined = classes.select("key", "rep", "weight").join(counts, "rep", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    counts = edges = None
+    for size, n in classes.groupBy(F.octet_length("x")).count().where("count > 1").orderBy("count").collect():
+        some, joins = links(classes.where(F.octet_length("x") == size).select("rep", "weight", "x"), n, size // 8, cosine)
+        counts, edges = (some, joins) if counts is None else (counts.unionAll(some), edges.unionAll(joins))
+    joined = classes.select("key", "rep", "weight")
+    if counts is None:
+        joined = joined.withColumns({"n_links": F.lit(0), "component": F.col("rep")})
+    else:
+        joined = joined.join(counts, "rep", "left").join(components(edges).withColumnRenamed("id", "rep"), "rep", "left")
     total = F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1
     by_key = joined.select(F.col("key").alias("k"), total.alias("n"), F.coalesce("component", "rep").alias("c"))
     out = rows.select("vec_id", F.when(good, F.col("key")).alias("key")).join(by_key, F.col("key") == F.col("k"), "left")
@@ -286,4 +349,5 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
 
 
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all `embeddings` at a cosine of 0.95; see `near_vectors`."""
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), 0.95)

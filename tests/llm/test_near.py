@@ -107,3 +107,28 @@ def test_near_vectors(spark, monkeypatch):
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert near_vectors(empty).count() == 0
     assert near_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<double>")).first().kept
+
+
+def test_vectors_of_several_lengths(spark, monkeypatch):
+    """Lengths that few vectors have are linked like the usual one, bins and parts do not matter."""
+    monkeypatch.setattr("graphloom.llm.vectors.MEMBERS", 50)
+    monkeypatch.setattr("graphloom.llm.vectors.QUERIES", 60)
+    r = np.random.default_rng(8)
+    rows, want = [], {}
+    for first, dim, n in ((0, 8, 400), (1000, 3, 90), (2000, 2, 2), (3000, 5, 1)):
+        x = r.normal(size=(n, dim))
+        x[n // 2 :] = x[: n - n // 2] * r.uniform(0.5, 2, (n - n // 2, 1)) + 0.05 * r.normal(size=(n - n // 2, dim))
+        if n == 2:
+            x[1] = x[0]
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        hit = unit @ unit.T >= 0.95
+        np.fill_diagonal(hit, False)
+        for i, c in enumerate(united(n, list(zip(*np.nonzero(hit), strict=True)))):
+            want[first + i] = (int(hit[i].sum()), first + c)
+        rows += [(first + i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(None, rows[0][1]), (None, None)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == len(rows) and [(g.n_links, g.component_id, g.kept) for g in got if g.vec_id is None] == [(0, None, True)] * 2
+    found = {g.vec_id: (g.n_links, g.component_id) for g in got if g.vec_id is not None}
+    assert {k: v for k, v in found.items() if k >= 1000} == {k: v for k, v in want.items() if k >= 1000}
+    assert sum(found[k] == want[k] for k in range(400)) >= 396
