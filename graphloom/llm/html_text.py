@@ -3,8 +3,12 @@
 Pages of a host are merged into one tree of style nodes: an element's node is its path of tags
 with class and id. A node's importance is a weighted mean of two: of its contents, 1 less the mean
 entropy (to the base of the number of pages) with which a content is spread over the host's pages,
-and of its presentation, the same for the sequences of its children's tags. Branches of low importance (menus, notices and adverts that repeat) are removed from each
-page, with those that HTML itself or a class name says are no article.
+and of its presentation, the same for the sequences of its children's tags. A host with few pages
+tells little, so its estimate is drawn to that of the node's style on all hosts, and that to a
+neutral one, as if they were so many pages more: evidence grows without a step. Branches that HTML
+or a name says are no article go, too, as readers' comments and forms differ on each page. Branches of low importance (menus, notices and adverts that
+repeat) are removed from each page, but not a wrapper with a telling name that holds most of the
+page's text and its heading, nor a branch without which next to nothing would be left.
 """
 
 from __future__ import annotations
@@ -17,87 +21,164 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import released, table, written
 
-#: Distinct pages of a host that a node must be on before its importance counts.
-LEAST_PAGES = 8
 #: Importance below which a branch is removed, outside and inside article and main.
-LOW, LOW_INSIDE = 0.35, 0.1
+LOW, LOW_INSIDE = 0.8, 0.3
+#: Importance where nothing is known, and how many pages' evidence it, and all hosts', weigh.
+NEUTRAL, PRIOR_PAGES = 0.95, 4.0
 #: Weight of presentation in importance.
 LOOK_SHARE = 0.1
+#: Share of a page's text above which a branch stays against its name, where it holds a heading or
+#: an article, and against its importance.
+WRAPS, NEARLY_ALL = 0.5, 0.9
 #: Nodes to remove that are broadcast at most; more of them are joined to the pages by host.
 BROADCAST_NODES = 200_000
 
 _RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "audio", "video"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_NOISE_TAGS = set("nav aside footer form head button select menu dialog fieldset datalist".split())
-_NOISE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form status".split())
+_NOISE_TAGS = set("nav aside footer head button select menu dialog datalist".split())
+#: Tags that often are no article but may as well wrap a whole page.
+_FORM_TAGS = {"form", "fieldset"}
+_NOISE_ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar status".split())
 _NOISE_WORDS = set(
     "ad ads advert adverts advertisement advertising banner promo promotion sponsor sponsored comment comments disqus reply replies respond sidebar menu nav navbar navigation breadcrumb breadcrumbs"
     " footer masthead cookie cookies consent gdpr notice notices notification alert newsletter subscribe signup login share sharing social related recommended widget popup modal overlay pagination pager copyright toolbar skip".split()
 )
+#: Of these, names of what readers write: never a wrapper.
+_READERS = set("comment comments disqus reply replies respond".split())
+#: Words that turn a name into a statement about something else, as in has-sidebar or ads-free.
+_STATE_WORDS = set("has with without no non not is are open closed free enabled disabled".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TEXTUAL = set("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption".split())
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+>?|(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,9999}+\"|'[^']{0,9999}+'|[\"'])*+)>?)", re.S)
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+>?|(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_P = (1 << 61) - 1
+_BASE = 0x1D3F_0A5B_77C2_9E15
+#: What a branch's markup says: nothing, perhaps no article (it may wrap one), no article.
+PLAIN, WEAK, STRONG = 0, 1, 2
+
+
+@dataclass
+class Element:
+    """A branch: its style node, what its markup says, its blocks, and whether it holds a heading of
+    first order, an article or main that no name rules out."""
+
+    tag: str
+    parent: int
+    node: int
+    kind: int
+    inside: bool
+    named: bool
+    first: int
+    end: int = 0
+    holds: bool = False
+    children: list[str] = field(default_factory=list)
 
 
 @dataclass
 class Page:
-    """Blocks (text, style nodes around it, whether the markup itself rules it out) and nodes."""
+    """Blocks of text, and elements in the order in which they open; blocks of a branch are one range."""
+
+    blocks: list[str] = field(default_factory=list)
+    elements: list[Element] = field(default_factory=list)
 
-    blocks: list[tuple[str, tuple[int, ...], bool]] = field(default_factory=list)
-    #: node -> (content, presentation) hashes of its occurrences; containers only
-    nodes: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
-    inside: set[int] = field(default_factory=set)
+    def nodes(self) -> dict[int, tuple[list[tuple[int, int]], bool]]:
+        """node -> ((content, presentation) hashes of its occurrences, whether in article or main);
+        containers, and text elements with a name outside articles.
 
+        Contents are hashed from prefix sums over blocks, so nesting costs nothing.
+        """
+        total, power = [0], [1]
+        for block in self.blocks:
+            total.append((total[-1] * _BASE + xxhash.xxh3_64_intdigest(block) + 1) % _P)
+            power.append(power[-1] * _BASE % _P)
+        out: dict[int, tuple[list[tuple[int, int]], bool]] = {}
+        for e in self.elements:
+            if e.tag in _INLINE or (e.tag in _TEXTUAL and (e.inside or not e.named)):
+                continue
+            content = (total[e.end] - total[e.first] * power[e.end - e.first]) % _P
+            seen, inside = out.get(e.node, ([], False))
+            seen.append((content, xxhash.xxh3_64_intdigest(" ".join(e.children))))
+            out[e.node] = seen, inside or e.inside
+        return out
 
-def _noisy(tag: str, attrs: dict[str, str], landmark: bool) -> bool:
-    if tag in _NOISE_TAGS or (tag == "header" and not landmark) or "hidden" in attrs:
-        return True
-    if attrs.get("role", "").lower() in _NOISE_ROLES:
-        return True
-    if tag in ("html", "body", "article", "main"):
-        words = attrs.get("class", "").split() if tag == "article" else []
+    def text(self, low: set[int]) -> str:
+        """The blocks outside branches that are ruled out; `low`: nodes of low importance."""
+        upto = [0]
+        ruled = 0  # first block after the last strong branch
+        cuts = iter([(e.first, e.end) for e in self.elements if e.kind == STRONG])
+        cut = next(cuts, None)
+        for i, block in enumerate(self.blocks):
+            while cut and cut[0] <= i:
+                ruled, cut = max(ruled, cut[1]), next(cuts, None)
+            upto.append(upto[-1] + (0 if i < ruled else len(block)))
+        kept = [True] * len(self.blocks)
+        past = 0
+        for e in self.elements:
+            if e.first < past or e.first == e.end:
+                continue
+            held = upto[e.end] - upto[e.first]
+            if e.kind == STRONG:
+                gone = True
+            elif e.kind == WEAK:
+                gone = not (e.holds and held > WRAPS * upto[-1] or e.tag in _FORM_TAGS and held and held == upto[-1])
+            else:
+                gone = e.node in low and held <= NEARLY_ALL * upto[-1]
+            if gone:
+                kept[e.first : e.end] = [False] * (e.end - e.first)
+                past = e.end
+        return "\n".join(b for b, k in zip(self.blocks, kept, strict=True) if k)
+
+
+def _kind(tag: str, attrs: dict[str, str], inside: bool) -> int:
+    """What an element's own tag and attributes say."""
+    if tag in _NOISE_TAGS or (tag == "header" and not inside) or "hidden" in attrs or attrs.get("role", "").lower() in _NOISE_ROLES:
+        return STRONG
+    if tag in ("html", "body", "main"):
+        words = []
     else:
-        words = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
-    return any(part.lower() in _NOISE_WORDS for w in words for part in _NAME_PARTS.findall(w))
+        words = (attrs.get("class", "") if tag == "article" else f"{attrs.get('class', '')} {attrs.get('id', '')}").split()
+    parts = [{x.lower() for x in _NAME_PARTS.findall(w)} for w in words]
+    parts = [p for p in parts if p & _NOISE_WORDS and not p & _STATE_WORDS]
+    if any(p & _READERS for p in parts):
+        return STRONG
+    return WEAK if parts or tag in _FORM_TAGS or attrs.get("role", "").lower() == "form" else PLAIN
 
 
-def parse(source: str | None, with_nodes: bool = False) -> Page:
-    """A page's blocks in order; with `with_nodes` its style nodes, too."""
+def parse(source: str | None, names: bool = True) -> Page:
+    """A page's blocks and elements; without `names` no tag, role, class or id rules a branch out.
+
+    Time is in proportion to the source: what is open is found by tag, and each element closes once.
+    """
     page, source = Page(), source or ""
-    # open elements: tag, node, noise, inside article or main, first block, hash so far, children
-    stack: list[list] = [["", 0, False, False, 0, 0, []]]
-    open_tags: dict[str, int] = {}
+    stack: list[int] = []  # open elements
+    at_tag: dict[str, list[int]] = {}  # places in the stack of open elements by tag
+    lists: list[int] = []  # places of open lists and tables
     text: list[str] = []
-    total = 0
-    path: tuple[int, ...] = ()
 
     def flush() -> None:
-        nonlocal total
         if text:
             block = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if block:
-                page.blocks.append((block, path, stack[-1][2]))
-                total = (total * 31 + xxhash.xxh3_64_intdigest(block)) & 0xFFFFFFFFFFFFFFFF
-
-    def close() -> None:
-        nonlocal path
-        tag, node, noise, inside, first, before, children = stack.pop()
-        open_tags[tag] -= 1
-        path = path[:-1]
-        if with_nodes and tag not in _INLINE and not (inside and tag in _TEXTUAL):
-            content = xxhash.xxh3_64_intdigest("\n".join(b[0] for b in page.blocks[first:])) if len(page.blocks) > first else 0
-            page.nodes.setdefault(node, []).append((content, xxhash.xxh3_64_intdigest(" ".join(children))))
-            if inside:
-                page.inside.add(node)
+                page.blocks.append(block)
+
+    def close_from(place: int) -> None:
+        while len(stack) > place:
+            e = page.elements[stack.pop()]
+            at_tag[e.tag].pop()
+            if lists and lists[-1] == len(stack):
+                lists.pop()
+            e.end = len(page.blocks)
+            e.holds = e.kind != STRONG and (e.holds or e.kind == PLAIN and e.tag in ("h1", "article", "main"))
+            if e.holds and e.parent >= 0:
+                page.elements[e.parent].holds = True
 
     at = 0
     for m in _TAG.finditer(source):
@@ -116,10 +197,8 @@ def parse(source: str | None, with_nodes: bool = False) -> Page:
         elif tag == "br":
             text.append(" ")
         if m[1]:
-            if open_tags.get(tag):
-                while stack[-1][0] != tag:
-                    close()
-                close()
+            if at_tag.get(tag):
+                close_from(at_tag[tag][-1])
             continue
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
@@ -127,36 +206,32 @@ def parse(source: str | None, with_nodes: bool = False) -> Page:
             continue
         if tag in _VOID:
             continue
-        if block and open_tags.get("p") and tag != "p" or tag == "p" and open_tags.get("p"):
-            # a block ends an open paragraph, and what was open in it
-            while open_tags["p"]:
-                close()
+        if block and at_tag.get("p"):
+            close_from(at_tag["p"][0])  # a block ends an open paragraph, and what was open in it
         for other in _CLOSES.get(tag, ()):
             # only within the same list or table
-            if open_tags.get(other):
-                for entry in reversed(stack):
-                    if entry[0] in ("ul", "ol", "dl", "table", "select"):
-                        break
-                    if entry[0] == other:
-                        while stack[-1] is not entry:
-                            close()
-                        close()
-                        break
+            if at_tag.get(other) and at_tag[other][-1] > (lists[-1] if lists else -1):
+                close_from(at_tag[other][-1])
         attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])} if m[3] else {}
-        parent = stack[-1]
-        key = f"{tag}.{' '.join(sorted(attrs.get('class', '').split()))}#{re.sub('[0-9]+', '0', attrs.get('id', ''))}"
-        node = xxhash.xxh3_64_intdigest(key, parent[1]) & 0x7FFFFFFFFFFFFFFF
-        landmark = parent[3] or tag in ("article", "main") or attrs.get("role") == "main"
-        if block:
-            parent[6].append(key)
-        stack.append([tag, node, parent[2] or _noisy(tag, attrs, parent[3]), landmark, len(page.blocks), total, []])
-        open_tags[tag] = open_tags.get(tag, 0) + 1
-        path += (node,)
+        up = stack[-1] if stack else -1
+        parent = page.elements[up] if stack else None
+        classes = " ".join(sorted(attrs.get("class", "").split()))
+        key = f"{tag}.{classes}#{re.sub('[0-9]+', '0', attrs.get('id', ''))}"
+        node = xxhash.xxh3_64_intdigest(key, parent.node if parent else 0) & 0x7FFFFFFFFFFFFFFF
+        within = bool(parent) and parent.inside
+        if block and parent:
+            parent.children.append(key)
+        kind = _kind(tag, attrs, within) if names else PLAIN
+        landmark = within or tag in ("article", "main") or attrs.get("role") == "main"
+        page.elements.append(Element(tag, up, node, kind, landmark, bool(classes or attrs.get("id")), len(page.blocks)))
+        at_tag.setdefault(tag, []).append(len(stack))
+        if tag in ("ul", "ol", "dl", "table", "select"):
+            lists.append(len(stack))
+        stack.append(len(page.elements) - 1)
     if at < len(source):
         text.append(source[at:])
     flush()
-    while len(stack) > 1:
-        close()
+    close_from(0)
     return page
 
 
@@ -173,50 +248,62 @@ def style_tree(pages: DataFrame) -> DataFrame:
     Pages whose whole text is the same count once. Sums go by (host, node, content), combined
     before they are shuffled, so a host's pages never meet in one place.
     """
+    names = ["host", "page", "node", "inside", "content", "look"]
 
     @released
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "page", "node", "inside", "content", "look"]
         for batch in batches:
             rows = []
             urls, sources = (batch.column(batch.schema.get_field_index(c)) for c in ("url", "html"))
             for url, source in zip(urls.to_pylist(), sources, strict=True):
-                page, name = parse(source.as_py(), True), host(url)
-                key = xxhash.xxh3_64_intdigest("\n".join(b[0] for b in page.blocks))
-                for node, seen in page.nodes.items():
+                page, name = parse(source.as_py()), host(url)
+                key = xxhash.xxh3_64_intdigest("\n".join(page.blocks))
+                for node, (seen, inside) in page.nodes().items():
                     content, look = (xxhash.xxh3_64_intdigest(repr(sorted(x))) for x in zip(*seen, strict=True))
-                    rows.append((name, key, node, node in page.inside, content, look))
+                    rows.append((name, key, node, inside, content, look))
             if rows:
                 columns = list(zip(*rows, strict=True))
                 longs = [pa.array([x - (1 << 64) if x >> 63 else x for x in columns[i]], pa.int64()) for i in (1, 2, 4, 5)]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0]), longs[0], longs[1], pa.array(columns[3]), longs[2], longs[3]], names=names)
 
     found = pages.select("url", "html").mapInArrow(nodes, "host string, page long, node long, inside boolean, content long, look long")
-    each = found.dropDuplicates(["host", "page", "node"])
-    by_content = each.groupBy("host", "node", "content", "look").agg(F.count("*").alias("n"), F.max("inside").alias("inside"))
-    f = F.col("n").cast("double")
-    # a content on n of m pages has entropy log n / log m; its n occurrences weigh n
-    content = by_content.groupBy("host", "node", "content").agg(F.sum("n").alias("n"), F.max("inside").alias("inside")).groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(f * F.log(f)).alias("spread"), F.max("inside").alias("inside"))
-    look = by_content.groupBy("host", "node", "look").agg(F.sum("n").alias("n")).groupBy("host", "node").agg(F.sum("n").alias("m2"), F.sum(f * F.log(f)).alias("looks"))
-    m = F.col("m").cast("double")
-    tree = content.join(look, ["host", "node"])
-    told = F.when(m > 1, 1 - F.col("spread") / (m * F.log(m))).otherwise(F.lit(1.0))
-    shape = F.when(m > 1, 1 - F.col("looks") / (m * F.log(m))).otherwise(F.lit(1.0))
-    return tree.select("host", "node", "inside", F.col("m").alias("n_pages"), ((1 - LOOK_SHARE) * told + LOOK_SHARE * shape).alias("importance"))
-
-
-def main_text(pages: DataFrame) -> DataFrame:
+    each = found.groupBy("host", "page", "node").agg(F.max("inside").alias("inside"), F.min("content").alias("content"), F.min("look").alias("look"))
+    counts = written(each.groupBy("host", "node", "content", "look").agg(F.count("*").alias("n"), F.max("inside").alias("inside")), "style-contents")
+
+    def spread(by: list[str]) -> DataFrame:
+        """Pages and entropy of each node of `by`: a content on n of m pages has entropy log n / log m, and weighs n."""
+        f, m = F.col("n").cast("double"), F.col("m").cast("double")
+        parts = []
+        for what in ("content", "look"):
+            sums = counts.groupBy(*by, what).agg(F.sum("n").alias("n"), F.max("inside").alias("inside"))
+            sums = sums.groupBy(*by).agg(F.sum("n").alias("m"), F.sum(f * F.log(f)).alias("spread"), F.max("inside").alias("inside"))
+            parts.append(sums.select(*by, "m", "inside", F.when(m > 1, 1 - F.col("spread") / (m * F.log(m))).otherwise(1.0).alias(what)))
+        both = parts[0].join(parts[1].select(*by, "look"), by)
+        return both.select(*by, "m", "inside", ((1 - LOOK_SHARE) * F.col("content") + LOOK_SHARE * F.col("look")).alias("seen"))
+
+    def drawn(seen: Column, m: Column, prior: Column) -> Column:
+        return ((m - 1) * seen + PRIOR_PAGES * prior) / (m - 1 + PRIOR_PAGES)
+
+    everywhere = spread(["node"]).select("node", drawn(F.col("seen"), F.col("m"), F.lit(NEUTRAL)).alias("prior"))
+    tree = spread(["host", "node"]).join(everywhere, "node")
+    return tree.select("host", "node", "inside", F.col("m").alias("n_pages"), drawn(F.col("seen"), F.col("m"), F.col("prior")).alias("importance"))
+
+
+def low_nodes(tree: DataFrame) -> DataFrame:
+    """(host, node) of a tree's nodes of low importance."""
+    return tree.where(F.col("importance") < F.when(F.col("inside"), LOW_INSIDE).otherwise(LOW)).select("host", "node")
+
+
+def main_text(pages: DataFrame, names: bool = True) -> DataFrame:
     """`page_id, url, text, n_chars` of each row of `pages` (page_id, url, html).
 
     Blocks in page order, one a line: character references decoded, white space as one space,
     trimmed; empty for null or empty html and for pages of which nothing is left. A null or odd url
     has the host ''. Rows that repeat give a row each; an empty table gives none. Further columns
-    play no part.
+    play no part. Without `names` importance alone decides.
     """
     spark = pages.sparkSession
-    tree = style_tree(pages)
-    limit = F.when(F.col("inside"), LOW_INSIDE).otherwise(LOW)
-    low = written(tree.where((F.col("n_pages") >= LEAST_PAGES) & (F.col("importance") < limit)).select("host", "node"), "low-nodes")
+    low = written(low_nodes(style_tree(pages)), "low-nodes")
     shown = pages.select("page_id", "url", "html")
     if low.count() <= BROADCAST_NODES:
         drop: dict[str, set[int]] = {}
@@ -236,12 +323,13 @@ def main_text(pages: DataFrame) -> DataFrame:
             urls, sources, drops = (batch.column(batch.schema.get_field_index(c)) for c in ("url", "html", "drop"))
             texts = []
             for i, url in enumerate(urls.to_pylist()):
-                gone = set(drops[i].as_py() or ()) if shared.value is None else shared.value.get(host(url), ())
-                texts.append("\n".join(b for b, path, noise in parse(sources[i].as_py()).blocks if not noise and not any(n in gone for n in path)))
+                gone = set(drops[i].as_py() or ()) if shared.value is None else shared.value.get(host(url), set())
+                texts.append(parse(sources[i].as_py(), names).text(gone))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("page_id")), urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return shown.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all `pages`; see `main_text`."""
     return main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
