@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.operators import reconcile, state, workspace
+from graphloom.operators import bm25, code, dense, reconcile, state, workspace
 from graphloom.operators import search as hybrid
+from graphloom.operators.index import TextIndex, VectorIndex
 from graphloom.plans import graph as plans
+from graphloom.sources import files as sources
 from graphloom.sources import log as logs
 
 
@@ -27,15 +32,71 @@ class Engine:
     def query(self, request: dict) -> DataFrame:
         return plans.run(self.graph, request)
 
-    def search(self, request: dict, vector: list[float] | None = None, now: int | None = None) -> DataFrame:
-        return hybrid.search(self.graph, request, vector=vector, now=now)
+    def search(self, request: dict, vector: list[float] | None = None, now: int | None = None, index: tuple[TextIndex, VectorIndex] | None = None) -> DataFrame:
+        """Hits of a request; with kept indexes only what they hold of its terms is read."""
+        text, chunks = (index[0].source(), index[1].chunks()) if index else (None, None)
+        return hybrid.search(self.graph, request, text, chunks, vector=vector, now=now)
 
     def append(self, events: DataFrame) -> None:
         logs.append(events, self.path)
 
-    def reconcile(self, files: DataFrame, now_ms: int) -> None:
-        """Takes in `files` (path, content)."""
-        self.append(reconcile.events(files, self.graph, now_ms))
+    def _event(self, kind: str, **payload: str | None) -> None:
+        columns = {k: F.lit(v) for k, v in payload.items() if v is not None}
+        self.append(self.spark.range(1).select(*logs.event(kind, F.lit(0).cast("bigint"), **columns)))
+
+    def upsert_node(self, node_id: str, label: str, properties: dict) -> None:
+        """Writes a node whole."""
+        self._event("UPSERT_NODE", id=node_id, label=label, properties=json.dumps(properties))
+
+    def link_nodes(self, from_id: str, to_id: str, relationship: str, properties: dict | None = None) -> None:
+        self._event("LINK_NODES", from_id=from_id, to_id=to_id, relationship=relationship, properties=json.dumps(properties or {}))
+
+    def delete_node(self, node_id: str) -> None:
+        """Deletes a node and all its edges."""
+        self._event("DELETE_NODE", id=node_id)
+
+    def delete_edges(self, node_id: str, direction: str = "outbound") -> None:
+        self._event("DELETE_EDGES", from_id=node_id, direction=direction)
+
+    def languages(self) -> DataFrame:
+        return code.languages(self.spark)
+
+    def reconcile(self, files: DataFrame, now_ms: int) -> dict[str, int]:
+        """Takes in `files` (path, content); returns what that did."""
+        graph = self.graph
+        batch = reconcile.events(files, graph, now_ms)
+        self.append(batch)
+        refs = code.references(files.where("content is not null"))
+        named = self.graph.nodes.where("entity_type in ('Function', 'Class')").select("name").distinct()
+        pending = refs.select(F.regexp_extract("name", r"([^:.]+)$", 1).alias("name")).join(named, "name", "left_anti")
+        return reconcile.counts(batch, pending)
+
+    def sync(self, root: str, now_ms: int) -> dict[str, int]:
+        """Makes the graph agree with the source tree below `root`: files that are newer than the graph
+        has them are taken in, and those that are gone are taken out."""
+        disk = sources.scan(self.spark, root)
+        known = self.graph.by_type("File").select(F.col("id").alias("path"), "last_modified")
+        new = disk.join(sources.changed(disk, known), "path", "left_semi").select("path", "content")
+        gone = sources.stale(disk, known).select("path", F.lit(None).cast("string").alias("content"))
+        return self.reconcile(new.unionByName(gone), now_ms)
+
+    def track(self, path: str) -> None:
+        """Maps all that a file declares to the active workspaces."""
+        pairs = workspace.mapped(self.graph, path)
+        place = F.pmod(F.xxhash64("from_id", "to_id"), F.lit(1 << 40))
+        self.append(pairs.select(*logs.event("LINK_NODES", place, from_id=F.col("from_id"), to_id=F.col("to_id"), relationship=F.col("relationship"), properties=F.col("properties"))))
+
+    def report(self) -> DataFrame:
+        return workspace.report(self.graph)
+
+    def index(self, path: str) -> tuple[TextIndex, VectorIndex]:
+        """Kept indexes below `path`, built from the graph where there are none yet."""
+        text, vectors = TextIndex(self.spark, f"{path}/text"), VectorIndex(self.spark, f"{path}/vectors")
+        if not text.generations():
+            text.add(bm25.node_fields(self.graph.nodes))
+        if not vectors.generations():
+            vectors.add(dense.node_chunks(self.graph.nodes))
+        return text, vectors
 
     def open_workspace(self, name: str, description: str, now: int) -> None:
         self.append(workspace.initialize(self.graph, name, description, now, 0))

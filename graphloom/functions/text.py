@@ -63,9 +63,9 @@ def split_camel(text: Column) -> Column:
 
 def raw_tokens(text: Column) -> Column:
     """Lower-case tokens before stemming: parted at white space, `_` and camel case, ends stripped of all but letters, marks and digits."""
-    parts = F.split(split_camel(F.translate(F.coalesce(text, F.lit("")), "_", " ")), r"[\s\p{Z}]+")
-    bare = F.transform(parts, lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}\p{M}]+$", "")))
-    return F.filter(bare, lambda w: w != "")
+    apart = split_camel(F.replace(F.coalesce(text, F.lit("")), F.lit("_"), F.lit(" ")))
+    bare = F.regexp_extract_all(apart, F.lit(r"[\p{L}\p{N}](?:[^\s\p{Z}]*[\p{L}\p{N}\p{M}])?"), F.lit(0))
+    return F.transform(bare, F.lower)
 
 
 def tokens(text: Column) -> Column:
@@ -132,11 +132,6 @@ def file_references(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: w.rlike(known) & (w.contains("/") | w.rlike(r"^\p{L}"))))
 
 
-def sentences(text: Column) -> Column:
-    """Pieces up to each `.`, `!` or `?`, trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-
-
 def content_hash(text: Column) -> Column:
     """First 16 hexadecimal digits of SHA-256."""
     return F.substring(F.sha2(text, 256), 1, 16)

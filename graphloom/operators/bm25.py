@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import raw_tokens, stem, tokens
+from graphloom.functions.text import raw_tokens, stem
+from graphloom.operators.rerank import words
+from graphloom.sources.folders import work_folder
 
 #: Saturation, length normalisation, weights of fields.
 K1, B = 1.2, 0.75
@@ -18,7 +24,7 @@ def postings(texts: DataFrame) -> DataFrame:
     Tokens are counted before they are stemmed, so that stems are worked out once for each
     distinct token of a document.
     """
-    raw = texts.select("field", "doc_id", F.explode(raw_tokens(F.col("text"))).alias("raw")).groupBy("field", "doc_id", "raw").agg(F.count("*").alias("n"))
+    raw = spread(texts.select("field", "doc_id", "text")).select("field", "doc_id", F.explode(raw_tokens(F.col("text"))).alias("raw")).groupBy("field", "doc_id", "raw").agg(F.count("*").alias("n"))
     return raw.groupBy("field", "doc_id", stem(F.col("raw")).alias("token")).agg(F.sum("n").alias("tf"))
 
 
@@ -32,20 +38,54 @@ def stats(length: DataFrame) -> DataFrame:
     return length.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def query_terms(df: DataFrame, text: str) -> DataFrame:
-    """(token, weight): the query's tokens, each as often as it occurs."""
-    one = df.sparkSession.range(1).select(F.explode(tokens(F.lit(text))).alias("token"))
-    return one.groupBy("token").agg(F.count("*").alias("weight"))
+def terms(text: str) -> dict[str, int]:
+    """The query's tokens, each with how often it occurs."""
+    return dict(Counter(words(text)))
+
+
+#: Gives, for the terms asked for, lengths (field, doc_id, dl) of a whole corpus and hits (field, doc_id, token, tf).
+Source = Callable[[dict[str, int]], tuple[DataFrame, DataFrame]]
+
+
+def spread(texts: DataFrame) -> DataFrame:
+    """`texts` over all cores, where they come in fewer parts: taking texts apart is what costs."""
+    n = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(n) if texts.rdd.getNumPartitions() < n else texts
+
+
+def of_postings(post: DataFrame) -> Source:
+    return lambda asked: (lengths(post), post.where(F.col("token").isin(*asked)))
+
+
+def of_texts(texts: DataFrame) -> Source:
+    """Straight from texts (doc_id, field, text), in one pass over them: stems don't change lengths,
+    and no rule of stemming touches a word's first two letters, so only words that begin like a term
+    are kept and stemmed. What is kept is written to the shared folder."""
+
+    def source(asked: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+        spark, path = texts.sparkSession, work_folder(texts.sparkSession, "tokens")
+        starts = sorted({t[:2] for t in asked})
+        cut = spread(texts.select("field", "doc_id", "text")).select("field", "doc_id", raw_tokens(F.col("text")).alias("raw"))
+        begins = F.filter("raw", lambda w: reduce(lambda x, y: x | y, [F.lit(False), *[w.startswith(t) for t in starts]]))
+        cut.select("field", "doc_id", F.size("raw").cast("long").alias("n"), begins.alias("raw")).where("n > 0").write.parquet(path)
+        kept = spark.read.schema("field string, doc_id string, n bigint, raw array<string>").parquet(path)
+        found = kept.select("field", "doc_id", F.explode("raw").alias("raw")).groupBy("field", "doc_id", "raw").agg(F.count("*").alias("n"))
+        stemmed = found.select("field", "doc_id", stem(F.col("raw")).alias("token"), "n").where(F.col("token").isin(*asked))
+        return kept.groupBy("field", "doc_id").agg(F.sum("n").alias("dl")), stemmed.groupBy("field", "doc_id", "token").agg(F.sum("n").alias("tf"))
+
+    return source
 
 
-def field_scores(post: DataFrame, text: str) -> DataFrame:
-    """(field, doc_id, score) of all documents with a query token.
+def field_scores(source: Source | DataFrame, text: str) -> DataFrame:
+    """(field, doc_id, score) of all documents with a query token; a DataFrame is one of postings.
 
     Lengths and counts cover the whole corpus; only the postings of query tokens meet them.
     Statistics are one row a field and terms one row a query token, so both are broadcast.
     """
-    length = lengths(post)
-    hits = post.join(F.broadcast(query_terms(post, text)), "token")
+    asked = terms(text)
+    length, found = (of_postings(source) if isinstance(source, DataFrame) else source)(asked)
+    weights = length.sparkSession.createDataFrame(sorted(asked.items()), "token string, weight int")
+    hits = found.join(F.broadcast(weights), "token")
     df = hits.groupBy("field", "token").agg(F.count("*").alias("df"))
     scored = hits.join(F.broadcast(df), ["field", "token"]).join(length, ["field", "doc_id"]).join(F.broadcast(stats(length)), "field")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -63,9 +103,9 @@ def by_score(score: str = "score") -> Column:
     return F.round(score, 9).desc()
 
 
-def search(post: DataFrame, text: str, limit: int) -> DataFrame:
+def search(source: Source | DataFrame, text: str, limit: int) -> DataFrame:
     """(doc_id, score), best first: of each field its best max(20, 3 limit), summed by field weight."""
-    scores = field_scores(post, text)
+    scores = field_scores(source, text)
     total = None
     for field, weight in WEIGHTS.items():
         best = scores.where(F.col("field") == field).orderBy(by_score(), "doc_id").limit(max(20, 3 * limit))

@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DECLARATIONS = "path string, id string, entity_type string, name string, line int, source_text string"
+DECLARATIONS = "path string, id string, entity_type string, name string, line int, place int, source_text string"
 REFERENCES = "path string, kind string, name string, line int, col int, enclosing string"
 
 
@@ -159,11 +159,12 @@ def _parse(path: str, text: str | None) -> Found:
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """`DECLARATIONS` of `files` (path, content): ids are path:name; files of no known language give none."""
+    """`DECLARATIONS` of `files` (path, content): ids are path:name, place is their order in the file;
+    files of no known language give none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, f"{p}:{n}", k, n, line, src) for p, t in zip(pdf["path"], pdf["content"], strict=True) for k, n, line, src in _parse(p, t).declarations]
+            rows = [(p, f"{p}:{n}", k, n, line, at, src) for p, t in zip(pdf["path"], pdf["content"], strict=True) for at, (k, n, line, src) in enumerate(_parse(p, t).declarations)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in DECLARATIONS.split(", ")])
 
     return files.select("path", "content").mapInPandas(run, DECLARATIONS)
@@ -183,14 +184,19 @@ def references(files: DataFrame) -> DataFrame:
 def resolve(refs: DataFrame, declared: DataFrame) -> DataFrame:
     """(from_id, to_id, relationship, properties): references joined by name with declarations.
 
-    A declaration of the same file goes before those of others; among others all of that name are
-    linked. It stands in for a language server, which this engine does not run.
+    The nearest declaration counts: of the same file, else of the same folder, else any; where the
+    nearest are several, the reference stays pending. It stands in for a language server, which this
+    engine does not run.
     """
     last = F.regexp_extract("name", r"([^:.]+)$", 1)
     asked = refs.select("path", "kind", last.alias("name"), F.when(F.col("enclosing").isNull(), F.col("path")).otherwise(F.concat("path", F.lit(":"), "enclosing")).alias("from_id")).distinct()
     known = declared.select(F.col("id").alias("to_id"), F.col("name"), F.col("path").alias("defined_in")).distinct()
-    found = asked.join(known, "name")
-    own = F.col("defined_in") == F.col("path")
-    has_own = found.groupBy("path", "kind", "from_id", "name").agg(F.max(own).alias("has_own"))
-    best = found.join(has_own, ["path", "kind", "from_id", "name"]).where(own | ~F.col("has_own"))
-    return best.select("from_id", "to_id", F.col("kind").alias("relationship"), F.to_json(F.struct(F.lit("name").alias("resolver"))).alias("properties")).distinct()
+
+    def folder(path: str) -> Column:
+        return F.regexp_replace(path, "[^/]*$", "")
+
+    far = F.when(F.col("defined_in") == F.col("path"), 0).when(folder("defined_in") == folder("path"), 1).otherwise(2)
+    # one partial aggregate keeps the nearest and whether it stands alone, so a common name is never gathered
+    found = asked.join(known, "name").groupBy("path", "kind", "from_id", "name", far.alias("far")).agg(F.min("to_id").alias("to_id"), F.max("to_id").alias("other"))
+    best = found.groupBy("path", "kind", "from_id", "name").agg(F.min(F.struct("far", "to_id", "other")).alias("b")).where("b.to_id = b.other")
+    return best.select("from_id", F.col("b.to_id").alias("to_id"), F.col("kind").alias("relationship"), F.to_json(F.struct(F.lit("name").alias("resolver"))).alias("properties")).distinct()

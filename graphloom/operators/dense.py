@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import decay
 
+#: Numbers of query vectors that are broadcast at once (32 MB).
+BLOCK_FLOATS = 4_000_000
+
 
 def dot(vec: Column, query: list[float]) -> Column:
     """Dot product in double precision over the shorter length; vectors are taken to be of unit length."""
@@ -24,6 +31,47 @@ def nearest(chunks: DataFrame, query: list[float], limit: int) -> DataFrame:
     return chunks.select("node_id", "chunk_idx", dot(F.col("vec"), query).alias("sim")).orderBy(F.round("sim", 9).desc(), "node_id", "chunk_idx").limit(limit)
 
 
+def nearest_many(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """(query_id, id, sim): of each query (query_id, vec) the `limit` nearest of `vectors` (id, vec),
+    ties by id; all of one length.
+
+    Queries are broadcast as matrices of at most `BLOCK_FLOATS` numbers, one pass over the vectors
+    each. A task multiplies its batches with the matrix and keeps `limit` a query.
+    """
+    spark, out, block, held = vectors.sparkSession, None, [], 0
+    best = Window.partitionBy("query_id").orderBy(F.round("sim", 9).desc(), "id")
+
+    def one(rows: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["vec"] for r in rows], float)))
+
+        def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            for batch in batches:
+                if batch.num_rows:
+                    ids = batch.column(batch.schema.get_field_index("id"))
+                    x = batch.column(batch.schema.get_field_index("vec")).flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
+                    sim = q @ x.T
+                    # all that tie with the last place to nine digits, as ties are broken later
+                    last = np.sort(sim, axis=1)[:, -min(limit, sim.shape[1])] - 1e-9
+                    i, j = np.nonzero(sim >= last[:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(i)), ids.take(pa.array(j)), pa.array(sim[i, j])], names=["query_id", "id", "sim"])
+
+        schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, sim double"
+        return vectors.select("id", "vec").mapInArrow(top, schema)
+
+    for row in queries.select("query_id", "vec").toLocalIterator():
+        block.append(row)
+        held += len(row["vec"])
+        if held >= BLOCK_FLOATS:
+            out = one(block) if out is None else out.unionAll(one(block))
+            block, held = [], 0
+    if block:
+        out = one(block) if out is None else out.unionAll(one(block))
+    if out is None:
+        return vectors.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("sim")).limit(0)
+    return out.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).drop("place")
+
+
 def by_node(hits: DataFrame) -> DataFrame:
     """(node_id, sim): each node's best chunk."""
     return hits.groupBy("node_id").agg(F.max("sim").alias("sim"))

@@ -10,14 +10,16 @@ from graphloom.plans.graph import Graph
 
 #: Rows up to which a result is returned; longer ones are spooled.
 INLINE_ROWS = 20
-EMPTY = "No results."
+#: Nodes of a drawing that are broadcast at most.
+BROADCAST_NODES = 100_000
 
 
 def graph_edges(graph: Graph, limit: int = 1000) -> DataFrame:
     """(from_id, to_id, relationship) between the first `limit` nodes, once each, no loops."""
     nodes = graph.nodes.select("id").orderBy("id").limit(limit)
+    nodes = F.broadcast(nodes) if limit <= BROADCAST_NODES else nodes
     ends = graph.edges.where("from_id <> to_id")
-    inside = ends.join(F.broadcast(nodes.withColumnRenamed("id", "from_id")), "from_id", "left_semi").join(F.broadcast(nodes.withColumnRenamed("id", "to_id")), "to_id", "left_semi")
+    inside = ends.join(nodes.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(nodes.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
     return inside.select("from_id", "to_id", "relationship").distinct()
 
 

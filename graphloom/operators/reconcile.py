@@ -12,14 +12,15 @@ from graphloom.plans.graph import Graph
 
 #: Ranks of event kinds within a batch: what is removed goes first, links come after all nodes.
 _ORDER = {"delete": 0, "file": 1, "node": 2, "declared": 3, "reference": 4}
-#: Bits of seq that order the events of one rank.
-SEQ_BITS = 44
+#: Bits of seq below the rank, and of those below the place in the file.
+SEQ_BITS, HASH_BITS = 56, 34
 _COLUMNS = ("event_type", "id", "label", "from_id", "to_id", "relationship", "properties")
 
 
-def _event(df: DataFrame, rank: str, kind: str, **columns: Column) -> DataFrame:
+def _event(df: DataFrame, rank: str, kind: str, place: Column | None = None, **columns: Column) -> DataFrame:
     none = F.lit(None).cast("string")
-    return df.select(F.lit(_ORDER[rank]).alias("rank"), F.lit(kind).alias("event_type"), *[columns.get(c, none).alias(c) for c in _COLUMNS[1:]])
+    at = F.lit(0) if place is None else place
+    return df.select(F.lit(_ORDER[rank]).alias("rank"), at.alias("place"), F.lit(kind).alias("event_type"), *[columns.get(c, none).alias(c) for c in _COLUMNS[1:]])
 
 
 def deletions(files: DataFrame, graph: Graph) -> DataFrame:
@@ -36,7 +37,7 @@ def events(files: DataFrame, graph: Graph, now_ms: int, first_seq: int = 0) -> D
     classes and sections, and these are linked to it. Calls and imports are resolved by name against
     the graph and the batch, section references against the same, so that documents find code
     that comes with them. References of other documents to what was deleted are restored by name.
-    seq starts at `first_seq` and has gaps; rows that are equal share one.
+    Of declarations of one file that share a name the last counts. seq starts at `first_seq` and has gaps; rows that are equal share one.
     """
     full = files.where("content is not null and trim(content) <> ''")
     gone = deletions(files, graph)
@@ -48,8 +49,10 @@ def events(files: DataFrame, graph: Graph, now_ms: int, first_seq: int = 0) -> D
     entity = F.lit("Entity")
     # the graph as it will be once nodes are written, for names to be looked up in
     kept = graph.nodes.join(gone.select("id").distinct(), "id", "left_anti").select("id", "label", "entity_type", "name")
-    new = decl.select("id", entity.alias("label"), "entity_type", "name").unionAll(full.select(F.col("path").alias("id"), entity.alias("label"), F.lit("File").alias("entity_type"), F.element_at(F.split("path", "/"), -1).alias("name")))
-    nodes = kept.unionAll(new).dropDuplicates(["id"])
+    new = decl.select("id", entity.alias("label"), "entity_type", "name", "place").unionAll(full.select(F.col("path").alias("id"), entity.alias("label"), F.lit("File").alias("entity_type"), F.element_at(F.split("path", "/"), -1).alias("name"), F.lit(-1)))
+    # of one id the last declaration, as the log's fold will have it
+    every = kept.withColumn("place", F.lit(-2)).unionAll(new)
+    nodes = every.groupBy("id").agg(F.max(F.struct("place", "label", "entity_type", "name")).alias("n")).select("id", "n.label", "n.entity_type", "n.name")
     known = nodes.where("entity_type in ('Function', 'Class')").select("id", "name", F.substring_index("id", ":", 1).alias("path"))
     calls = code.resolve(code.references(full), known)
     refs = markdown.resolve(parsed, nodes)
@@ -58,7 +61,7 @@ def events(files: DataFrame, graph: Graph, now_ms: int, first_seq: int = 0) -> D
     parts = [
         _event(gone, "delete", "DELETE_NODE", id=F.col("id")),
         _event(full, "file", "UPSERT_NODE", id=F.col("path"), label=entity, properties=file_props),
-        _event(decl, "node", "UPSERT_NODE", id=F.col("id"), label=entity, properties=decl_props),
+        _event(decl, "node", "UPSERT_NODE", F.col("place"), id=F.col("id"), label=entity, properties=decl_props),
         _event(parsed, "node", "UPSERT_NODE", id=F.col("id"), label=entity, properties=sect_props),
         _event(decl, "declared", "LINK_NODES", from_id=F.col("id"), to_id=F.col("path"), relationship=F.lit("DECLARED_IN"), properties=F.lit("{}")),
         _event(parsed, "declared", "LINK_NODES", from_id=F.col("id"), to_id=F.col("path"), relationship=F.lit("DECLARED_IN"), properties=F.lit("{}")),
@@ -67,8 +70,10 @@ def events(files: DataFrame, graph: Graph, now_ms: int, first_seq: int = 0) -> D
         _event(restored, "reference", "LINK_NODES", from_id=F.col("from_id"), to_id=F.col("to_id"), relationship=F.col("relationship"), properties=F.col("properties")),
     ]
     batch = reduce(DataFrame.unionAll, parts)
-    # seq within a batch: one rank after another, inside a rank by a hash of the row, which needs no shuffle and is the same when a task runs again
-    seq = F.lit(first_seq) + F.shiftleft(F.col("rank").cast("bigint"), SEQ_BITS) + F.pmod(F.xxhash64(*_COLUMNS), F.lit(1 << SEQ_BITS))
+    # seq within a batch: one rank after another, inside a rank by place in the file, then by a hash of
+    # the row, which needs no shuffle and is the same when a task runs again
+    ranked = F.shiftleft(F.col("rank").cast("bigint"), SEQ_BITS) + F.shiftleft(F.col("place").cast("bigint"), HASH_BITS)
+    seq = F.lit(first_seq) + ranked + F.pmod(F.xxhash64(*_COLUMNS), F.lit(1 << HASH_BITS))
     return batch.select(seq.cast("bigint").alias("seq"), F.lit(1).alias("version"), (stamp / 1000).cast("bigint").alias("timestamp"), "event_type", "id", "label", "from_id", "to_id", "relationship", F.lit(None).cast("string").alias("direction"), "properties")
 
 
@@ -79,3 +84,10 @@ def _restored(graph: Graph, gone: DataFrame, sections: DataFrame, nodes: DataFra
     stay = graph.edges.join(gone.select(F.col("id").alias("to_id")), "to_id", "left_anti")
     both = code_nodes.select("id", "label", "entity_type", "name").unionAll(sections.select("id", F.lit("Entity"), "entity_type", F.lit(None).cast("string")))
     return markdown.relink(hit, both, stay)
+
+
+def counts(batch: DataFrame, pending: DataFrame) -> dict[str, int]:
+    """What a reconciliation did: nodes written, nodes deleted, edges written, references that wait
+    for what they name."""
+    kinds = {r[0]: r[1] for r in batch.groupBy("event_type").agg(F.countDistinct(F.coalesce("id", F.xxhash64(*_COLUMNS).cast("string")))).collect()}
+    return {"upserted_nodes": kinds.get("UPSERT_NODE", 0), "deleted_nodes": kinds.get("DELETE_NODE", 0), "linked_edges": kinds.get("LINK_NODES", 0), "edges_pending": pending.count()}

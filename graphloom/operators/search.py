@@ -64,7 +64,7 @@ def neighbors(hits: DataFrame, graph: Graph, top: int, relationships: tuple[str,
     return first.join(lists, "id", "left").select("id", F.coalesce("neighbors", none).alias("neighbors"))
 
 
-def search(graph: Graph, request: Search | dict, postings: DataFrame | None = None, chunks: DataFrame | None = None, vector: list[float] | None = None, now: int | None = None) -> DataFrame:
+def search(graph: Graph, request: Search | dict, postings: DataFrame | bm25.Source | None = None, chunks: DataFrame | None = None, vector: list[float] | None = None, now: int | None = None) -> DataFrame:
     """Hits, best first: position, id, name, score, line, content, type, path, category, and
     snippet and neighbors where asked for.
 
@@ -74,7 +74,7 @@ def search(graph: Graph, request: Search | dict, postings: DataFrame | None = No
     """
     r = request if isinstance(request, Search) else Search.of(request)
     n = bm25.pool(r.top_k)
-    post = bm25.postings(bm25.node_fields(graph.nodes)) if postings is None else postings
+    post = bm25.of_texts(bm25.node_fields(graph.nodes)) if postings is None else postings
     lists = [ranked(bm25.search(post, r.text, n), "score", "doc_id")]
     if vector is not None:
         vectors = dense.node_chunks(graph.nodes) if chunks is None else chunks

@@ -21,17 +21,16 @@ def initialize(graph: Graph, workspace: str, description: str, now: int, first_s
     """Events that close all active workspaces at `now` and open a new one."""
     closed = F.to_json(F.struct("name", "description", F.lit("inactive").alias("status"), F.coalesce("closed_at", F.lit(now)).alias("closed_at")))
     old = active(graph).where(F.col("id") != workspace)
-    place = F.lit(first_seq) + F.row_number().over(_by_id()) - 1
+    place = F.lit(first_seq) + _any_place()
     shut = old.select(*event("UPSERT_NODE", place.cast("bigint"), id=F.col("id"), label=F.lit("Workspace"), properties=closed))
     opened = F.to_json(F.struct(F.lit(workspace).alias("name"), F.lit(description).alias("description"), F.lit("active").alias("status")))
     one = graph.nodes.sparkSession.range(1)
     return shut.unionAll(one.select(*event("UPSERT_NODE", F.lit(first_seq + (1 << 20)).cast("bigint"), id=F.lit(workspace), label=F.lit("Workspace"), properties=opened)))
 
 
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.orderBy("id")
+def _any_place():
+    """A number below 2^20 - 1: such events may come in any order."""
+    return F.pmod(F.xxhash64("id"), F.lit((1 << 20) - 1))
 
 
 def note(graph: Graph, text: str, now_ms: int, first_seq: int) -> DataFrame:
@@ -39,7 +38,7 @@ def note(graph: Graph, text: str, now_ms: int, first_seq: int) -> DataFrame:
     key = F.lit(f"note_{now_ms}")
     props = F.to_json(F.struct(F.lit(text).alias("content"), F.lit(now_ms // 1000).alias("created_at")))
     one = graph.nodes.sparkSession.range(1).select(*event("UPSERT_NODE", F.lit(first_seq).cast("bigint"), id=key, label=F.lit("Scratchpad"), properties=props))
-    links = active(graph).select(*event("LINK_NODES", (F.lit(first_seq) + F.row_number().over(_by_id())).cast("bigint"), from_id=F.col("id"), to_id=key, relationship=F.lit("HAS_SCRATCHPAD"), properties=F.lit("{}")))
+    links = active(graph).select(*event("LINK_NODES", (F.lit(first_seq + 1) + _any_place()).cast("bigint"), from_id=F.col("id"), to_id=key, relationship=F.lit("HAS_SCRATCHPAD"), properties=F.lit("{}")))
     return one.unionAll(links)
 
 
@@ -61,3 +60,12 @@ def notes(graph: Graph, limit: int = 5) -> DataFrame:
     pads = graph.nodes.where("label = 'Scratchpad'").select(F.col("id").alias("to_id"), "content", "created_at")
     found = links.select("from_id", "to_id").distinct().join(pads, "to_id")
     return found.select(F.col("from_id").alias("workspace"), F.col("to_id").alias("id"), "content", "created_at").orderBy(F.desc("created_at"), "id", "workspace").limit(limit)
+
+
+def report(graph: Graph, spaces: int = 3, pads: int = 5) -> DataFrame:
+    """(section, name, value): what a memory of the graph holds, in counts of entities by type, the
+    active workspaces, and their newest notes."""
+    kinds = graph.nodes.where("label = 'Entity'").groupBy("entity_type").count().select(F.lit("entities").alias("section"), F.col("entity_type").alias("name"), F.col("count").cast("string").alias("value"))
+    open_ = active(graph).orderBy("id").limit(spaces).select(F.lit("workspaces"), "id", "description")
+    newest = notes(graph, pads).select(F.lit("notes"), "id", "content")
+    return kinds.unionAll(open_).unionAll(newest)

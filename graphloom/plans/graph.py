@@ -68,18 +68,22 @@ def _steps(edges: DataFrame, relationship: str, direction: str) -> DataFrame:
 def reached(seeds: DataFrame, edges: DataFrame, relationship: str, direction: str = "outbound", max_depth: int = 1) -> DataFrame:
     """Ids within `max_depth` steps (5 at most) of the seeds, which are reached at depth 0.
 
-    Level k holds the distinct ends of k steps, so that the union of levels is what a breadth-first
-    walk visits: at most five joins, no loop over rows, and cycles end by themselves. Dangling
-    ends are ids, too. Where a checkpoint folder is set, levels beyond the second are written to
-    it, so that no level is worked out twice.
+    Each round takes one step from the ids that the round before found first, so an id is expanded
+    once, and cycles end by themselves: at most five joins, no loop over rows. Dangling ends are ids,
+    too. Where a checkpoint folder is set, rounds from the second on are written to it, so that no
+    round is worked out twice, and one that finds nothing new is the last.
     """
     steps = _steps(edges, relationship, direction)
     folder = seeds.sparkSession.sparkContext.getCheckpointDir()
-    levels = [seeds.select("id").distinct()]
+    seen = level = seeds.select("id").distinct()
     for depth in range(min(max_depth, MAX_DEPTH)):
-        level = levels[-1].join(steps, "id").select(F.col("next").alias("id")).distinct()
-        levels.append(level.checkpoint() if folder and depth >= 2 else level)
-    return reduce(DataFrame.unionAll, levels).distinct()
+        level = level.join(steps, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
+        if folder and depth >= 1:
+            level = level.checkpoint()
+            if not level.take(1):
+                break
+        seen = seen.unionAll(level)
+    return seen
 
 
 def group_key(key: str) -> Column:

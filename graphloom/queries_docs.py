@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import content_hash, file_references, inline_code
-from graphloom.operators import code, embed, export, markdown, state, workspace
+from graphloom.operators import code, embed, export, markdown, reconcile, state, workspace
 from graphloom.plans import demo
 from graphloom.plans.graph import Graph
+from graphloom.plans.schema import LOG
 from graphloom.queries_graph import GRAPH_SQL, LOG_SQL
 from graphloom.sources import files
 from graphloom.sources import log as logs
@@ -27,16 +28,21 @@ SQL["md_sections"] = """with t as (select *, row_number() over (partition by con
 select 'conv/' || conv_id || '.md:' || role || case when r > 1 then ':' || r else '' end as id, role as name, 1 as level, line::int as start_line from t"""
 
 
+#: Name of a part's function: a few parts share each.
+_NAME = "concat(p_name, '_', cast(p_partkey % 500 as string))"
+_NAME_SQL = "{0}.p_name || '_' || {0}.p_partkey % 500"
+
+
 def _marked(s: SparkSession, d: str) -> DataFrame:
-    """Part names as code and urls' paths as files in a text."""
-    p = demo.table(s, d, "part")
+    """Part names as code and brands as files in a text."""
+    p = demo.table(s, d, "part").withColumn("p_name", F.expr(_NAME))
     key = F.col("p_partkey")
     text = F.concat(F.lit("Use `"), "p_name", F.lit("` and `"), "p_brand", F.lit("`, or `"), "p_name", F.lit("`; see src/"), "p_brand", F.lit(".rs, (lib/m"), key.cast("string"), F.lit(".py) and notes"), (key % 7).cast("string"), F.lit(".md. Not v1.5 or `open"))
     return p.select(key.alias("p_partkey"), text.alias("text"))
 
 
 QUERIES["md_inline_refs"] = lambda s, d: _marked(s, d).select("p_partkey", F.explode(inline_code(F.col("text"))).alias("ref"))
-SQL["md_inline_refs"] = "select p_partkey, p_name as ref from part union select p_partkey, p_brand from part"
+SQL["md_inline_refs"] = f"select p_partkey, {_NAME_SQL.format('part')} as ref from part union select p_partkey, p_brand from part"
 QUERIES["md_path_refs"] = lambda s, d: _marked(s, d).select("p_partkey", F.explode(file_references(F.col("text"))).alias("ref"))
 SQL["md_path_refs"] = "select p_partkey, case k when 1 then 'src/' || p_brand || '.rs' when 2 then 'lib/m' || p_partkey || '.py' else 'notes' || p_partkey % 7 || '.md' end as ref from part, (values (1), (2), (3)) v(k)"
 
@@ -45,13 +51,14 @@ def _code_graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(parsed sections, nodes): a section for each part, functions named by part names, files by brand."""
     parsed = _marked(s, d).select(F.concat(F.lit("doc.md:"), F.col("p_partkey").cast("string")).alias("id"), inline_code(F.col("text")).alias("inline_code_refs"), file_references(F.col("text")).alias("file_path_refs"))
     p = demo.table(s, d, "part")
-    functions = p.where("p_partkey % 5 = 0").select(F.concat(F.lit("src/a.py:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("Entity").alias("label"), F.lit("Function").alias("entity_type"), F.col("p_name").alias("name"))
+    functions = p.select(F.concat(F.lit("src/a.py:"), F.col("p_partkey").cast("string")).alias("id"), F.lit("Entity").alias("label"), F.lit("Function").alias("entity_type"), F.expr(_NAME).alias("name"))
     sources = p.select(F.concat(F.lit("src/"), "p_brand", F.lit(".rs")).alias("id"), F.lit("Entity").alias("label"), F.lit("File").alias("entity_type"), F.col("p_brand").alias("name")).distinct()
     return parsed, functions.unionAll(sources)
 
 
 QUERIES["md_resolve_refs"] = lambda s, d: markdown.resolve(*_code_graph(s, d))
-SQL["md_resolve_refs"] = """select 'doc.md:' || a.p_partkey as from_id, 'src/a.py:' || b.p_partkey as to_id, 'inline_code' as match_type, a.p_name as matched_text from part a join part b on a.p_name = b.p_name and b.p_partkey % 5 = 0
+_SAME_NAME = f"part a join part b on {_NAME_SQL.format('a')} = {_NAME_SQL.format('b')}"
+SQL["md_resolve_refs"] = f"""select 'doc.md:' || a.p_partkey as from_id, 'src/a.py:' || b.p_partkey as to_id, 'inline_code' as match_type, {_NAME_SQL.format('a')} as matched_text from {_SAME_NAME}
 union all select 'doc.md:' || p_partkey, 'src/' || p_brand || '.rs', 'file_path', 'src/' || p_brand || '.rs' from part"""
 
 
@@ -67,8 +74,8 @@ def _relink(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["md_relink"] = _relink
-SQL["md_relink"] = """select 'doc.md:' || a.p_partkey as from_id, 'src/a.py:' || b.p_partkey as to_id, a.p_name as matched_text
-from part a join part b on a.p_name = b.p_name and b.p_partkey % 5 = 0 where b.p_partkey % 2 = 0"""
+SQL["md_relink"] = f"""select 'doc.md:' || a.p_partkey as from_id, 'src/a.py:' || b.p_partkey as to_id, {_NAME_SQL.format('a')} as matched_text
+from {_SAME_NAME} where b.p_partkey % 2 = 0"""
 
 # --- files: pages as files on disk, some of them known ---
 
@@ -126,6 +133,59 @@ QUERIES["py_declarations"] = lambda s, d: code.declarations(_sources(s, d)).sele
 QUERIES["pending_refs"] = lambda s, d: code.references(_sources(s, d))
 QUERIES["resolved_refs"] = lambda s, d: code.resolve(code.references(_sources(s, d)), code.declarations(_sources(s, d)))
 
+# --- files taken in: names that repeat within a file, and files that come again changed ---
+
+
+def _modules(s: SparkSession, d: str, version: int) -> DataFrame:
+    """A module for each supplier; every third changes in version 2."""
+    n = F.col("s_suppkey").cast("string")
+    extra = F.when((F.col("s_suppkey") % 3 == 0) & F.lit(version == 2), F.concat(F.lit("\n\ndef late_"), n, F.lit("():\n    return helper_"), n, F.lit("()\n"))).otherwise("")
+    text = F.concat(F.lit("class A:\n    def run(self):\n        return 1\n\nclass B:\n    def run(self):\n        return helper_"), n, F.lit("()\n\ndef helper_"), n, F.lit("():\n    return 2\n"), extra)
+    return demo.table(s, d, "supplier").select(F.concat(F.lit("src/s"), n, F.lit(".py")).alias("path"), text.alias("content"))
+
+
+def _reconciled(s: SparkSession, d: str) -> Graph:
+    """All modules taken in, then those that changed; each batch is written, as a log's are."""
+    path = work_folder(s, "reconciled")
+    reconcile.events(_modules(s, d, 1), state.fold(s.createDataFrame([], LOG)), 1000).write.parquet(f"{path}/1")
+    changed = _modules(s, d, 2).where(F.regexp_extract("path", "([0-9]+)", 1).cast("int") % 3 == 0)
+    reconcile.events(changed, state.fold(s.read.schema(LOG).parquet(f"{path}/1")), 2000, 1 << 60).write.parquet(f"{path}/2")
+    return state.fold(s.read.schema(LOG).parquet(f"{path}/1", f"{path}/2"))
+
+
+_MODULES_SQL = """with m as (select 'src/s' || s_suppkey || '.py' as path, s_suppkey as n, s_suppkey % 3 = 0 as again from supplier),
+nodes as (
+  select path as id, 'File' as type, 's' || n || '.py' as name, null as line, again from m
+  union all select path || ':A', 'Class', 'A', 1, again from m union all select path || ':B', 'Class', 'B', 5, again from m
+  union all select path || ':run', 'Function', 'run', 6, again from m
+  union all select path || ':helper_' || n, 'Function', 'helper_' || n, 9, again from m
+  union all select path || ':late_' || n, 'Function', 'late_' || n, 13, again from m where again
+), edges as (
+  select path || ':' || x as from_id, path as to_id, 'DECLARED_IN' as relationship from m, (values ('A'), ('B'), ('run'), ('run')) v(x)
+  union all select path || ':helper_' || n, path, 'DECLARED_IN' from m
+  union all select path || ':late_' || n, path, 'DECLARED_IN' from m where again
+  union all select path || ':run', path || ':helper_' || n, 'CALLS' from m
+  union all select path || ':late_' || n, path || ':helper_' || n, 'CALLS' from m where again
+)"""
+QUERIES["reconcile_nodes"] = lambda s, d: _reconciled(s, d).nodes.select("id", F.col("entity_type").alias("type"), "name", F.get_json_object("metadata", "$.line").cast("int").alias("line"), "last_modified")
+SQL["reconcile_nodes"] = _MODULES_SQL + " select id, type, name, line::int as line, case when again then 2000 else 1000 end::bigint as last_modified from nodes"
+QUERIES["reconcile_edges"] = lambda s, d: _reconciled(s, d).edges.select("from_id", "to_id", "relationship")
+SQL["reconcile_edges"] = _MODULES_SQL + " select * from edges"
+
+
+def _round_trip(s: SparkSession, d: str) -> DataFrame:
+    """A log written, rewritten as its least form, and added to."""
+    path, log = work_folder(s, "rewritten"), demo.event_log(s, d)
+    half = F.col("seq") % 2 == 0
+    logs.append(log.where(half), path)
+    logs.rewrite(log, path)
+    logs.append(log.where(F.lit(False)), path)
+    return state.fold(logs.read(s, path)).edges.groupBy("from_id", "to_id", "relationship").agg(F.count("*").alias("n"))
+
+
+QUERIES["log_rewrite_round_trip"] = _round_trip
+SQL["log_rewrite_round_trip"] = f"with {LOG_SQL} select from_id, to_id, relationship, count(*) as n from edges group by all"
+
 # --- workspaces ---
 
 
@@ -147,6 +207,13 @@ QUERIES["workspace_notes"] = lambda s, d: workspace.notes(_space(s, d)).select("
 SQL["workspace_notes"] = _SPACE_SQL + " select a.id as workspace, n.id, n.created_at from act a join nodes n on n.label = 'Scratchpad' and substr(n.id, 2)::int % 3 = a.k % 3 order by n.created_at desc, n.id, a.id limit 5"
 QUERIES["workspace_map_file"] = lambda s, d: workspace.mapped(_space(s, d), "src/users.py").select("from_id", "to_id", "relationship")
 SQL["workspace_map_file"] = _SPACE_SQL + " select act.id as from_id, n.id as to_id, 'MAPPED_TO' as relationship from act, nodes n where n.entity_type = 'User'"
+QUERIES["workspace_report"] = lambda s, d: workspace.report(_space(s, d))
+SQL["workspace_report"] = (
+    _SPACE_SQL
+    + """ select 'entities' as section, entity_type as name, count(*)::varchar as value from nodes where label = 'Entity' group by entity_type
+union all (select 'workspaces', id, description from nodes where label = 'Workspace' and status = 'active' order by id limit 3)
+union all (select 'notes', id, content from (select a.id as space, n.* from act a join nodes n on n.label = 'Scratchpad' and substr(n.id, 2)::int % 3 = a.k % 3) order by created_at desc, id, space limit 5)"""
+)
 QUERIES["graph_export_edges"] = lambda s, d: export.graph_edges(demo.star_graph(s, d, distinct=False), 5000)
 SQL["graph_export_edges"] = GRAPH_SQL + ", first_ as (select id from nodes order by id limit 5000) select distinct from_id, to_id, relationship from edges where from_id in (select id from first_) and to_id in (select id from first_)"
 QUERIES["graph_export_nodes"] = lambda s, d: export.graph_nodes(demo.star_graph(s, d))
@@ -161,7 +228,7 @@ def _malformed(s: SparkSession, d: str) -> DataFrame:
     lines = logs.to_json(log.withColumn("timestamp", F.col("seq"))).select("value", F.get_json_object("value", "$.timestamp").cast("bigint").alias("seq"))
     broken = lines.select("seq", F.when(F.col("seq") % 7 == 0, F.substring("value", 1, 30)).when(F.col("seq") % 11 == 0, "  ").otherwise(F.concat(F.lit(" "), "value")).alias("value"))
     path = work_folder(s, "log")
-    broken.select("value").coalesce(1).write.text(path)
+    broken.select("value").write.text(path)
     return logs.read(s, path).select(F.col("timestamp").alias("seq"), "event_type", "id", "from_id", "to_id")
 
 

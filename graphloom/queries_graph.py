@@ -98,7 +98,7 @@ _dsl("limit_cap", {"match": {"entity_type": "Order"}, "limit": 5000, "return": [
 
 
 def _document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 = 0")
+    d = table(spark, sf_dir, "documents")
     key = F.col("doc_id")
     metadata = F.when(key % 2 == 0, F.concat(F.lit('{"line":'), key.cast("string"), F.lit("}"))).when(key % 5 == 0, F.lit("no json")).otherwise(F.concat(F.lit('{"level":2,"start_line":'), (key + 10).cast("string"), F.lit("}")))
     return d.select(F.concat(F.lit("doc:"), key.cast("string")).alias("id"), F.lit("Entity").alias("label"), F.lit("Section").alias("entity_type"), F.lit("active").alias("status"), F.col("source").alias("name"), F.coalesce("text", F.lit("")).alias("content"), metadata.alias("metadata"))
@@ -116,7 +116,7 @@ _WORDS = r"list_filter(regexp_split_to_array(content, '[ \t\n\x0B\f\r]+'), lambd
 _DOCS_SQL = """with d as (
   select 'doc:' || doc_id as id, coalesce(text, '') as content, doc_id,
          case when doc_id % 2 = 0 then doc_id when doc_id % 5 = 0 then null else doc_id + 10 end as line
-  from documents where doc_id % 3 = 0
+  from documents
 ) """
 QUERIES["retrieval_preview"] = _over_documents({"return": ["id", "content"], "retrieval_mode": "preview"})
 SQL["retrieval_preview"] = _DOCS_SQL + f"select id, case when len({_WORDS}) <= 100 then content else array_to_string(({_WORDS})[1:100], ' ') || '...' end as content from d order by id limit 1000"

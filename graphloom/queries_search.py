@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as fn
 from graphloom.operators import bm25, dense, rerank
 from graphloom.operators import search as hybrid
+from graphloom.operators.index import TextIndex
 from graphloom.plans import demo
 from graphloom.plans.graph import Graph
 from graphloom.queries_graph import GRAPH_SQL
+from graphloom.sources.folders import work_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -101,7 +103,7 @@ SQL["bm25_stats"] = f"with {CORPUS_SQL}, {postings_sql('corpus')} select field,
 
 
 def _topk(asked: str):
-    return lambda s, d: bm25.field_scores(bm25.postings(_docs(s, d)), asked).orderBy(bm25.by_score(), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
+    return lambda s, d: bm25.field_scores(bm25.of_texts(_docs(s, d)), asked).orderBy(bm25.by_score(), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def _topk_sql(asked: str) -> str:
@@ -111,9 +113,25 @@ def _topk_sql(asked: str) -> str:
 QUERIES["bm25_topk"], SQL["bm25_topk"] = _topk("thing erly"), _topk_sql("thing erly")
 QUERIES["bm25_dup_query_token"], SQL["bm25_dup_query_token"] = _topk(ASKED), _topk_sql(ASKED)
 _FIELDED = "red thing Reing"
-QUERIES["bm25_fielded"] = lambda s, d: bm25.search(bm25.postings(demo.corpus(s, d)), _FIELDED, 50).select("doc_id", F.round("score", 6).alias("score"))
+QUERIES["bm25_fielded"] = lambda s, d: bm25.search(bm25.of_texts(demo.corpus(s, d)), _FIELDED, 50).select("doc_id", F.round("score", 6).alias("score"))
 SQL["bm25_fielded"] = f"with {CORPUS_SQL}, {postings_sql('corpus')}, {scores_sql(_FIELDED)}, {pooled_sql(50)} select id as doc_id, round(score, 6) as score from lexical"
 
+
+
+def _indexed(s: SparkSession, d: str) -> DataFrame:
+    """A kept index: all but some documents, then these and others again, then some removed and put back."""
+    index = TextIndex(s, work_folder(s, "text-index"))
+    docs = demo.corpus(s, d)
+    late = F.crc32("doc_id") % 10 == 0
+    index.add(docs.where(~late).withColumn("text", F.when(F.crc32("doc_id") % 10 == 1, F.concat(F.lit("thing thing "), "text")).otherwise(F.col("text"))))
+    index.add(docs.where(F.crc32("doc_id") % 10 < 2))
+    index.remove(docs.where(F.crc32("doc_id") % 10 == 2).select("doc_id"))
+    index.add(docs.where(F.crc32("doc_id") % 10 == 2))
+    return index.search(_FIELDED, 50).select("doc_id", F.round("score", 6).alias("score"))
+
+
+QUERIES["bm25_index_updates"], SQL["bm25_index_updates"] = _indexed, SQL["bm25_fielded"]
+
 # --- vectors ---
 
 _SIM = "list_sum(list_transform(list_zip(vec, q), lambda p: p[1]::double * p[2]::double))"
@@ -132,6 +150,17 @@ QUERIES["knn_maxsim"] = lambda s, d: dense.by_node(_nearest(s, d)).select("node_
 SQL["knn_maxsim"] = f"with {CHUNKS_SQL} select node_id, round(max(sim), 6) as sim from best group by node_id"
 
 
+def _batch(s: SparkSession, d: str) -> DataFrame:
+    """Each vector's ten nearest among all."""
+    v = demo.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return dense.nearest_many(v, v.withColumnRenamed("id", "query_id"), 10).select("query_id", "id", F.round("sim", 6).alias("sim"))
+
+
+QUERIES["knn_batch"] = _batch
+SQL["knn_batch"] = f"""with pairs as (select a.vec_id as query_id, b.vec_id as id, {_SIM.replace('vec, q', 'a.embedding, b.embedding')} as sim from embeddings a, embeddings b)
+select query_id, id, round(sim, 6) as sim from pairs qualify row_number() over (partition by query_id order by round(sim, 9) desc, id) <= 10"""
+
+
 def _purity(s: SparkSession, d: str) -> DataFrame:
     v = demo.table(s, d, "embeddings").select(F.concat(F.lit("d"), (F.col("vec_id") % 100).cast("string")).alias("node_id"), F.floor(F.col("vec_id") / 100).cast("int").alias("chunk_idx"), "label")
     return _nearest(s, d).join(v, ["node_id", "chunk_idx"]).groupBy("label").agg(F.count("*").alias("n"))
@@ -170,7 +199,7 @@ def _fusion_sql(asked: str) -> str:
 
 
 def _fused(s: SparkSession, d: str) -> DataFrame:
-    post = bm25.postings(bm25.node_fields(search_graph(s, d).nodes))
+    post = bm25.of_texts(bm25.node_fields(search_graph(s, d).nodes))
     sims = dense.by_node(_nearest(s, d))
     return hybrid.fused(hybrid.ranked(bm25.search(post, ASKED, 50), "score", "doc_id"), hybrid.ranked(sims, "sim", "node_id")).select("id", F.round("score", 9).alias("score"))
 

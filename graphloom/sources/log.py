@@ -11,6 +11,8 @@ from graphloom.plans.schema import LOG
 
 VERSION = 1
 _PAYLOAD = ("id", "label", "from_id", "to_id", "relationship", "direction")
+#: File beside the log's files that names their folder, once the log was rewritten.
+POINTER = "_CURRENT"
 KINDS = ("UPSERT_NODE", "LINK_NODES", "DELETE_NODE", "DELETE_EDGES")
 
 
@@ -39,9 +41,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     A missing path is an empty log. A file keeps its order because lines are numbered within
     each file's own splits: by file, by the split's start, and by the line's number in the split.
     """
-    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
+    path = current(spark, path)
+    fs, at = _fs(spark, path)
+    if not fs.exists(at):
         return spark.createDataFrame([], LOG)
     lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     # splits, one row each: their rank gives the leading part of seq
@@ -60,29 +62,58 @@ def to_json(log: DataFrame) -> DataFrame:
 
 
 def append(log: DataFrame, path: str) -> None:
-    """Adds events, in order of seq, as new files whose names sort behind the old ones."""
-    spark = log.sparkSession
-    n = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path")).distinct().count() if _exists(spark, path) else 0
-    part = f"{path.rstrip('/')}/batch-{n:012d}-{uuid.uuid4().hex[:8]}"
-    to_json(log.orderBy("seq")).write.text(part)
+    """Adds events, in order of seq, as new files whose names sort behind the old ones.
 
+    Only names are listed, and no line is read: a batch's number follows the largest there is.
+    """
+    spark, folder = log.sparkSession, current(log.sparkSession, path)
+    fs, at = _fs(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    n = 1 + max([int(x.split("-")[1]) for x in names if x.startswith("batch-")], default=-1)
+    to_json(log.orderBy("seq")).write.text(f"{folder}/batch-{n:012d}-{uuid.uuid4().hex[:8]}")
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder that holds the log's files: `path` itself, or the one its pointer names."""
+    fs, at = _fs(spark, f"{path.rstrip('/')}/{POINTER}")
+    if not fs.exists(at):
+        return path.rstrip("/")
+    stream = fs.open(at)
+    try:
+        name = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return f"{path.rstrip('/')}/{name}"
 
 
 def rewrite(log: DataFrame, path: str) -> None:
-    """Replaces the log at `path`: written beside it first, then renamed, so readers see one or the other."""
-    spark = log.sparkSession
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    to_json(log.orderBy("seq")).write.text(f"{new}/batch-{0:012d}")
-    if fs.exists(jvm.Path(path)):
-        fs.rename(jvm.Path(path), jvm.Path(old))
-    fs.rename(jvm.Path(new), jvm.Path(path))
-    fs.delete(jvm.Path(old), True)
+    """Replaces the log at `path`.
+
+    The new log is written whole to a folder of its own, then a pointer to it is put in place by one
+    rename that overwrites: readers see the old log or the new one, whenever a crash comes. The
+    old files go last.
+    """
+    spark, path = log.sparkSession, path.rstrip("/")
+    old, name = current(spark, path), f"log-{uuid.uuid4().hex}"
+    to_json(log.orderBy("seq")).write.text(f"{path}/{name}/batch-{0:012d}-{uuid.uuid4().hex[:8]}")
+    jvm = spark.sparkContext._jvm
+    fs, target = _fs(spark, f"{path}/{POINTER}")
+    _, draft = _fs(spark, f"{path}/{POINTER}-{uuid.uuid4().hex}")
+    stream = fs.create(draft, True)
+    stream.write(bytearray(name.encode()))
+    stream.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, target, options)
+    for s in fs.listStatus(_fs(spark, path)[1]):
+        if s.getPath().getName() not in (name, POINTER) and (old == path or s.getPath().getName() == old.rpartition("/")[2]):
+            fs.delete(s.getPath(), True)
 
 
 def archive(log: DataFrame, path: str) -> int:
