@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import line_of, preview
 from graphloom.plans.schema import MAX_DEPTH, EdgeRule, Query
+from graphloom.sources.folders import work_folder
 
 
 @dataclass(frozen=True)
@@ -70,16 +71,18 @@ def reached(seeds: DataFrame, edges: DataFrame, relationship: str, direction: st
 
     Each round takes one step from the ids that the round before found first, so an id is expanded
     once, and cycles end by themselves: at most five joins, no loop over rows. Dangling ends are ids,
-    too. Where a checkpoint folder is set, rounds from the second on are written to it, so that no
-    round is worked out twice, and one that finds nothing new is the last.
+    too. Rounds before the last are written to the shared folder, so that none is worked out twice,
+    and one that finds nothing new ends the walk.
     """
     steps = _steps(edges, relationship, direction)
-    folder = seeds.sparkSession.sparkContext.getCheckpointDir()
+    spark, rounds = seeds.sparkSession, min(max_depth, MAX_DEPTH)
     seen = level = seeds.select("id").distinct()
-    for depth in range(min(max_depth, MAX_DEPTH)):
+    for depth in range(rounds):
         level = level.join(steps, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti")
-        if folder and depth >= 1:
-            level = level.checkpoint()
+        if depth < rounds - 1:
+            path = work_folder(spark, "walk")
+            level.write.parquet(path)
+            level = spark.read.schema("id string").parquet(path)
             if not level.take(1):
                 break
         seen = seen.unionAll(level)
