@@ -23,7 +23,7 @@ _SPACES = {9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 _LIMIT = 0x3400
 _PIECE = 1 << 18
 #: Code points that the memo's entries hold at most, beyond those of one group of texts.
-_HELD = 1 << 24
+_HELD = 1 << 22
 _MUL = 0x9E3779B97F4A7C15
 _BASE = 0xD1342543DE82EF95
 _MASK = (1 << 64) - 1
@@ -61,25 +61,34 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
+        self.path, self._whole = path, None
         # pre-tokens are cut already: for these the library need not run its pattern again
         self.words = Tokenizer.from_file(path)
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in self.words.get_added_tokens_decoder().values()]
         self.classes = _classes()
         self.slots_log2, self.fill = slots_log2, fill
         self.pow, self.inv = _powers(_PIECE + 1)
-        self.dtype = np.uint16 if self.library.get_vocab_size() <= 65536 else np.uint32
+        self.dtype = np.uint16 if self.words.get_vocab_size() <= 65536 else np.uint32
         self._reset()
 
+    @property
+    def library(self):
+        """The tokenizer as it is, for whole texts; loaded when the first one needs it."""
+        if self._whole is None:
+            from tokenizers import Tokenizer
+
+            self._whole = Tokenizer.from_file(self.path)
+        return self._whole
+
     def _reset(self) -> None:
         n = 1 << self.slots_log2
         self.keys, self.entry = np.zeros(n, np.uint64), np.zeros(n, np.int32)
         # of each entry: its ids in `store` and its code points in `held`
         self.offset, self.length, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
-        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.at, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.store, self.used = np.zeros(1 << 18, self.dtype), 0
-        self.held, self.n_held = np.zeros(1 << 18, np.uint32), 0
+        self.held, self.n_held = np.zeros(1 << 18, np.uint16), 0  # the memo has none from `_LIMIT` on
 
     def _full(self, entries: int, points: int) -> bool:
         return self.n > 0 and (self.n + entries > self.fill * (1 << self.slots_log2) or self.n_held + points > _HELD)

@@ -144,6 +144,7 @@ def _signed(docs: DataFrame, plan: Plan) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 signatures.append(signer.sign(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([_column(batch, "doc_id"), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())], names=["doc_id", "n_shingles", "set_key", "signature"])
+        _WORDS.clear()  # the worker lives on
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, signature binary")
 

@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import encoder
-from graphloom.llm.common import new_path, released, table
+from graphloom.llm.common import batches_of, new_path, released, table
 
 BLOCK_IDS = 1 << 20
+#: Texts in an Arrow batch.
+TEXTS = 2000
 #: Stands for a null doc_id in files.
 NO_ID = -(1 << 63)
 BLOCKS = "part int, block int, ids_before long, n_docs long, n_ids long, doc_ids binary, counts binary, ranks binary, control binary, data binary"
@@ -142,7 +144,8 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
         if doc_ids:
             yield pa.RecordBatch.from_pylist([_block(part, block, before, doc_ids, counts, np.concatenate(ids))], schema)
 
-    dealt.mapInArrow(encode, BLOCKS).write.option("compression", "zstd").parquet(path)
+    with batches_of(spark, TEXTS):
+        dealt.mapInArrow(encode, BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
 def read_blocks(spark, path: str) -> DataFrame:
