@@ -11,8 +11,10 @@ from graphloom.operators import bm25, code, dense, reconcile, state, workspace
 from graphloom.operators import search as hybrid
 from graphloom.operators.index import TextIndex, VectorIndex
 from graphloom.plans import graph as plans
+from graphloom.plans.schema import LOG
 from graphloom.sources import files as sources
 from graphloom.sources import log as logs
+from graphloom.sources.folders import work_folder
 
 
 class Engine:
@@ -63,8 +65,9 @@ class Engine:
 
     def reconcile(self, files: DataFrame, now_ms: int) -> dict[str, int]:
         """Takes in `files` (path, content); returns what that did."""
-        graph = self.graph
-        batch = reconcile.events(files, graph, now_ms)
+        path = work_folder(self.spark, "batch")
+        reconcile.events(files, self.graph, now_ms).write.parquet(path)
+        batch = self.spark.read.schema(LOG).parquet(path)  # worked out once, for the log and the counts
         self.append(batch)
         refs = code.references(files.where("content is not null"))
         named = self.graph.nodes.where("entity_type in ('Function', 'Class')").select("name").distinct()
