@@ -24,6 +24,8 @@ _LIMIT = 0x3400
 _PIECE = 1 << 18
 #: Code points that the memo's entries hold at most, beyond those of one group of texts.
 _HELD = 1 << 22
+#: Pre-tokens that the library is given at once.
+_RUN = 1000
 _MUL = 0x9E3779B97F4A7C15
 _BASE = 0xD1342543DE82EF95
 _MASK = (1 << 64) - 1
@@ -57,7 +59,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Encoder:
     """`encode(texts)` gives (ids of all texts in order, number of ids of each text)."""
 
-    def __init__(self, path: str, slots_log2: int = 21, fill: float = 0.55):
+    def __init__(self, path: str, slots_log2: int = 20, fill: float = 0.75):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -94,7 +96,9 @@ class Encoder:
         return self.n > 0 and (self.n + entries > self.fill * (1 << self.slots_log2) or self.n_held + points > _HELD)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.words.encode_batch_fast(texts, add_special_tokens=False)]
+        # few at a time: the library's own objects take a hundred times the ids' room
+        runs = (texts[a : a + _RUN] for a in range(0, len(texts), _RUN))
+        return [e.ids for run in runs for e in self.words.encode_batch_fast(run, add_special_tokens=False)]
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Entry of each hash, -1 where there is none."""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import encoder
-from graphloom.llm.common import batches_of, new_path, released, table
+from graphloom.llm.common import batches_of, new_path, released, table, written
 
 BLOCK_IDS = 1 << 20
 #: Texts in an Arrow batch.
@@ -152,7 +152,8 @@ def read_blocks(spark, path: str) -> DataFrame:
     """Documents of the blocks at `path`: doc_id, start, n_tokens, ids_crc32, decoded block by block.
 
     A block carries the number of ids before it in its part; what precedes the part is a
-    prefix sum over part totals, as many numbers as the writer had partitions.
+    prefix sum over part totals, as many numbers as the writer had partitions. The result is
+    written here, as a block, of some megabytes, is to be an Arrow batch of its own.
     """
     blocks = spark.read.schema(BLOCKS).parquet(path)
     # totals of parts: as many rows as write_blocks had partitions
@@ -180,7 +181,8 @@ def read_blocks(spark, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    with batches_of(spark, 1):
+        return written(blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long"), "token-documents")
 
 
 def binary_output(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:
