@@ -144,8 +144,9 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
         if doc_ids:
             yield pa.RecordBatch.from_pylist([_block(part, block, before, doc_ids, counts, np.concatenate(ids))], schema)
 
+    # a zstd context a column and task stays outside the heap until it is collected: too much for many small parts
     with batches_of(spark, TEXTS):
-        dealt.mapInArrow(encode, BLOCKS).write.option("compression", "zstd").parquet(path)
+        dealt.mapInArrow(encode, BLOCKS).write.option("compression", "snappy").parquet(path)
 
 
 def read_blocks(spark, path: str) -> DataFrame:
@@ -182,7 +183,7 @@ def read_blocks(spark, path: str) -> DataFrame:
                 )
 
     with batches_of(spark, 1):
-        return written(blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long"), "token-documents")
+        return written(blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long"), "token-documents", "snappy")
 
 
 def binary_output(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:
