@@ -291,3 +291,8 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Lets the encoders of this Python worker go; the next task that encodes loads its own."""
+    _ENCODERS.clear()

@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import encoder
+from graphloom.llm.bpe import encoder, forget
 from graphloom.llm.common import batches_of, new_path, released, table, written
 
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 #: Texts in an Arrow batch.
 TEXTS = 2000
 #: Stands for a null doc_id in files.
@@ -146,7 +146,8 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int, block_
 
     # a zstd context a column and task stays outside the heap until it is collected: too much for many small parts
     with batches_of(spark, TEXTS):
-        dealt.mapInArrow(encode, BLOCKS).write.option("compression", "snappy").parquet(path)
+        # a page a block, so that neither side holds more of a column than a block's share
+        dealt.mapInArrow(encode, BLOCKS).write.options(**{"compression": "snappy", "parquet.page.row.count.limit": "1"}).parquet(path)
 
 
 def read_blocks(spark, path: str) -> DataFrame:
@@ -165,6 +166,7 @@ def read_blocks(spark, path: str) -> DataFrame:
 
     @released
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # the worker may be one that encoded
         for batch in batches:
             for row in batch.to_pylist():
                 ids = unpack(row["n_ids"], row["ranks"], row["control"], row["data"]).astype("<u4", copy=False)
