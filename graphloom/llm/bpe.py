@@ -23,7 +23,7 @@ _SPACES = {9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 _LIMIT = 0x3400
 _PIECE = 1 << 18
 #: Code points that the memo's entries hold at most, beyond those of one group of texts.
-_HELD = 6 << 20
+_HELD = 1 << 22
 #: Pre-tokens that the library is given at once.
 _RUN = 1000
 _MUL = 0x9E3779B97F4A7C15

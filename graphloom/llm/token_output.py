@@ -30,7 +30,7 @@ from graphloom.llm.common import batches_of, new_path, released, table, written
 
 BLOCK_IDS = 1 << 18
 #: Texts in an Arrow batch.
-TEXTS = 2000
+TEXTS = 500
 #: Stands for a null doc_id in files.
 NO_ID = -(1 << 63)
 BLOCKS = "part int, block int, ids_before long, n_docs long, n_ids long, doc_ids binary, counts binary, ranks binary, control binary, data binary"
