@@ -1,8 +1,12 @@
 """Near-duplicates of texts and vectors against all pairs."""
 
 import random
+import threading
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from graphloom.llm.components import components
@@ -132,3 +136,56 @@ def test_vectors_of_several_lengths(spark, monkeypatch):
     found = {g.vec_id: (g.n_links, g.component_id) for g in got if g.vec_id is not None}
     assert {k: v for k, v in found.items() if k >= 1000} == {k: v for k, v in want.items() if k >= 1000}
     assert sum(found[k] == want[k] for k in range(400)) >= 396
+
+
+def test_vectors_disk(spark, tmp_path, monkeypatch):
+    """Vectors that probe many lists are dealt in rounds: the folders never hold four times the input."""
+    monkeypatch.setattr("graphloom.llm.vectors.ROUND_BYTES", 1, raising=False)
+    monkeypatch.setattr("graphloom.llm.vectors.MEMBERS", 1024)
+    r, n = np.random.default_rng(2), 20_000
+    x = r.normal(size=(n, 64))
+    x[:300] = x[0] + 0.13 * r.normal(size=(300, 64))
+    x = x.astype(np.float32)
+    cells = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 64, dtype=np.int32)), pa.array(x.ravel()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": cells}), tmp_path / "embeddings.parquet")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = sum(int((unit[a : a + 2000] @ unit.T >= 0.95).sum()) for a in range(0, n, 2000)) - n
+
+    folders = [Path(f.getPath()) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    folders.append(Path(spark.sparkContext.getConf().get("spark.checkpoint.dir")))
+
+    def held():
+        out = {}
+        for path in (p for folder in folders for p in folder.rglob("*")):
+            try:
+                out[path] = path.stat().st_size if path.is_file() else 0
+            except FileNotFoundError:
+                pass  # deleted meanwhile
+        return out
+
+    before, peak, done = held(), [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.1):
+            peak[0] = max(peak[0], sum(size for path, size in held().items() if path not in before))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = near_vectors(spark.read.parquet(str(tmp_path / "embeddings.parquet"))).selectExpr("count(*)", "sum(n_links)").first()
+    finally:
+        done.set()
+        watcher.join()
+    assert tuple(got) == (n, want)
+    assert peak[0] <= 4 * (tmp_path / "embeddings.parquet").stat().st_size
+
+
+def test_links_in_dense_spots(spark):
+    """Lists within one cluster lie so near each other that their planes are no random directions."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=64) + 0.14 * r.normal(size=(3000, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.95
+    np.fill_diagonal(hit, False)
+    got = near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert {g.vec_id: g.n_links for g in got} == dict(enumerate(hit.sum(1).tolist()))
