@@ -7,6 +7,7 @@ from graphloom.llm.html_text import op5_html_text
 from graphloom.llm.language import op10_language_id
 from graphloom.llm.minhash import op7_near_duplicates
 from graphloom.llm.mixing import OP2_SQL, op2_mixing
+from graphloom.llm.periodic import op11_periodic_runs
 from graphloom.llm.private import op3_personal_data
 from graphloom.llm.quotes import op9_chat_threads
 from graphloom.llm.token_counts import op4_token_counts
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_output": op8_token_output,
     "op9_chat_threads": op9_chat_threads,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
