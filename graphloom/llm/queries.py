@@ -12,6 +12,7 @@ from graphloom.llm.private import op3_personal_data
 from graphloom.llm.quotes import op9_chat_threads
 from graphloom.llm.token_counts import op4_token_counts
 from graphloom.llm.token_output import op8_token_output
+from graphloom.llm.trie_bpe import op12_bpe_round_trip
 from graphloom.llm.vectors import op6_near_vectors
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_chat_threads": op9_chat_threads,
     "op10_language_id": op10_language_id,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_bpe_round_trip": op12_bpe_round_trip,
 }
 
 ORACLE_SQL: dict[str, str] = {
