@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from graphloom.llm.alignment import op13_token_alignment
 from graphloom.llm.decontaminate import op1_decontamination
 from graphloom.llm.html_text import op5_html_text
 from graphloom.llm.language import op10_language_id
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_bpe_round_trip": op12_bpe_round_trip,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
