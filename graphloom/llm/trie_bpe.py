@@ -27,6 +27,8 @@ from graphloom.llm.common import released, table
 
 #: Bytes of texts that are encoded together, beyond the last of them.
 _SLICE = 4_000_000
+#: Code points that the memo's words hold at most, beyond those of one group of texts.
+_HELD = 1 << 23
 #: Pairs of tokens of which a task remembers whether they fit.
 _PAIRS = 1 << 19
 
@@ -96,55 +98,69 @@ class Vocabulary:
         self.longest = [0] * 256
         for b in self.of:
             self.longest[b[-1]] = max(self.longest[b[-1]], len(b))
-        self.fitting: dict[tuple[int, int], bool] = {}
+        self.sizes = {i: len(b) for i, b in self.bytes_of.items()}
+        self.fitting: dict[int, bool] = {}
         self._table: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of a word by the definition: the first of the best-ranked neighbours merge until none do."""
-        ids = [self.of[word[i : i + 1]] for i in range(len(word))]
+        ids, merge = [self.of[word[i : i + 1]] for i in range(len(word))], self.merges.get
         while True:
-            pairs = zip(ids, ids[1:], strict=False)
-            rank, at = min(((self.merges[p][0], i) for i, p in enumerate(pairs) if p in self.merges), default=(-1, 0))
-            if rank < 0:
-                break
-            ids[at : at + 2] = [self.merges[ids[at], ids[at + 1]][1]]
-        return ids
+            best = None
+            for i in range(len(ids) - 1):
+                found = merge((ids[i], ids[i + 1]))
+                if found is not None and (best is None or found < best):
+                    best, at = found, i
+            if best is None:
+                return ids
+            ids[at : at + 2] = [best[1]]
 
     def fits(self, before: int, token: int) -> bool:
         """Whether `token` stays as it is after `before` (-1: at the beginning)."""
-        known = self.fitting.get((before, token))
+        pair = before << 32 | token
+        known = self.fitting.get(pair)
         if known is None:
             if len(self.fitting) >= _PAIRS:
                 self.fitting.clear()
             want = [token] if before < 0 else [before, token]
-            known = self.fitting[before, token] = self.merged(b"".join(self.bytes_of[i] for i in want)) == want
+            known = self.fitting[pair] = self.merged(b"".join(self.bytes_of[i] for i in want)) == want
         return known
 
-    def _last(self, path: bytes, end: int, last: list[int]) -> int:
-        """Last token of the prefix of `path` up to `end`, from those of shorter prefixes."""
-        for size in range(min(end, self.longest[path[end - 1]]), 0, -1):
-            token = self.of.get(path[end - size : end])
-            if token is not None and self.fits(last[end - size - 1] if size < end else -1, token):
-                return token
-        raise ValueError(f"the vocabulary does not cover {path[:end]!r}")
+    def _extend(self, path: bytes, last: list[int]) -> None:
+        """Last tokens of the prefixes of `path` beyond those that `last` holds, each from those of shorter ones."""
+        token_of, longest, fitting = self.of.get, self.longest, self.fitting.get
+        for end in range(len(last) + 1, len(path) + 1):
+            most = longest[path[end - 1]]
+            for at in range(end - most if most < end else 0, end):
+                token = token_of(path[at:end])
+                if token is not None:
+                    before = last[at - 1] if at else -1
+                    known = fitting(before << 32 | token)
+                    if known or known is None and self.fits(before, token):
+                        last.append(token)
+                        break
+            else:
+                raise ValueError(f"the vocabulary does not cover {path[:end]!r}")
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Ids of distinct words."""
         out: list[list[int]] = [[]] * len(words)
         last: list[int] = []
+        sizes = self.sizes
         todo = [(trie(words), b"")]
         while todo:
             node, before = todo.pop()
             path = before + node.label
             del last[len(before) :]
-            for end in range(len(before) + 1, len(path) + 1):
-                last.append(self._last(path, end, last))
+            self._extend(path, last)
             if node.word >= 0:
                 ids, at = [], len(path)
                 while at:
-                    ids.append(last[at - 1])
-                    at -= len(self.bytes_of[last[at - 1]])
-                out[node.word] = ids[::-1]
+                    token = last[at - 1]
+                    ids.append(token)
+                    at -= sizes[token]
+                ids.reverse()
+                out[node.word] = ids
             todo += [(child, path) for child in node.below.values()]
         return out
 
@@ -171,6 +187,10 @@ class TrieEncoder(Encoder):
         self.vocabulary = Vocabulary(path)
         self._odd = OddTexts(self.vocabulary, self._library)
 
+    def _full(self, entries: int, points: int) -> bool:
+        # more than the encoder itself holds: a word that was forgotten is walked again
+        return self.n > 0 and (self.n + entries > self.fill * (1 << self.slots_log2) or self.n_held + points > _HELD)
+
     def _library(self, texts: list[str]) -> list[list[int]]:
         place: dict[bytes, int] = {}
         at = [place.setdefault(t.encode(), len(place)) for t in texts]

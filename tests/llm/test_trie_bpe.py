@@ -60,9 +60,9 @@ def test_trie_shares_prefixes():
     asked = []
 
     class Counted(Vocabulary):
-        def _last(self, path, end, last):
-            asked.append(path[:end])
-            return super()._last(path, end, last)
+        def _extend(self, path, last):
+            asked.extend(path[:end] for end in range(len(last) + 1, len(path) + 1))
+            super()._extend(path, last)
 
     vocabulary = Counted(PATH)
     assert vocabulary.encode(words[:4]) == [ids(w.decode()) for w in words[:4]]
