@@ -38,9 +38,11 @@ WRAPS, NEARLY_ALL = 0.5, 0.9
 #: Nodes to remove that are broadcast at most; more of them are joined to the pages by host.
 BROADCAST_NODES = 200_000
 
-_RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "audio", "video"}
+_RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math"}
+#: Of these, elements of other languages, which may close themselves; and those that run on to the end where none is closed.
+_FOREIGN, _ENDLESS = {"svg", "math"}, {"script", "style", "iframe", "textarea", "title"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr audio canvas iframe math noscript object picture script style svg template textarea video".split())
 _NOISE_TAGS = set("nav aside footer head button select menu dialog datalist".split())
 #: Tags that often are no article but may as well wrap a whole page.
 _FORM_TAGS = {"form", "fieldset"}
@@ -53,9 +55,16 @@ _NOISE_WORDS = set(
 _READERS = set("comment comments disqus reply replies respond".split())
 #: Words that turn a name into a statement about something else, as in has-sidebar or ads-free.
 _STATE_WORDS = set("has with without no non not is are open closed free enabled disabled".split())
+#: Words that, beside one that says no article, say nothing more: of what kind its box is, where it stands and what it lists.
+_BOX_WORDS = set(
+    "bar block body box boxes button buttons card container content cell column entry field fields form frame group header heading holder icon icons inline inner input item items label layer"
+    " line link links list module node outer page panel part post posts article articles stories story row section slot small space stack strip tab tabs text thread title top bottom left right"
+    " center first last main side under above below unit user view widgets wrap wrapper wide zone area home site primary secondary sub global mobile desktop more show".split()
+)
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TEXTUAL = set("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption".split())
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+>?|(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?)", re.S)
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in _RAW}
 _ATTR = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _P = (1 << 61) - 1
@@ -78,6 +87,7 @@ class Element:
     first: int
     end: int = 0
     holds: bool = False
+    doubted: bool = False
     children: list[str] = field(default_factory=list)
 
 
@@ -105,7 +115,7 @@ class Page:
             content = (total[e.end] - total[e.first] * power[e.end - e.first]) % _P
             seen, inside = out.get(e.node, ([], False))
             seen.append((content, xxhash.xxh3_64_intdigest(" ".join(e.children))))
-            out[e.node] = seen, inside or e.inside
+            out[e.node] = seen, inside or e.inside and not e.doubted
         return out
 
     def text(self, low: set[int]) -> str:
@@ -136,19 +146,26 @@ class Page:
         return "\n".join(b for b, k in zip(self.blocks, kept, strict=True) if k)
 
 
-def _kind(tag: str, attrs: dict[str, str], inside: bool) -> int:
-    """What an element's own tag and attributes say."""
+def _kind(tag: str, attrs: dict[str, str], inside: bool) -> tuple[int, bool]:
+    """What an element's own tag and attributes say, and whether its name casts doubt on it.
+
+    Within an article a name rules out only what all its parts speak against, and no heading or text;
+    one that goes on, as in social-history, is a reason to expect more of the branch's importance.
+    """
     if tag in _NOISE_TAGS or (tag == "header" and not inside) or "hidden" in attrs or attrs.get("role", "").lower() in _NOISE_ROLES:
-        return STRONG
-    if tag in ("html", "body", "main"):
+        return STRONG, False
+    if tag in ("html", "body", "main") or inside and tag in _TEXTUAL:
         words = []
     else:
         words = (attrs.get("class", "") if tag == "article" else f"{attrs.get('class', '')} {attrs.get('id', '')}").split()
     parts = [{x.lower() for x in _NAME_PARTS.findall(w)} for w in words]
     parts = [p for p in parts if p & _NOISE_WORDS and not p & _STATE_WORDS]
+    doubted = inside and any(parts)
+    if inside:
+        parts = [p for p in parts if p <= _NOISE_WORDS | _BOX_WORDS]
     if any(p & _READERS for p in parts):
-        return STRONG
-    return WEAK if parts or tag in _FORM_TAGS or attrs.get("role", "").lower() == "form" else PLAIN
+        return STRONG, doubted
+    return WEAK if parts or tag in _FORM_TAGS or attrs.get("role", "").lower() == "form" else PLAIN, doubted
 
 
 def parse(source: str | None, names: bool = True) -> Page:
@@ -181,9 +198,7 @@ def parse(source: str | None, names: bool = True) -> Page:
                 page.elements[e.parent].holds = True
 
     at = 0
-    for m in _TAG.finditer(source):
-        if m.start() < at:
-            continue
+    while m := _TAG.search(source, at):
         if m.start() > at:
             text.append(source[at : m.start()])
         at = m.end()
@@ -200,10 +215,13 @@ def parse(source: str | None, names: bool = True) -> Page:
             if at_tag.get(tag):
                 close_from(at_tag[tag][-1])
             continue
-        if tag in _RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
+        if tag in _FOREIGN and m[3].endswith("/"):
             continue
+        if tag in _RAW:
+            end = _END[tag].search(source, at)
+            if end or tag in _ENDLESS:
+                at = end.end() if end else len(source)
+                continue
         if tag in _VOID:
             continue
         if block and at_tag.get("p"):
@@ -221,9 +239,9 @@ def parse(source: str | None, names: bool = True) -> Page:
         within = bool(parent) and parent.inside
         if block and parent:
             parent.children.append(key)
-        kind = _kind(tag, attrs, within) if names else PLAIN
+        kind, doubted = _kind(tag, attrs, within) if names else (PLAIN, False)
         landmark = within or tag in ("article", "main") or attrs.get("role") == "main"
-        page.elements.append(Element(tag, up, node, kind, landmark, bool(classes or attrs.get("id")), len(page.blocks)))
+        page.elements.append(Element(tag, up, node, kind, landmark, bool(classes or attrs.get("id")), len(page.blocks), doubted=doubted))
         at_tag.setdefault(tag, []).append(len(stack))
         if tag in ("ul", "ol", "dl", "table", "select"):
             lists.append(len(stack))
