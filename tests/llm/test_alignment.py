@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from graphloom.llm.alignment import NUMBERS, Aligner, align, cut_pattern, op13_token_alignment
+from graphloom.llm.alignment import NUMBERS, Aligner, align, cut_pattern, cutter, op13_token_alignment
 from graphloom.llm.trie_bpe import byte_letters
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -20,7 +20,7 @@ FIRST = Tokenizer.from_file(A)
 FIRST.encode_special_tokens = True
 SECOND = sentencepiece.SentencePieceProcessor(model_file=B)
 PATTERN = cut_pattern(A, B)
-ALIGNER = Aligner(A, B)
+ALIGNER = Aligner(A, B, PATTERN)
 PIECES = ["'", "s", "re", " ", "  ", "\n", "\t", "a", "é", "1", ".", "\x85", "　", "Ж", "中", "😀", "<|endoftext|>", "<s>", "<0x41>", "́", "\r", "\x1c", "\xa0", "ing", "▁", "\x00", "�"]
 
 
@@ -69,10 +69,15 @@ def test_segments_are_tokenised_as_in_the_text(text):
     assert ALIGNER.whole(text) == (whole is not None)
     if whole:
         segments = re.split(PATTERN, f" {text}")
+        assert cutter(PATTERN)(f" {text}") == segments
         assert "".join(segments) == f" {text}" and all(s[0] == " " for s in segments)
-        got = ALIGNER.align(segments)
-        assert [sum(x[k] for x in got) for k in (0, 1)] == [len(side) for side in whole]
-        assert ";".join(x[3] for x in got) == expected([(1, text)])[0][-1]
+        numbers, groups = {}, {}
+        for places, counts, texts, links, sizes in ALIGNER.align(segments):
+            numbers |= dict(zip(places, counts.tolist(), strict=True))
+            groups |= dict(zip(places, texts, strict=True))
+            assert len(links) == sizes.sum() and len(sizes) == len(places)
+        assert [sum(x[k] for x in numbers.values()) for k in (0, 1)] == [len(side) for side in whole]
+        assert ";".join(groups[k] for k in range(len(segments))) == expected([(1, text)])[0][-1]
 
 
 def key(row):
