@@ -7,21 +7,28 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import bm25, code, dense, reconcile, state, workspace
+from graphloom.operators import bm25, code, dense, embed, pending, reconcile, snapshot, state, workspace
 from graphloom.operators import search as hybrid
 from graphloom.operators.index import TextIndex, VectorIndex
+from graphloom.operators.snapshot import Mark, Snapshots
 from graphloom.plans import graph as plans
-from graphloom.plans.schema import LOG
 from graphloom.sources import files as sources
 from graphloom.sources import log as logs
-from graphloom.sources.folders import work_folder
+from graphloom.sources.folders import written
 
 
 class Engine:
-    """A log at `path` (JSONL files below it). The graph is worked out from it on demand."""
+    """A log at `path` (JSONL files below it), and what is kept beside it.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    The graph is worked out on demand, from the last snapshot and the batches since. With an
+    `embedder` files taken in bring vectors, and searches have a dense side of their own.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, embedder: embed.Embedder | None = None, snapshot_every: int = 32):
+        self.spark, self.path, self.embedder, self.every = spark, path.rstrip("/"), embedder, snapshot_every
+        self.snapshots = Snapshots(spark, f"{self.path}/_state")
+        self.queue = pending.Queue(spark, f"{self.path}/_pending")
+        self.store = embed.VectorStore(spark, f"{self.path}/_vectors")
 
     @property
     def log(self) -> DataFrame:
@@ -29,18 +36,31 @@ class Engine:
 
     @property
     def graph(self) -> plans.Graph:
-        return state.fold(self.log)
+        return snapshot.current(self.spark, self.path, self.snapshots)
+
+    def _worked(self) -> plans.Graph:
+        return snapshot.at(self.spark, self.path, self.snapshots, logs.listing(self.spark, self.path), often=True)
+
+    def snapshot(self) -> None:
+        """Keeps the graph as it is now, for later requests to begin with."""
+        listed = logs.listing(self.spark, self.path)
+        self.snapshots.write(snapshot.at(self.spark, self.path, self.snapshots, listed, often=True), listed)
 
     def query(self, request: dict) -> DataFrame:
         return plans.run(self.graph, request)
 
     def search(self, request: dict, vector: list[float] | None = None, now: int | None = None, index: tuple[TextIndex, VectorIndex] | None = None) -> DataFrame:
-        """Hits of a request; with kept indexes only what they hold of its terms is read."""
+        """Hits of a request; with kept indexes only what they hold of its terms is read. Without a
+        `vector` the engine's embedder makes one of the request's text."""
+        if vector is None and self.embedder is not None:
+            vector = [float(x) for x in self.embedder.embed([request["text"]])[0]] if request.get("text") else None
         text, chunks = (index[0].source(), index[1].chunks()) if index else (None, None)
         return hybrid.search(self.graph, request, text, chunks, vector=vector, now=now)
 
     def append(self, events: DataFrame) -> None:
-        logs.append(events, self.path)
+        n = logs.append(events, self.path)
+        if self.every and n % self.every == self.every - 1:
+            self.snapshot()
 
     def _event(self, kind: str, **payload: str | None) -> None:
         columns = {k: F.lit(v) for k, v in payload.items() if v is not None}
@@ -64,24 +84,30 @@ class Engine:
         return code.languages(self.spark)
 
     def reconcile(self, files: DataFrame, now_ms: int) -> dict[str, int]:
-        """Takes in `files` (path, content); returns what that did."""
-        path = work_folder(self.spark, "batch")
-        reconcile.events(files, self.graph, now_ms).write.parquet(path)
-        batch = self.spark.read.schema(LOG).parquet(path)  # worked out once, for the log and the counts
+        """Takes in `files` (path, content); returns what that did. References that nothing answers
+        wait, and are linked by the batch that declares what they name."""
+        work = reconcile.work(files, self._worked(), now_ms, self.queue.read())
+        batch = written(work.events, "batch")  # worked out once, for the log and the counts
+        if self.embedder is not None:
+            nodes = state.nodes(state.effective(batch))
+            self.store.fill(nodes, self.embedder)
+            batch = embed.with_vectors(batch, self.store.vectors(nodes))
+        waiting = written(work.pending, "pending")
+        queue = written(work.queue, "queue")
         self.append(batch)
-        refs = code.references(files.where("content is not null"))
-        named = self.graph.nodes.where("entity_type in ('Function', 'Class')").select("name").distinct()
-        pending = refs.select(F.regexp_extract("name", r"([^:.]+)$", 1).alias("name")).join(named, "name", "left_anti")
-        return reconcile.counts(batch, pending)
+        self.queue.write(queue)
+        return reconcile.counts(batch, waiting)
 
     def sync(self, root: str, now_ms: int) -> dict[str, int]:
         """Makes the graph agree with the source tree below `root`: files that are newer than the graph
-        has them are taken in, and those that are gone are taken out."""
+        has them and differ are taken in, and those that are gone are taken out. Files too large to be read
+        are there all the same."""
         disk = sources.scan(self.spark, root)
-        known = self.graph.by_type("File").select(F.col("id").alias("path"), "last_modified")
-        new = disk.join(sources.changed(disk, known), "path", "left_semi").select("path", "content")
-        gone = sources.stale(disk, known).select("path", F.lit(None).cast("string").alias("content"))
-        return self.reconcile(new.unionByName(gone), now_ms)
+        known = self.graph.by_type("File").select(F.col("id").alias("path"), "last_modified", F.get_json_object("metadata", "$.hash").alias("hash"))
+        actions = written(sources.plan(sources.listed(self.spark, root), disk, known), "sync")
+        new = disk.join(actions.where("action = 'take'"), "path", "left_semi").select("path", "content")
+        gone = actions.where("action = 'drop'").select("path", F.lit(None).cast("string").alias("content"))
+        return self.reconcile(written(new.unionByName(gone), "files"), now_ms)
 
     def track(self, path: str) -> None:
         """Maps all that a file declares to the active workspaces."""
@@ -93,12 +119,24 @@ class Engine:
         return workspace.report(self.graph)
 
     def index(self, path: str) -> tuple[TextIndex, VectorIndex]:
-        """Kept indexes below `path`, built from the graph where there are none yet."""
+        """Kept indexes below `path`, brought up to the log.
+
+        An index says how far it goes into the log. Nodes that later batches write or delete make its
+        next generation; where there is none yet, or the log was rewritten, that is all of them.
+        """
+        listed = logs.listing(self.spark, self.path)
+        mark, graph = Mark.of(listed), snapshot.at(self.spark, self.path, self.snapshots, listed, often=True)
         text, vectors = TextIndex(self.spark, f"{path}/text"), VectorIndex(self.spark, f"{path}/vectors")
-        if not text.generations():
-            text.add(bm25.node_fields(self.graph.nodes))
-        if not vectors.generations():
-            vectors.add(dense.node_chunks(self.graph.nodes))
+        for kept, make, key in ((text, bm25.node_fields, "doc_id"), (vectors, dense.node_chunks, "node_id")):
+            old = kept.mark()
+            if old is not None and old.begins(listed):
+                if old.upto == listed.upto:
+                    continue
+                ids = state.touched(state.effective(snapshot.since(self.spark, self.path, listed, old)))
+                nodes = graph.nodes.join(ids, "id", "left_semi")
+            else:
+                nodes, ids = graph.nodes, graph.nodes.select("id").unionAll(kept.held().toDF("id")).distinct()
+            kept.change(make(nodes), ids.select(F.col("id").alias(key)), mark)
         return text, vectors
 
     def open_workspace(self, name: str, description: str, now: int) -> None:
@@ -109,10 +147,10 @@ class Engine:
 
     def compact(self, archive: str, keep: int = state.KEEP_WORKSPACES) -> tuple[int, int]:
         """Rewrites the log as the least one that folds to the same graph without old workspaces,
-        which go to the archive; returns (rows archived, rows kept)."""
-        new, old = state.compacted(self.log, keep)
-        new, old = new.checkpoint() if self.spark.sparkContext.getCheckpointDir() else new.cache(), old
-        archived = logs.archive(old, archive)
-        kept = new.count()
-        logs.rewrite(new, self.path)
+        which go to the archive; returns (rows archived, rows kept). What is appended meanwhile stays."""
+        listed = logs.listing(self.spark, self.path)
+        stays, goes = state.pruned(snapshot.at(self.spark, self.path, self.snapshots, listed, often=True), keep)
+        new, old = written(state.synthesize(stays), "compacted"), written(state.synthesize(goes), "archived")
+        archived, kept = logs.archive(old, archive), new.count()
+        logs.rewrite(new, self.path, listed)
         return archived, kept

@@ -135,3 +135,8 @@ def file_references(text: Column) -> Column:
 def content_hash(text: Column) -> Column:
     """First 16 hexadecimal digits of SHA-256."""
     return F.substring(F.sha2(text, 256), 1, 16)
+
+
+def uri_to_path(uri: Column) -> Column:
+    """A file URI's path; anything else as it is."""
+    return F.when(uri.startswith("file://"), F.substr(uri, F.lit(8))).otherwise(uri)

@@ -6,10 +6,10 @@ from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import raw_tokens, stem
+from graphloom.functions.text import raw_tokens, stem, tokens
 from graphloom.operators.rerank import words
 from graphloom.sources.folders import work_folder
 
@@ -43,7 +43,7 @@ def terms(text: str) -> dict[str, int]:
     return dict(Counter(words(text)))
 
 
-#: Gives, for the terms asked for, lengths (field, doc_id, dl) of a whole corpus and hits (field, doc_id, token, tf).
+#: Gives, for the terms asked for, statistics (field, n, avgdl) of a whole corpus and hits (field, doc_id, token, tf, dl).
 Source = Callable[[dict[str, int]], tuple[DataFrame, DataFrame]]
 
 
@@ -54,7 +54,8 @@ def spread(texts: DataFrame) -> DataFrame:
 
 
 def of_postings(post: DataFrame) -> Source:
-    return lambda asked: (lengths(post), post.where(F.col("token").isin(*asked)))
+    length = lengths(post)
+    return lambda asked: (stats(length), post.where(F.col("token").isin(*asked)).join(length, ["field", "doc_id"]))
 
 
 def of_texts(texts: DataFrame) -> Source:
@@ -71,7 +72,8 @@ def of_texts(texts: DataFrame) -> Source:
         kept = spark.read.schema("field string, doc_id string, n bigint, raw array<string>").parquet(path)
         found = kept.select("field", "doc_id", F.explode("raw").alias("raw")).groupBy("field", "doc_id", "raw").agg(F.count("*").alias("n"))
         stemmed = found.select("field", "doc_id", stem(F.col("raw")).alias("token"), "n").where(F.col("token").isin(*asked))
-        return kept.groupBy("field", "doc_id").agg(F.sum("n").alias("dl")), stemmed.groupBy("field", "doc_id", "token").agg(F.sum("n").alias("tf"))
+        length = kept.groupBy("field", "doc_id").agg(F.sum("n").alias("dl"))
+        return stats(length), stemmed.groupBy("field", "doc_id", "token").agg(F.sum("n").alias("tf")).join(length, ["field", "doc_id"])
 
     return source
 
@@ -79,18 +81,22 @@ def of_texts(texts: DataFrame) -> Source:
 def field_scores(source: Source | DataFrame, text: str) -> DataFrame:
     """(field, doc_id, score) of all documents with a query token; a DataFrame is one of postings.
 
-    Lengths and counts cover the whole corpus; only the postings of query tokens meet them.
+    Statistics cover the whole corpus; only the postings of query tokens meet them.
     Statistics are one row a field and terms one row a query token, so both are broadcast.
     """
     asked = terms(text)
-    length, found = (of_postings(source) if isinstance(source, DataFrame) else source)(asked)
-    weights = length.sparkSession.createDataFrame(sorted(asked.items()), "token string, weight int")
+    corpus, found = (of_postings(source) if isinstance(source, DataFrame) else source)(asked)
+    weights = found.sparkSession.createDataFrame(sorted(asked.items()), "token string, weight int")
     hits = found.join(F.broadcast(weights), "token")
     df = hits.groupBy("field", "token").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), ["field", "token"]).join(length, ["field", "doc_id"]).join(F.broadcast(stats(length)), "field")
+    scored = hits.join(F.broadcast(df), ["field", "token"]).join(F.broadcast(corpus), "field")
+    return scored.groupBy("field", "doc_id").agg(F.sum(F.col("weight") * _part()).alias("score"))
+
+
+def _part() -> Column:
+    """What one occurrence of a term in a request is worth to a document."""
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("field", "doc_id").agg(F.sum(F.col("weight") * part).alias("score"))
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
 
 
 def pool(top_k: int) -> int:
@@ -114,6 +120,29 @@ def search(source: Source | DataFrame, text: str, limit: int) -> DataFrame:
     return total.groupBy("doc_id").agg(F.sum("score").alias("score")).orderBy(by_score(), "doc_id").limit(limit)
 
 
+def search_many(post: DataFrame, corpus: DataFrame, requests: DataFrame, limit: int) -> DataFrame:
+    """(request_id, doc_id, score, place) of each request (request_id, text): what `search` gives it alone.
+
+    post: postings with dl (field, doc_id, token, tf, dl). corpus: (field, n, avgdl). All requests meet the
+    postings in one join by token; scores are summed before they are shuffled, and of each request and
+    field only the best go on. A request without tokens has no hits; requests of one id are one text.
+    """
+    asked = requests.select("request_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("request_id", "token").agg(F.count("*").alias("weight"))
+    found = post.join(asked.select("token").distinct(), "token", "left_semi")
+    df = found.groupBy("field", "token").agg(F.count("*").alias("df"))
+    worth = found.join(df, ["field", "token"]).join(F.broadcast(corpus), "field").select("field", "doc_id", "token", _part().alias("part"))
+    scores = worth.join(asked, "token").groupBy("request_id", "field", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+
+    def best(rows: DataFrame, most: int, *by: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(by_score(), "doc_id"))
+        return rows.withColumn("place", place).where(F.col("place") <= most)
+
+    weight = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])[F.col("field")]
+    pooled = best(scores.where(F.col("field").isin(*WEIGHTS)), max(20, 3 * limit), "request_id", "field")
+    total = pooled.groupBy("request_id", "doc_id").agg(F.sum(F.col("score") * weight).alias("score"))
+    return best(total, limit, "request_id").select("request_id", "doc_id", "score", "place")
+
+
 def node_fields(nodes: DataFrame) -> DataFrame:
     """(doc_id, field, text) of nodes by their kind; empty texts are left out.
 

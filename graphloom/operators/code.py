@@ -181,22 +181,39 @@ def references(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, REFERENCES)
 
 
-def resolve(refs: DataFrame, declared: DataFrame) -> DataFrame:
-    """(from_id, to_id, relationship, properties): references joined by name with declarations.
+def asked(refs: DataFrame) -> DataFrame:
+    """(path, kind, name, from_id) of `REFERENCES`: by the last part of the name, from what encloses it."""
+    last = F.regexp_extract("name", r"([^:.]+)$", 1)
+    sender = F.when(F.col("enclosing").isNull(), F.col("path")).otherwise(F.concat("path", F.lit(":"), "enclosing"))
+    return refs.select("path", "kind", last.alias("name"), sender.alias("from_id")).distinct()
+
 
-    The nearest declaration counts: of the same file, else of the same folder, else any; where the
-    nearest are several, the reference stays pending. It stands in for a language server, which this
-    engine does not run.
+def nearest(refs: DataFrame, declared: DataFrame) -> DataFrame:
+    """(path, kind, name, from_id, to_id) of `refs` that one declaration (id, name, path) answers.
+
+    The nearest counts: of the same file, else of the same folder, else any; where the nearest are
+    several, a reference has no answer. Declarations are brought to one row a name and place
+    first, so a common name never meets all its declarations.
     """
-    last = F.regexp_extract("name", r"([^:.]+)$", 1)
-    asked = refs.select("path", "kind", last.alias("name"), F.when(F.col("enclosing").isNull(), F.col("path")).otherwise(F.concat("path", F.lit(":"), "enclosing")).alias("from_id")).distinct()
-    known = declared.select(F.col("id").alias("to_id"), F.col("name"), F.col("path").alias("defined_in")).distinct()
 
     def folder(path: str) -> Column:
         return F.regexp_replace(path, "[^/]*$", "")
 
-    far = F.when(F.col("defined_in") == F.col("path"), 0).when(folder("defined_in") == folder("path"), 1).otherwise(2)
-    # one partial aggregate keeps the nearest and whether it stands alone, so a common name is never gathered
-    found = asked.join(known, "name").groupBy("path", "kind", "from_id", "name", far.alias("far")).agg(F.min("to_id").alias("to_id"), F.max("to_id").alias("other"))
-    best = found.groupBy("path", "kind", "from_id", "name").agg(F.min(F.struct("far", "to_id", "other")).alias("b")).where("b.to_id = b.other")
-    return best.select("from_id", F.col("b.to_id").alias("to_id"), F.col("kind").alias("relationship"), F.to_json(F.struct(F.lit("name").alias("resolver"))).alias("properties")).distinct()
+    known = declared.select("name", F.col("path").alias("near_0"), folder("path").alias("near_1"), F.lit("").alias("near_2"), "id")
+    found = refs.select("path", "kind", "name", "from_id").withColumns({"near_0": F.col("path"), "near_1": folder("path"), "near_2": F.lit("")})
+    for level in range(3):
+        near, least, most = (f"{x}_{level}" for x in ("near", "least", "most"))
+        found = found.join(known.groupBy("name", near).agg(F.min("id").alias(least), F.max("id").alias(most)), ["name", near], "left")
+    least, most = (F.coalesce(*[F.col(f"{x}_{level}") for level in range(3)]) for x in ("least", "most"))
+    return found.where(least == most).select("path", "kind", "name", "from_id", least.alias("to_id"))
+
+
+def links(found: DataFrame) -> DataFrame:
+    """(from_id, to_id, relationship, properties) of answered references."""
+    return found.select("from_id", "to_id", F.col("kind").alias("relationship"), F.to_json(F.struct(F.lit("name").alias("resolver"))).alias("properties")).distinct()
+
+
+def resolve(refs: DataFrame, declared: DataFrame) -> DataFrame:
+    """(from_id, to_id, relationship, properties): references joined by name with declarations (id, name,
+    path). It stands in for a language server, which this engine does not run."""
+    return links(nearest(asked(refs), declared))

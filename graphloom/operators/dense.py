@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.functions.text import decay
 
@@ -31,9 +32,21 @@ def nearest(chunks: DataFrame, query: list[float], limit: int) -> DataFrame:
     return chunks.select("node_id", "chunk_idx", dot(F.col("vec"), query).alias("sim")).orderBy(F.round("sim", 9).desc(), "node_id", "chunk_idx").limit(limit)
 
 
+def _matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
+    """A row for each vector, cut to `width` or filled up with zeros."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    flat = vectors.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(float)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    column = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.zeros((len(sizes), width))
+    kept = column < width
+    out[row[kept], column[kept]] = flat[kept]
+    return out
+
+
 def nearest_many(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, id, sim): of each query (query_id, vec) the `limit` nearest of `vectors` (id, vec),
-    ties by id; all of one length.
+    ties by id. Null vectors are left out; of two lengths the shorter counts, and null components are zero.
 
     Queries are broadcast as matrices of at most `BLOCK_FLOATS` numbers, one pass over the vectors
     each. A task multiplies its batches with the matrix and keeps `limit` a query.
@@ -42,24 +55,25 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFram
     best = Window.partitionBy("query_id").orderBy(F.round("sim", 9).desc(), "id")
 
     def one(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], np.array([r["vec"] for r in rows], float)))
+        width, kind = max(len(r["vec"]) for r in rows), to_arrow_type(queries.schema["query_id"].dataType)
+        asked = np.array([[x or 0.0 for x in r["vec"]] + [0.0] * (width - len(r["vec"])) for r in rows], float)
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], asked))
 
         def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
             for batch in batches:
                 if batch.num_rows:
                     ids = batch.column(batch.schema.get_field_index("id"))
-                    x = batch.column(batch.schema.get_field_index("vec")).flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
-                    sim = q @ x.T
+                    sim = q @ _matrix(batch.column(batch.schema.get_field_index("vec")), q.shape[1]).T
                     # all that tie with the last place to nine digits, as ties are broken later
                     last = np.sort(sim, axis=1)[:, -min(limit, sim.shape[1])] - 1e-9
                     i, j = np.nonzero(sim >= last[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(i)), ids.take(pa.array(j)), pa.array(sim[i, j])], names=["query_id", "id", "sim"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names, kind).take(pa.array(i)), ids.take(pa.array(j)), pa.array(sim[i, j])], names=["query_id", "id", "sim"])
 
         schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, sim double"
-        return vectors.select("id", "vec").mapInArrow(top, schema)
+        return vectors.where("vec is not null").select("id", "vec").mapInArrow(top, schema)
 
-    for row in queries.select("query_id", "vec").toLocalIterator():
+    for row in queries.where("vec is not null").select("query_id", "vec").toLocalIterator():
         block.append(row)
         held += len(row["vec"])
         if held >= BLOCK_FLOATS:

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.rerank import chunked, word_pieces, words
+from graphloom.sources.folders import file_system
+from graphloom.sources.log import moved
+
+VECTORS = "emb_hash string, embedding array<array<float>>"
 
 
 class Embedder(Protocol):
@@ -67,3 +72,47 @@ def embed(texts: DataFrame, embedder: Embedder, most: int = 400) -> DataFrame:
             yield pd.DataFrame({"id": pdf["id"], "emb_hash": pdf["emb_hash"], "embedding": [[v.tolist() for v in vectors[e - len(p) : e]] for p, e in zip(parts, ends, strict=True)]})
 
     return texts.select("id", "emb_text", "emb_hash").mapInPandas(run, "id string, emb_hash string, embedding array<array<float>>")
+
+
+class VectorStore:
+    """Vectors by the hash of their text, kept at `path`: a text is embedded once, whatever node it stands for.
+
+    Each filling adds a folder of what was missing, put in place by one rename.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _folders(self) -> list[str]:
+        fs, at = file_system(self.spark, self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(n for n in names if n.startswith("part-"))
+
+    def known(self, folders: list[str] | None = None) -> DataFrame:
+        """(emb_hash, embedding) of all texts, or of those that fillings brought."""
+        names = self._folders() if folders is None else folders
+        return self.spark.read.schema(VECTORS).parquet(*[f"{self.path}/{n}" for n in names]) if names else self.spark.createDataFrame([], VECTORS)
+
+    def fill(self, nodes: DataFrame, embedder: Embedder, most: int = 400) -> str:
+        """Embeds what texts of `nodes` the store lacks, each once; returns the folder that holds them."""
+        texts = hashed(nodes).where("emb_text <> ''").select(F.col("emb_hash").alias("id"), "emb_text", "emb_hash").dropDuplicates(["emb_hash"])
+        missing = texts.join(self.known().select("emb_hash"), "emb_hash", "left_anti")
+        draft, name = f"{self.path}/_draft-{uuid.uuid4().hex}", f"part-{len(self._folders()):08d}-{uuid.uuid4().hex[:8]}"
+        embed(missing, embedder, most).select("emb_hash", "embedding").write.parquet(draft)
+        if not moved(self.spark, draft, f"{self.path}/{name}"):
+            raise RuntimeError(f"{self.path}/{name} is there already")
+        return name
+
+    def vectors(self, nodes: DataFrame) -> DataFrame:
+        """(id, embedding) of nodes whose texts the store knows. Two fillings at once may both bring a text; one counts."""
+        once = self.known().groupBy("emb_hash").agg(F.first("embedding").alias("embedding"))
+        return hashed(nodes).where("emb_text <> ''").select("id", "emb_hash").join(once, "emb_hash").select("id", "embedding")
+
+
+def with_vectors(batch: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Log rows whose writes of nodes hold `vectors` (id, embedding), where they have none yet."""
+    given = F.get_json_object("properties", "$.embedding").isNull() & F.col("embedding").isNotNull() & (F.col("event_type") == "UPSERT_NODE")
+    rest = F.regexp_replace("properties", r"\}\s*$", "")
+    comma = F.when(F.regexp_like("properties", F.lit(r"^\s*\{\s*\}\s*$")), "").otherwise(",")
+    whole = F.concat(rest, comma, F.lit('"embedding":'), F.to_json("embedding"), F.lit("}"))
+    return batch.join(vectors.select("id", "embedding"), "id", "left").withColumn("properties", F.when(given, whole).otherwise(F.col("properties"))).select(*batch.columns)

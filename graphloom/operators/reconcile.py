@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators import code, markdown
+from graphloom.functions.text import content_hash
+from graphloom.operators import code, markdown, pending
 from graphloom.plans.graph import Graph
+from graphloom.sources.folders import written
 
 #: Ranks of event kinds within a batch: what is removed goes first, links come after all nodes.
 _ORDER = {"delete": 0, "file": 1, "node": 2, "declared": 3, "reference": 4}
@@ -30,20 +33,36 @@ def deletions(files: DataFrame, graph: Graph) -> DataFrame:
     return declared.select("id", "path").unionAll(empty).distinct()
 
 
+@dataclass(frozen=True)
+class Work:
+    """What a batch of files comes to: log rows, the queue of open references after it, and those of them that the batch asked."""
+
+    events: DataFrame
+    queue: DataFrame
+    pending: DataFrame
+
+
 def events(files: DataFrame, graph: Graph, now_ms: int, first_seq: int = 0) -> DataFrame:
-    """Log rows that bring `graph` up to `files` (path, content).
+    """Log rows of `work` without a queue."""
+    return work(files, graph, now_ms, files.sparkSession.createDataFrame([], pending.QUEUE), first_seq).events
+
+
+def work(files: DataFrame, graph: Graph, now_ms: int, queue: DataFrame, first_seq: int = 0) -> Work:
+    """What brings `graph` up to `files` (path, content), where the references in `queue` wait.
 
     All that the files declared goes; each file that isn't empty is written with its functions,
-    classes and sections, and these are linked to it. Calls and imports are resolved by name against
-    the graph and the batch, section references against the same, so that documents find code
+    classes and sections, and these are linked to it. A file keeps the hash of its content in its
+    metadata. Calls and imports are resolved by name against the graph and the batch, or wait (see
+    `pending.step`); section references are resolved against the same, so that documents find code
     that comes with them. References of other documents to what was deleted are restored by name.
     Of declarations of one file that share a name the last counts. seq starts at `first_seq` and has gaps; rows that are equal share one.
     """
     full = files.where("content is not null and trim(content) <> ''")
-    gone = deletions(files, graph)
+    names = graph.nodes.select("id", "name")
+    gone = written(deletions(files, graph).join(names, "id", "left"), "gone")
     decl, parsed = code.declarations(full), markdown.parse(full)
     stamp = F.lit(now_ms)
-    file_props = F.to_json(F.struct(F.element_at(F.split("path", "/"), -1).alias("name"), F.lit("File").alias("entity_type"), F.lit("active").alias("status"), stamp.alias("last_modified")))
+    file_props = F.to_json(F.struct(F.element_at(F.split("path", "/"), -1).alias("name"), F.lit("File").alias("entity_type"), F.lit("active").alias("status"), stamp.alias("last_modified"), F.to_json(F.struct(content_hash(F.col("content")).alias("hash"))).alias("metadata")))
     decl_props = F.to_json(F.struct("name", "entity_type", F.lit("active").alias("status"), stamp.alias("last_modified"), F.col("source_text").alias("content"), F.to_json(F.struct("line")).alias("metadata")))
     sect_props = F.to_json(F.struct("name", F.lit("Section").alias("entity_type"), F.lit("active").alias("status"), stamp.alias("last_modified"), "content", F.to_json(F.struct("level", "start_line", "end_line")).alias("metadata")))
     entity = F.lit("Entity")
@@ -54,7 +73,10 @@ def events(files: DataFrame, graph: Graph, now_ms: int, first_seq: int = 0) -> D
     every = kept.withColumn("place", F.lit(-2)).unionAll(new)
     nodes = every.groupBy("id").agg(F.max(F.struct("place", "label", "entity_type", "name")).alias("n")).select("id", "n.label", "n.entity_type", "n.name")
     known = nodes.where("entity_type in ('Function', 'Class')").select("id", "name", F.substring_index("id", ":", 1).alias("path"))
-    calls = code.resolve(code.references(full), known)
+    refs_asked = written(code.asked(code.references(full)), "references")
+    changed = gone.where("name is not null").select("name").unionAll(decl.select("name"))
+    found, waiting = pending.step(queue, refs_asked, pending.linked(graph, gone), known, changed, gone, files)
+    calls = code.links(found)
     refs = markdown.resolve(parsed, nodes)
     sections = graph.nodes.where("entity_type = 'Section'").select("id", "entity_type").join(gone.select("id"), "id", "left_anti")
     restored = _restored(graph, gone, sections, nodes)
@@ -69,12 +91,13 @@ def events(files: DataFrame, graph: Graph, now_ms: int, first_seq: int = 0) -> D
         _event(refs, "reference", "LINK_NODES", from_id=F.col("from_id"), to_id=F.col("to_id"), relationship=F.lit("REFERENCES"), properties=F.to_json(F.struct("match_type", "matched_text"))),
         _event(restored, "reference", "LINK_NODES", from_id=F.col("from_id"), to_id=F.col("to_id"), relationship=F.col("relationship"), properties=F.col("properties")),
     ]
-    batch = reduce(DataFrame.unionAll, parts)
+    rows = reduce(DataFrame.unionAll, parts)
     # seq within a batch: one rank after another, inside a rank by place in the file, then by a hash of
     # the row, which needs no shuffle and is the same when a task runs again
     ranked = F.shiftleft(F.col("rank").cast("bigint"), SEQ_BITS) + F.shiftleft(F.col("place").cast("bigint"), HASH_BITS)
     seq = F.lit(first_seq) + ranked + F.pmod(F.xxhash64(*_COLUMNS), F.lit(1 << HASH_BITS))
-    return batch.select(seq.cast("bigint").alias("seq"), F.lit(1).alias("version"), (stamp / 1000).cast("bigint").alias("timestamp"), "event_type", "id", "label", "from_id", "to_id", "relationship", F.lit(None).cast("string").alias("direction"), "properties")
+    batch = rows.select(seq.cast("bigint").alias("seq"), F.lit(1).alias("version"), (stamp / 1000).cast("bigint").alias("timestamp"), "event_type", "id", "label", "from_id", "to_id", "relationship", F.lit(None).cast("string").alias("direction"), "properties")
+    return Work(batch, waiting, refs_asked.join(found, ["path", "kind", "name", "from_id"], "left_anti"))
 
 
 def _restored(graph: Graph, gone: DataFrame, sections: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -86,8 +109,8 @@ def _restored(graph: Graph, gone: DataFrame, sections: DataFrame, nodes: DataFra
     return markdown.relink(hit, both, stay)
 
 
-def counts(batch: DataFrame, pending: DataFrame) -> dict[str, int]:
-    """What a reconciliation did: nodes written, nodes deleted, edges written, references that wait
-    for what they name."""
+def counts(batch: DataFrame, waiting: DataFrame) -> dict[str, int]:
+    """What a reconciliation did: nodes written, nodes deleted, edges written, references of its files
+    that wait, as what they name is declared nowhere or at several places alike."""
     kinds = {r[0]: r[1] for r in batch.groupBy("event_type").agg(F.countDistinct(F.coalesce("id", F.xxhash64(*_COLUMNS).cast("string")))).collect()}
-    return {"upserted_nodes": kinds.get("UPSERT_NODE", 0), "deleted_nodes": kinds.get("DELETE_NODE", 0), "linked_edges": kinds.get("LINK_NODES", 0), "edges_pending": pending.count()}
+    return {"upserted_nodes": kinds.get("UPSERT_NODE", 0), "deleted_nodes": kinds.get("DELETE_NODE", 0), "linked_edges": kinds.get("LINK_NODES", 0), "edges_pending": waiting.count()}

@@ -67,16 +67,24 @@ def nodes(log: DataFrame) -> DataFrame:
     )
 
 
+def kills(log: DataFrame) -> DataFrame:
+    """(id, out, in): of each id the last deletion, in an effective log, of what it sent and of what it got."""
+    node_gone = log.where(F.col("event_type") == "DELETE_NODE").select("id", "seq", F.lit("both").alias("direction"))
+    edges_gone = log.where(F.col("event_type") == "DELETE_EDGES").select(F.col("from_id").alias("id"), "seq", F.coalesce("direction", F.lit("outbound")).alias("direction"))
+    return node_gone.unionAll(edges_gone).groupBy("id").agg(F.max(F.when(F.col("direction") != "inbound", F.col("seq"))).alias("out"), F.max(F.when(F.col("direction") != "outbound", F.col("seq"))).alias("in"))
+
+
 def edges(log: DataFrame) -> DataFrame:
     """Edges of an effective log: links that no later deletion kills.
 
     A deletion of a node, or of its edges in a direction, kills what its id sent, or received,
     before it. So for each id the last such deletion decides, and two equi-joins do.
     """
-    node_gone = log.where(F.col("event_type") == "DELETE_NODE").select("id", "seq", F.lit("both").alias("direction"))
-    edges_gone = log.where(F.col("event_type") == "DELETE_EDGES").select(F.col("from_id").alias("id"), "seq", F.coalesce("direction", F.lit("outbound")).alias("direction"))
-    killed = node_gone.unionAll(edges_gone).groupBy("id").agg(F.max(F.when(F.col("direction") != "inbound", F.col("seq"))).alias("out"), F.max(F.when(F.col("direction") != "outbound", F.col("seq"))).alias("in"))
     links = log.where(F.col("event_type") == "LINK_NODES").select("from_id", "to_id", "relationship", F.coalesce("properties", F.lit("{}")).alias("properties"), "seq")
+    return _outlived(links, kills(log))
+
+
+def _outlived(links: DataFrame, killed: DataFrame) -> DataFrame:
     sent = killed.select(F.col("id").alias("from_id"), F.col("out").alias("sent_gone"))
     got = killed.select(F.col("id").alias("to_id"), F.col("in").alias("got_gone"))
     joined = links.join(sent, "from_id", "left").join(got, "to_id", "left")
@@ -84,12 +92,29 @@ def edges(log: DataFrame) -> DataFrame:
     return joined.where(alive).select("from_id", "to_id", "relationship", "properties", "seq")
 
 
+def touched(log: DataFrame) -> DataFrame:
+    """(id) of nodes that an effective log writes or deletes."""
+    return log.where(F.col("event_type").isin("UPSERT_NODE", "DELETE_NODE")).select("id").distinct()
+
+
 def fold(log: DataFrame) -> Graph:
     """The graph that a log describes."""
     log = effective(log)
     return Graph(nodes(log), edges(log))
 
 
+def extend(base: Graph, tail: DataFrame) -> Graph:
+    """The graph of a log of which `base` is the graph of the beginning, and `tail` is the rest.
+
+    Nodes that the tail touches are as it leaves them; edges of `base` go where the tail has a
+    deletion for either end, as all its deletions come later. Only the tail is folded.
+    """
+    tail = effective(tail)
+    kept = base.nodes.join(touched(tail), "id", "left_anti")
+    links = tail.where(F.col("event_type") == "LINK_NODES").select("from_id", "to_id", "relationship", F.coalesce("properties", F.lit("{}")).alias("properties"), "seq")
+    return Graph(kept.unionByName(nodes(tail)), _outlived(base.edges.select(*links.columns).unionByName(links), kills(tail)))
+
+
 def _properties() -> Column:
     """Properties that write a node again; empty texts are left out."""
     entity, workspace = F.col("label") == "Entity", F.col("label") == "Workspace"

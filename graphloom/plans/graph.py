@@ -115,11 +115,12 @@ def projected(nodes: DataFrame, fields: tuple[str, ...], mode: str = "full") ->
 
 
 def label_object() -> Column:
-    """A node's label as JSON, with the fields of its kind."""
-    entity = F.to_json(F.struct(F.lit("Entity").alias("kind"), F.col("entity_type").alias("type"), "status", "last_modified"))
-    workspace = F.to_json(F.struct(F.lit("Workspace").alias("kind"), "description", "status", "closed_at"))
-    scratchpad = F.to_json(F.struct(F.lit("Scratchpad").alias("kind"), "created_at"))
-    return F.when(F.col("label") == "Entity", entity).when(F.col("label") == "Workspace", workspace).otherwise(scratchpad)
+    """A node's label as JSON, with the fields of its kind; what is not set is null."""
+    fields = {"Entity": (F.col("entity_type").alias("type"), "status", "last_modified"), "Workspace": ("description", "status", "closed_at"), "Scratchpad": ("created_at",)}
+    out = F.lit(None).cast("string")
+    for label, held in fields.items():
+        out = F.when(F.col("label") == label, F.to_json(F.struct(F.lit(label).alias("label"), *held), {"ignoreNullFields": "false"})).otherwise(out)
+    return out
 
 
 def run(graph: Graph, request: Query | dict) -> DataFrame:

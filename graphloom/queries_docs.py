@@ -98,13 +98,18 @@ SQL["file_diff_stale"] = _FILES_SQL + " select path from known where path not in
 
 
 def _rehashed(s: SparkSession, d: str) -> DataFrame:
-    known = _disk(s, d).where("page_id % 3 <> 0").select("path", F.when(F.col("page_id") % 4 == 0, content_hash(F.lit("old"))).otherwise(content_hash(F.col("content"))).alias("hash")).dropDuplicates(["path"])
-    one = _disk(s, d).groupBy("path").agg(F.count("*").alias("n")).where("n = 1").select("path")
-    return files.rehashed(_disk(s, d).join(one, "path"), known)
+    known = _disk(s, d).where("page_id % 3 <> 0").groupBy("path").agg(F.min(F.when(F.col("page_id") % 4 == 0, content_hash(F.lit("old"))).otherwise(content_hash(F.coalesce("content", F.lit(""))))).alias("hash"))
+    return files.rehashed(_disk(s, d), known)
 
 
 QUERIES["file_diff_hash"] = _rehashed
-SQL["file_diff_hash"] = _FILES_SQL + " select path, left(sha256(content), 16) as hash from disk where path in (select path from disk group by path having count(*) = 1) and (page_id % 3 = 0 or page_id % 4 = 0)"
+SQL["file_diff_hash"] = (
+    _FILES_SQL
+    + """, hashed as (select *, left(sha256(coalesce(content, '')), 16) as hash from disk),
+newest as (select path, hash from (select *, row_number() over (partition by path order by mtime desc, hash) as k from hashed) where k = 1),
+old as (select path, min(case when page_id % 4 = 0 then left(sha256('old'), 16) else hash end) as old from hashed where page_id % 3 <> 0 group by path)
+select path, hash from newest left join old using (path) where hash is distinct from old"""
+)
 
 
 def _embed_skip(s: SparkSession, d: str) -> DataFrame:
@@ -174,11 +179,14 @@ SQL["reconcile_edges"] = _MODULES_SQL + " select * from edges"
 
 
 def _round_trip(s: SparkSession, d: str) -> DataFrame:
-    """A log written, rewritten as its least form, and added to."""
+    """A log rewritten while more is appended, with an archive below it."""
     path, log = work_folder(s, "rewritten"), demo.event_log(s, d)
-    half = F.col("seq") % 2 == 0
+    half = F.col("seq") < log.agg(F.max("seq")).first()[0] // 2
     logs.append(log.where(half), path)
-    logs.rewrite(log, path)
+    listed = logs.listing(s, path)
+    logs.archive(log.where(half), f"{path}/archive")
+    logs.append(log.where(~half), path)
+    logs.rewrite(logs.read(s, path, listed), path, listed)
     logs.append(log.where(F.lit(False)), path)
     return state.fold(logs.read(s, path)).edges.groupBy("from_id", "to_id", "relationship").agg(F.count("*").alias("n"))
 
@@ -245,7 +253,7 @@ def _streamed(s: SparkSession, d: str) -> DataFrame:
     """The log written as files, followed as a stream into a table, then folded."""
     base = work_folder(s, "stream")
     log = demo.event_log(s, d)
-    logs.to_json(log.coalesce(1).orderBy("seq")).coalesce(1).write.text(f"{base}/in")
+    logs.append(log, f"{base}/in")
     tail.follow(s, f"{base}/in", f"{base}/log", f"{base}/state").awaitTermination()
     g = state.fold(tail.read_followed(s, f"{base}/log"))
     return g.nodes.select("id", "label", "name", "content", "last_modified")

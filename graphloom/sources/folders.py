@@ -1,20 +1,70 @@
-"""Folders for what a query has to write."""
+"""Folders and small files that the library keeps."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="graphloom-")
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None where there is none."""
+    fs, at = file_system(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file in place of what is there."""
+    fs, at = file_system(spark, path)
+    stream = fs.create(at, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new path below `spark.checkpoint.dir`, which all executors share; where that is unset on a
-    local master, below a temporary folder."""
+    local master, below a temporary folder. It lies in the application's own part of it, which goes
+    when the driver's JVM ends."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="graphloom-")
-    return f"{base.rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
+        base = _local_folder()
+    own = f"{base.rstrip('/')}/graphloom/{sc.applicationId}"
+    fs, at = file_system(spark, own)
+    if not fs.exists(at):
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` worked out once, for those who read it more than once."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,61 +11,63 @@ def ids(df):
 
 
 def test_bm25(spark):
-    p = post(spark, [("doc1", "content", "the quick brown fox jumps over the lazy dog"), ("doc2", "content", "the quick brown fox"), ("doc3", "content", "the lazy dog sleeps all day")])
-    assert ids(bm25.search(p, "lazy dog", 10)) == ["doc3", "doc1"]
-    p = post(spark, [("fn1", "name", "search"), ("fn1", "content", "performs a linear scan across all nodes"), ("fn2", "name", "linearScan"), ("fn2", "content", "search search search search search")])
-    assert ids(bm25.search(p, "search", 10))[0] == "fn1"
-    p = post(spark, [("fn1", "name", "validateToken"), ("fn2", "name", "parseConfig")])
-    assert ids(bm25.search(p, "validated", 5)) == ["fn1"]
-    assert ids(bm25.search(p, "", 5)) == []
+    p = post(spark, [("north", "content", "green boats leave before dawn with cold nets and warm bread"), ("south", "content", "boats carry salt"), ("west", "content", "cold nets dry")])
+    assert ids(bm25.search(p, "cold nets", 10)) == ["west", "north"]
+    # a name outweighs any number of mentions
+    p = post(spark, [("m1", "name", "harbour"), ("m1", "content", "where boats lie in winter"), ("m2", "name", "tideTable"), ("m2", "content", "harbour " * 5)])
+    assert ids(bm25.search(p, "harbour", 10))[0] == "m1"
+    p = post(spark, [("k1", "name", "migrateBoats"), ("k2", "name", "countSails")])
+    assert ids(bm25.search(p, "migrated", 5)) == ["k1"] and ids(bm25.search(p, "", 5)) == []
 
 
 def test_nearest(spark):
-    c = spark.createDataFrame([("a", 0, [1.0, 0.0, 0.0]), ("b", 0, [0.0, 1.0, 0.0]), ("c", 0, [0.9, 0.1, 0.0])], "node_id string, chunk_idx int, vec array<float>")
-    assert [r.node_id for r in dense.nearest(c, [1.0, 0.0, 0.0], 3).collect()] == ["a", "c", "b"]
+    c = spark.createDataFrame([("east", 0, [0.0, 1.0]), ("north", 0, [1.0, 0.0]), ("between", 0, [0.8, 0.6])], "node_id string, chunk_idx int, vec array<float>")
+    assert [r.node_id for r in dense.nearest(c, [1.0, 0.0], 3).collect()] == ["north", "between", "east"]
 
 
 def test_diversify():
-    hits = [("a.rs::foo", 0.9), ("a.rs::bar", 0.85), ("a.rs::baz", 0.8), ("b.rs::qux", 0.75)]
+    hits = [("maps/coast.py::draw", 8.0), ("maps/coast.py::fill", 7.5), ("maps/coast.py::mark", 7.0), ("crew/roster.py::list", 6.0)]
     assert diversify(hits, 1.0) == hits
-    assert "b.rs::qux" in [i for i, _ in diversify(hits, 0.5)[:3]]
-    assert [i for i, _ in diversify([("a.rs::foo", 0.9), ("a.rs::bar", 0.8), ("b.rs::baz", 0.7)], 0.0)][:2] == ["a.rs::foo", "b.rs::baz"]
-    assert [path_similarity(*p) for p in (("src/foo.rs", "src/foo.rs"), ("src/foo.rs", "src/bar.rs"), ("src/a.rs", "lib/a.rs"), ("foo.rs", "bar.rs"))] == [1.0, 0.5, 0.0, 0.0]
+    assert "crew/roster.py::list" in [i for i, _ in diversify(hits, 0.5)[:3]]
+    assert [i for i, _ in diversify(hits, 0.0)][:2] == ["maps/coast.py::draw", "crew/roster.py::list"]
+    pairs = (("maps/a.py", "maps/a.py"), ("maps/a.py", "maps/b.py"), ("maps/a.py", "crew/a.py"), ("a.py", "b.py"))
+    assert [path_similarity(*p) for p in pairs] == [1.0, 0.5, 0.0, 0.0]
 
 
 def test_snippets_and_chunks():
-    assert snippet("", "x") == ""
-    assert "overlap_tokens" in snippet("fn a() {\n let max_tokens = 4;\n let overlap_tokens = 5;\n}", "max_tokens overlap_tokens")
-    assert snippet("one two", "") == "one two"
-    assert len(rerank.segments("line1\nline2\nline3")) == 3
-    assert len(rerank.segments("One. Two!\n\nThree?")) == 3
+    assert snippet("", "x") == "" and snippet("low tide", "") == "low tide"
+    assert "mast_height" in snippet("def rig():\n    sail_area = 12\n    mast_height = 9\n", "sail_area mast_height")
+    assert len(rerank.segments("bow\nbeam\nstern\nkeel")) == 4 and len(rerank.segments("Cast off. Row!\n\nWhere to?")) == 3
 
     def count(t):
         return len(t.split())
 
-    assert chunked("a b", count) == ["a b"]
-    text = "\n\n".join(f"p{i} " + "word " * 30 + "end." for i in range(30))
+    assert chunked("bow stern", count) == ["bow stern"]
+    text = "\n\n".join(f"day{i} " + "rowed " * 30 + "home." for i in range(30))
     parts = chunked(text, count, 100)
-    assert all(f"p{i}" in " ".join(parts) for i in range(30)) and len(parts) > 5
+    assert all(f"day{i}" in " ".join(parts) for i in range(30)) and len(parts) > 5
 
 
 def test_markdown(spark):
-    files = [("doc.md", "# Architecture\n\nA\n\n# Architecture\n\nB `f` src/a.rs\n"), ("t.md", "# Parent\n\n## Child\n\nx\n\n# Sibling\n"), ("s.md", "Title\n=====\n\nSub\n-----\n"), ("n.txt", "# no"), ("e.md", "")]
+    files = [
+        ("log.md", "# Voyage\n\nOut\n\n# Voyage\n\nBack by `steer`, see maps/coast.rs\n"), ("t.md", "# Deck\n\n## Bow\n\nx\n\n# Hold\n"),
+        ("s.md", "Crew\n=====\n\nCook\n-----\n"), ("n.txt", "# no"), ("e.md", ""),
+    ]
     got = {r.id: r for r in markdown.parse(spark.createDataFrame(files, "path string, content string")).collect()}
-    assert set(got) == {"doc.md:Architecture", "doc.md:Architecture:2", "t.md:Parent", "t.md:Child", "t.md:Sibling", "s.md:Title", "s.md:Sub"}
-    assert got["doc.md:Architecture:2"].inline_code_refs == ["f"] and got["doc.md:Architecture:2"].file_path_refs == ["src/a.rs"]
-    assert "Child" in got["t.md:Parent"].content and "Sibling" not in got["t.md:Parent"].content
-    assert (got["s.md:Title"].level, got["s.md:Sub"].level) == (1, 2)
+    assert set(got) == {"log.md:Voyage", "log.md:Voyage:2", "t.md:Deck", "t.md:Bow", "t.md:Hold", "s.md:Crew", "s.md:Cook"}
+    assert got["log.md:Voyage:2"].inline_code_refs == ["steer"] and got["log.md:Voyage:2"].file_path_refs == ["maps/coast.rs"]
+    assert "Bow" in got["t.md:Deck"].content and "Hold" not in got["t.md:Deck"].content
+    assert (got["s.md:Crew"].level, got["s.md:Cook"].level) == (1, 2)
 
 
 def test_code():
-    py = code.python("class Parser:\n    def parse(self):\n        return go(self.x.run())\nimport os\n")
-    assert [(d[0], d[1], d[2]) for d in py.declarations] == [("Class", "Parser", 1), ("Function", "parse", 2)]
-    assert {(r[0], r[1], r[4]) for r in py.references} == {("CALLS", "go", "parse"), ("CALLS", "run", "parse"), ("IMPORTS", "os", None)}
-    ts = code.typescript("import { a, b } from './m';\nconst foo = (x: number): number => { return a(x); };\nclass MyClass {\n  method() { return foo(1); }\n}\n")
-    assert {(d[0], d[1]) for d in ts.declarations} == {("Function", "foo"), ("Class", "MyClass"), ("Function", "method")}
-    assert {("CALLS", "a"), ("CALLS", "foo"), ("IMPORTS", "a"), ("IMPORTS", "b")} <= {r[:2] for r in ts.references}
-    rs = code.rust("use a::b;\npub struct M { x: u8 }\npub fn embed(t: &str) -> u8 {\n    helper(t)\n}\n")
-    assert {(d[0], d[1]) for d in rs.declarations} == {("Class", "M"), ("Function", "embed")}
-    assert {("IMPORTS", "a::b"), ("CALLS", "helper")} <= {r[:2] for r in rs.references}
-    assert code.python("def broken(").declarations == []
+    py = code.python("class Helm:\n    def turn(self):\n        return swing(self.wheel.spin())\nimport math\n")
+    assert [(d[0], d[1], d[2]) for d in py.declarations] == [("Class", "Helm", 1), ("Function", "turn", 2)]
+    assert {(r[0], r[1], r[4]) for r in py.references} == {("CALLS", "swing", "turn"), ("CALLS", "spin", "turn"), ("IMPORTS", "math", None)}
+    ts = code.typescript("import { rope, knot } from './deck';\nconst tie = (n: number): number => { return rope(n); };\nclass Winch {\n  haul() { return tie(2); }\n}\n")
+    assert {(d[0], d[1]) for d in ts.declarations} == {("Function", "tie"), ("Class", "Winch"), ("Function", "haul")}
+    assert {("CALLS", "rope"), ("CALLS", "tie"), ("IMPORTS", "rope"), ("IMPORTS", "knot")} <= {r[:2] for r in ts.references}
+    rs = code.rust("use deck::rope;\npub struct Keel { length: u8 }\npub fn float(weight: &str) -> u8 {\n    weigh(weight)\n}\n")
+    assert {(d[0], d[1]) for d in rs.declarations} == {("Class", "Keel"), ("Function", "float")}
+    assert {("IMPORTS", "deck::rope"), ("CALLS", "weigh")} <= {r[:2] for r in rs.references}
+    assert code.python("def sink(").declarations == []

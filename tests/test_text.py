@@ -5,35 +5,32 @@ from graphloom.functions import text as fn
 from graphloom.operators.rerank import words
 
 TOKENS = {
-    "validateToken": "validat token",
-    "getElementById": "get element by id",
-    "MyComponent": "my component",
-    "parseHTMLDocument": "pars html docu",
-    "get_user_by_id": "get user by id",
-    "get_userById": "get user by id",
-    "hello world  foo": "hello world foo",
-    "HELLO": "hello",
-    "hello, world!": "hello world",
-    "(foo)": "foo",
+    "loadRiverMap": "load river map",
+    "XMLFeedReader": "xml feed read",
+    "boat_count_of": "boat count of",
+    "harbour_mapOld": "harbour map old",
+    "tide   table low": "tid tabl low",
+    "ANCHOR": "anch",
+    "sails, and ropes!": "sail and rop",
+    "[deck]": "deck",
     "": "",
-    "café résumé naïve": "café résumé naïve",
-    "你好 世界": "你好 世界",
-    "http2Server": "http2 serv",
-    "v2_beta": "v2 beta",
-    "file-reconciler": "file-reconcil",
+    "über naïf œuvre": "über naïf œuvre",
+    "潮 汐": "潮 汐",
+    "utf8Decoder": "utf8 decod",
+    "rev3_draft": "rev3 draft",
+    "dock-master": "dock-mast",
 }
 STEMS = {
-    "validat": "validate validation validator validated validating validators",
-    "search": "search searching searched searches",
-    "embed": "embed embedding embedded embedder",
-    "pars": "parse parser parsing parsed parsers",
-    "tokeniz": "tokenize tokenizer tokenization",
-    "creat": "create created creating creation creator creates",
-    "normaliz": "normalize normalization normalizing normalized",
-    "measur": "measure measurement measuring measured",
+    "migrat": "migrate migration migrator migrated migrating",
+    "collect": "collect collecting collected collector",
+    "load": "load loading loaded loader",
+    "organiz": "organize organization organizing organized",
+    "navigat": "navigate navigation navigator navigated",
+    "summariz": "summarize summarization summarized",
+    "deploy": "deploy deployment deploying deployed",
 }
-SAME = "id get set run the class status this ring sing ping string thing café 你好".split()
-PAIRS = {"entities": "entity", "queries": "query", "tokens": "token", "configs": "config", "running": "run", "stopping": "stop"}
+SAME = "go map was their glass bus spring king wing bring über 潮".split()
+PAIRS = {"cities": "city", "parties": "party", "boats": "boat", "maps": "map", "planning": "plan", "dropping": "drop"}
 
 
 def column(spark, values, f):
@@ -61,11 +58,11 @@ def test_preview_and_lines(spark):
 
 
 def test_references(spark):
-    assert column(spark, ["`a_b` and `c` `a_b` `", "none"], fn.inline_code) == [["a_b", "c"], []]
-    assert column(spark, ["See src/reconciler.rs and lib/utils.py for details."], fn.file_references) == [["src/reconciler.rs", "lib/utils.py"]]
-    assert column(spark, ["---\ntitle: Test\n---\n\n# Heading", "# Heading"], fn.strip_frontmatter) == ["# Heading", "# Heading"]
+    assert column(spark, ["`tide_at` or `sail`, not `tide_at` `", "plain"], fn.inline_code) == [["tide_at", "sail"], []]
+    assert column(spark, ["Charts lie in maps/coast.rs, tides in maps/tide.py."], fn.file_references) == [["maps/coast.rs", "maps/tide.py"]]
+    assert column(spark, ["---\nport: Ayr\n---\n\n# Piers", "# Piers"], fn.strip_frontmatter) == ["# Piers", "# Piers"]
 
 
-@pytest.mark.parametrize(("node", "path"), [("src/a.rs::f", "src/a.rs"), ("README.md:Architecture", "README.md"), ("some-workspace", "some-workspace")])
+@pytest.mark.parametrize(("node", "path"), [("maps/coast.rs::draw", "maps/coast.rs"), ("PIERS.md:North", "PIERS.md"), ("harbour-plan", "harbour-plan")])
 def test_group_path(spark, node, path):
     assert column(spark, [node], fn.group_path) == [path]
