@@ -19,8 +19,8 @@ from graphloom.llm.common import table, written
 _MARKS = r"^[\x20\t]*(?:>[\x20\t]?)+"
 #: A line that announces a quote ("On ... wrote:") and stands right before one.
 _INTRO = r"(?i)^[\x20\t]*(?:on\b.{0,200}\bwrote|am\b.{0,200}\bschrieb.{0,80}|le\b.{0,200}\ba écrit|el\b.{0,200}\bescribió).{0,3}$"
-#: Code points a normalised line needs to be looked for alone, within a longer passage.
-LEAST = 12
+#: Code points from which a normalised passage says more of its writer than any number of shorter ones.
+LONG = 12
 #: Turns that are put in order together: a passage's writers and askers, or a thread's messages.
 SPAN = 4096
 _RUN, _BODY = "\u0001", "\u0002"
@@ -40,6 +40,11 @@ def _normal(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(x), r"[\s\p{Z}]+", " "))
 
 
+def _hashed(unit: Column) -> Column:
+    """A passage's hash, odd for `LONG` ones."""
+    return F.xxhash64(unit).bitwiseAND(F.lit(-2)).bitwiseOR((F.length(unit) >= LONG).cast("bigint"))
+
+
 def parsed(turns: DataFrame) -> DataFrame:
     """`turns` (conv_id, turn, role, text) with lines, own (text of level 0 without quotes and their announcements)."""
     lines = turns.select("conv_id", "turn", "role", "text", _lines(F.col("text")).alias("lines"))
@@ -53,8 +58,8 @@ def parsed(turns: DataFrame) -> DataFrame:
 
 
 def _quoted(p: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, h) of quoted passages: lines of `LEAST` code points and more, unbroken
-    runs of lines of one level, their paragraphs, and all of a level."""
+    """(conv_id, turn, level, h) of quoted passages: lines, unbroken runs of lines of one level, their
+    paragraphs, and all of a level."""
     quoting = p.where(F.exists("lines", lambda x: x["level"] > 0))
 
     def marked(x: Column, i: Column) -> Column:
@@ -65,20 +70,20 @@ def _quoted(p: DataFrame) -> DataFrame:
     run = F.explode(F.filter(F.split(text, _RUN), lambda x: (x != "") & ~x.startswith("0" + _BODY)))
     runs = quoting.select("conv_id", "turn", "lines", run.alias("run"))
     runs = runs.select("conv_id", "turn", F.substring_index("run", _BODY, 1).cast("int").alias("level"), F.substring_index("run", _BODY, -1).alias("body"))
-    lines = F.filter(F.transform(F.split("body", "\n"), _normal), lambda x: F.length(x) >= LEAST)
+    lines = F.transform(F.split("body", "\n"), _normal)
     blocks = F.transform(F.concat(F.split("body", r"(?:\n[\x20\t]*){2,}"), F.array("body")), _normal)
     units = runs.select("conv_id", "turn", "level", F.explode(F.concat(lines, blocks)).alias("unit"))
     levels = F.array_distinct(F.transform(F.filter("lines", lambda x: x["level"] > 0), lambda x: x["level"]))
     whole = quoting.select("conv_id", "turn", "lines", F.explode(levels).alias("level"))
     whole = whole.select("conv_id", "turn", "level", _normal(F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == F.col("level")), lambda x: x["body"]), " ")).alias("unit"))
-    return units.unionAll(whole).where("unit <> ''").select("conv_id", "turn", "level", F.xxhash64("unit").alias("h")).distinct()
+    return units.unionAll(whole).where("unit <> ''").select("conv_id", "turn", "level", _hashed(F.col("unit")).alias("h")).distinct()
 
 
 def _written(p: DataFrame) -> DataFrame:
     """(conv_id, turn, h) of the lines, paragraphs and bodies that messages wrote themselves."""
     own = F.col("own")
     units = F.concat(F.split(own, r"\r\n|\r|\n", -1), F.split(own, r"(?:\r?\n[\x20\t]*){2,}", -1), F.array(own))
-    return p.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(units, _normal))).alias("unit")).where("unit <> ''").select("conv_id", "turn", F.xxhash64("unit").alias("h"))
+    return p.select("conv_id", "turn", F.explode(F.array_distinct(F.transform(units, _normal))).alias("unit")).where("unit <> ''").select("conv_id", "turn", _hashed(F.col("unit")).alias("h"))
 
 
 def _latest(asked: DataFrame, sources: DataFrame) -> DataFrame:
@@ -108,15 +113,16 @@ def links(p: DataFrame) -> DataFrame:
     """(conv_id, turn, parent): the message that each quoting message answers.
 
     Each quoted passage stands for the latest message before that wrote it. Of the messages named
-    at the lowest level at which any is found, the one with most passages, the latest of those.
+    at the lowest level at which any is found, the one with most long passages, of these the one with
+    most passages, of these the latest.
     Only messages of conversations that quote at all are hashed.
     """
     quoted = written(_quoted(p.where("conv_id is not null and turn is not null")), "quoted")
     convs = quoted.select("conv_id").distinct()
     sources = _written(p.where("turn is not null").join(convs, "conv_id", "left_semi"))
     sources = sources.join(quoted.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi")
-    votes = _latest(quoted, sources).groupBy("conv_id", "turn", "level", "parent").agg(F.count("*").alias("n"))
-    best = F.max(F.struct((-F.col("level")).alias("nearest"), "n", "parent"))
+    votes = _latest(quoted, sources).groupBy("conv_id", "turn", "level", "parent").agg(F.sum(F.col("h").bitwiseAND(F.lit(1))).alias("n_long"), F.count("*").alias("n"))
+    best = F.max(F.struct((-F.col("level")).alias("nearest"), "n_long", "n", "parent"))
     return votes.groupBy("conv_id", "turn").agg(best["parent"].alias("parent"))
 
 

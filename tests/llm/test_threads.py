@@ -42,7 +42,7 @@ def asked(text):
     for level, lines in runs:
         if level:
             mine = out.setdefault(level, set())
-            mine |= {normal(x) for x in lines if len(normal(x)) >= quotes.LEAST}
+            mine |= {normal(x) for x in lines}
             mine |= {normal(x) for x in [*re.split(r"(?:\n[ \t]*){2,}", "\n".join(lines)), "\n".join(lines)]}
     for level in out:
         out[level].add(normal(" ".join(b for k, b in parts(text) if k == level)))
@@ -61,9 +61,10 @@ def walk(messages):
             for x in passages:
                 writer = max((t for t, u in wrote if t < turn and x in u), default=None)
                 if writer is not None:
-                    votes[writer] = votes.get(writer, 0) + 1
+                    long, n = votes.get(writer, (0, 0))
+                    votes[writer] = long + (len(x) >= quotes.LONG), n + 1
             if votes:
-                parent = max(votes, key=lambda t: (votes[t], t))
+                parent = max(votes, key=lambda t: (*votes[t], t))
                 break
         wrote.append((turn, units))
         root, depth = (turn, 0) if parent is None else (place[parent][1], place[parent][2] + 1)
@@ -124,3 +125,11 @@ def test_conversations(spark, monkeypatch):
     assert lists == {(1, 0): [("user", "What is the time now?"), ("assistant", "Noon."), ("user", "Late.")], (1, 2): [("user", "Something else entirely")], (2, None): [("user", "y")]}
     monkeypatch.setattr(quotes, "SPAN", 2)
     assert sorted(x.part for x in quotes.conversations(ordered).where("root = 0").collect()) == [0, 1]
+
+
+def test_short_lines_are_looked_for(spark):
+    """Short lines link where nothing longer does, and do not outweigh a longer one."""
+    turns = [(0, "At noon?"), (1, "In Rome?"), (2, "> At noon?\n> In Rome?\nYes."), (3, "A long line about the harbour.\nThanks"), (4, "Other news.\nThanks"), (5, "> A long line about the harbour.\n> Thanks\nSure.")]
+    rows = spark.createDataFrame([(1, k, "user", t) for k, t in turns], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r.parent for r in quotes.reply_ordered(rows).collect()}
+    assert got == {0: None, 1: None, 2: 1, 3: None, 4: None, 5: 3}
