@@ -50,9 +50,13 @@ def stems(words: Column) -> Column:
     return F.transform(done, lambda w: F.rtrim(w, F.lit("\u0001")))
 
 
+#: Words that some rule may change.
+_MAY_CHANGE = "(?:" + "|".join(sorted({rule[0] for rules in STEM_STEPS for rule in rules})) + ")$"
+
+
 def stem(word: Column) -> Column:
-    """`stems` of one word."""
-    return F.element_at(stems(F.array(word)), 1)
+    """`stems` of one word; without a rule's suffix it stays as it is."""
+    return F.when(word.rlike(_MAY_CHANGE), F.element_at(stems(F.array(word)), 1)).otherwise(word)
 
 
 def split_camel(text: Column) -> Column:

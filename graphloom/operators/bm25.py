@@ -6,26 +6,43 @@ from collections import Counter
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import raw_tokens, stem, tokens
 from graphloom.operators.rerank import words
-from graphloom.sources.folders import work_folder
+from graphloom.sources.folders import work_folder, written
 
 #: Saturation, length normalisation, weights of fields.
 K1, B = 1.2, 0.75
 WEIGHTS = {"name": 3.0, "doc": 2.0, "content": 1.0}
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """(field, doc_id, token, tf) of `texts` (doc_id, field, text); empty texts have none.
+def measured(texts: DataFrame) -> DataFrame:
+    """(field, doc_id, token, tf, dl) of `texts` (doc_id, field, text); empty texts have none.
 
-    Tokens are counted before they are stemmed, so that stems are worked out once for each
-    distinct token of a document.
+    Texts are dealt by document before they are taken apart, so tokens are counted where they are and never
+    shuffled. They are counted before they are stemmed, so that stems are worked out once for each
+    distinct token of a document; stems don't change lengths.
     """
-    raw = spread(texts.select("field", "doc_id", "text")).select("field", "doc_id", F.explode(raw_tokens(F.col("text"))).alias("raw")).groupBy("field", "doc_id", "raw").agg(F.count("*").alias("n"))
-    return raw.groupBy("field", "doc_id", stem(F.col("raw")).alias("token")).agg(F.sum("n").alias("tf"))
+    dealt = texts.select("field", "doc_id", "text").repartition("field", "doc_id").select("field", "doc_id", raw_tokens(F.col("text")).alias("raw"))
+    sized = dealt.withColumn("dl", F.sum(F.size("raw").cast("long")).over(Window.partitionBy("field", "doc_id")))
+    counted = sized.select("field", "doc_id", "dl", F.explode("raw").alias("raw")).groupBy("field", "doc_id", "dl", "raw").agg(F.count("*").alias("n"))
+    return counted.groupBy("field", "doc_id", "dl", stem(F.col("raw")).alias("token")).agg(F.sum("n").alias("tf")).select("field", "doc_id", "token", "tf", "dl")
+
+
+def postings(texts: DataFrame) -> DataFrame:
+    """`measured` without lengths."""
+    return measured(texts).select("field", "doc_id", "token", "tf")
+
+
+def text_lengths(texts: DataFrame) -> DataFrame:
+    """`lengths` of `texts`, without their postings."""
+    size = spread(texts.select("field", "doc_id", "text")).select("field", "doc_id", F.size(raw_tokens(F.col("text"))).cast("long").alias("n"))
+    return size.where("n > 0").groupBy("field", "doc_id").agg(F.sum("n").alias("dl"))
 
 
 def lengths(post: DataFrame) -> DataFrame:
@@ -120,27 +137,97 @@ def search(source: Source | DataFrame, text: str, limit: int) -> DataFrame:
     return total.groupBy("doc_id").agg(F.sum("score").alias("score")).orderBy(by_score(), "doc_id").limit(limit)
 
 
+#: Postings that a block of documents holds about, and (request, token) rows of a block of requests.
+BLOCK_POSTINGS, BLOCK_TERMS = 500_000, 50_000
+
+
+def _dealt(rows: int, size: int) -> int:
+    """Blocks that so many rows come to."""
+    return max(1, -(-rows // size))
+
+
 def search_many(post: DataFrame, corpus: DataFrame, requests: DataFrame, limit: int) -> DataFrame:
     """(request_id, doc_id, score, place) of each request (request_id, text): what `search` gives it alone.
 
-    post: postings with dl (field, doc_id, token, tf, dl). corpus: (field, n, avgdl). All requests meet the
-    postings in one join by token; scores are summed before they are shuffled, and of each request and
-    field only the best go on. A request without tokens has no hits; requests of one id are one text.
+    post: postings with dl (field, doc_id, token, tf, dl). corpus: (field, n, avgdl). A request without
+    tokens has no hits; requests of one id are one text. Requests of the same tokens are answered once.
+    Blocks of requests meet blocks of documents, and a task adds scores up in place and hands on the best
+    of each request and field, so that hits are never rows of their own.
     """
-    asked = requests.select("request_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("request_id", "token").agg(F.count("*").alias("weight"))
-    found = post.join(asked.select("token").distinct(), "token", "left_semi")
+    id_type, most = requests.schema["request_id"].dataType.simpleString(), max(20, 3 * limit)
+    each = requests.select("request_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("request_id", "token").agg(F.count("*").alias("weight"))
+    bags = each.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("bag")).withColumn("bag_id", F.sha2(F.to_json("bag"), 256))
+    bags = written(bags, "requests")
+    asked = written(bags.dropDuplicates(["bag_id"]).select("bag_id", F.explode("bag").alias("t")).select("bag_id", "t.token", "t.weight"), "asked")
+    found = post.where(F.col("field").isin(*WEIGHTS)).join(asked.select("token").distinct(), "token", "left_semi").select("field", "doc_id", "token", "tf", "dl")
+    found = written(found, "found")
     df = found.groupBy("field", "token").agg(F.count("*").alias("df"))
     worth = found.join(df, ["field", "token"]).join(F.broadcast(corpus), "field").select("field", "doc_id", "token", _part().alias("part"))
-    scores = worth.join(asked, "token").groupBy("request_id", "field", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+    terms_n, docs_n = (_dealt(df_.count(), size) for df_, size in ((asked, BLOCK_TERMS), (found, BLOCK_POSTINGS)))
+    docs_n = max(docs_n, found.sparkSession.sparkContext.defaultParallelism // terms_n)
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    docs = worth.select("*", F.pmod(F.xxhash64("doc_id"), F.lit(docs_n)).cast("int").alias("docs")).select("*", every(terms_n).alias("terms"))
+    wanted = asked.select("*", F.pmod(F.xxhash64("bag_id"), F.lit(terms_n)).cast("int").alias("terms")).select("*", every(docs_n).alias("docs"))
+
+    def best_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _best_of_block(left, right, most)
+
+    scores = docs.groupBy("docs", "terms").cogroup(wanted.groupBy("docs", "terms")).applyInArrow(best_of, "bag_id string, field string, doc_id string, score double")
 
     def best(rows: DataFrame, most: int, *by: str) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(*by).orderBy(by_score(), "doc_id"))
         return rows.withColumn("place", place).where(F.col("place") <= most)
 
     weight = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])[F.col("field")]
-    pooled = best(scores.where(F.col("field").isin(*WEIGHTS)), max(20, 3 * limit), "request_id", "field")
-    total = pooled.groupBy("request_id", "doc_id").agg(F.sum(F.col("score") * weight).alias("score"))
-    return best(total, limit, "request_id").select("request_id", "doc_id", "score", "place")
+    total = best(scores, most, "bag_id", "field").groupBy("bag_id", "doc_id").agg(F.sum(F.col("score") * weight).alias("score"))
+    answers = best(total, limit, "bag_id")
+    return bags.select(F.col("request_id").cast(id_type).alias("request_id"), "bag_id").join(answers, "bag_id").select("request_id", "doc_id", "score", "place")
+
+
+def _best_of_block(postings: pa.Table, asked: pa.Table, most: int) -> pa.Table:
+    """(bag_id, field, doc_id, score) of what may be among the `most` best of each request and field: of
+    documents that tie exactly, the first by id."""
+    out = {"bag_id": [], "field": [], "doc_id": [], "score": []}
+    asked = asked.sort_by([("bag_id", "ascending"), ("token", "ascending")])
+    bag_ids, starts = np.unique(asked["bag_id"].to_numpy(zero_copy_only=False), return_index=True) if asked.num_rows else ([], [])
+    ends = [*starts[1:], asked.num_rows]
+    words_, weights = asked["token"].to_pylist(), asked["weight"].to_numpy(zero_copy_only=False)
+    for field in pc.unique(postings["field"]).to_pylist() if len(bag_ids) else []:
+        rows = postings.filter(pc.equal(postings["field"], field)).sort_by([("token", "ascending"), ("doc_id", "ascending")])
+        doc_ids = pc.unique(rows["doc_id"])
+        doc_ids = doc_ids.take(pc.sort_indices(doc_ids))
+        doc = pc.index_in(rows["doc_id"], doc_ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = rows["part"].to_numpy(zero_copy_only=False)
+        tokens_, first = np.unique(rows["token"].to_numpy(zero_copy_only=False), return_index=True)
+        span = {t: slice(a, b) for t, a, b in zip(tokens_, first, [*first[1:], rows.num_rows], strict=True)}
+        total = np.zeros(len(doc_ids))
+        for bag, a, b in zip(bag_ids, starts, ends, strict=True):
+            spans = [(span[w], x) for w, x in zip(words_[a:b], weights[a:b], strict=True) if w in span]
+            if not spans:
+                continue
+            for s, x in spans:
+                total[doc[s]] += x * part[s]
+            hit = np.unique(np.concatenate([doc[s] for s, _ in spans])) if len(spans) > 1 else doc[spans[0][0]]
+            score = total[hit]
+            total[hit] = 0.0
+            if len(hit) > most:
+                # what ties with the last place to nine digits stays, as places are given later
+                near = score >= np.partition(score, -most)[-most] - 1e-9
+                hit, score = hit[near], score[near]
+            order = np.argsort(-score, kind="stable")
+            hit, score = hit[order], score[order]
+            new = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+            run = np.arange(len(score)) - np.repeat(new, np.diff([*new, len(score)]))
+            hit, score = hit[run < most], score[run < most]
+            out["bag_id"].append(pa.array([bag] * len(hit), "string"))
+            out["field"].append(pa.array([field] * len(hit), "string"))
+            out["doc_id"].append(doc_ids.take(pa.array(hit)))
+            out["score"].append(pa.array(score))
+    types = {"bag_id": pa.string(), "field": pa.string(), "doc_id": pa.string(), "score": pa.float64()}
+    return pa.table({k: pa.chunked_array([x.cast(types[k]) for x in v], types[k]) for k, v in out.items()})
 
 
 def node_fields(nodes: DataFrame) -> DataFrame:

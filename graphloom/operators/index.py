@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from graphloom.operators import bm25, dense
 from graphloom.operators.snapshot import Mark
 from graphloom.plans.schema import CHUNKS
-from graphloom.sources.folders import delete, file_system, read_text, write_text
+from graphloom.sources.folders import delete, file_system, read_text, work_folder, write_text
 
 #: Folders that postings are dealt to by token; a request reads those of its tokens.
 BUCKETS = 64
+#: Postings that a task sorts, on average.
+PART_ROWS = 250_000
 
 
 class Kept:
@@ -117,18 +119,24 @@ class TextIndex(Kept):
 
     def change(self, texts: DataFrame | None, keys: DataFrame, mark: Mark | None = None) -> None:
         """Forgets the documents of `keys` (doc_id), then takes in `texts`, all of which `keys` names."""
-        none = self.spark.createDataFrame([], "field string, doc_id string, token string, tf bigint")
-        self._write(none if texts is None else bm25.postings(texts), keys.distinct(), mark)
+        none = self.spark.createDataFrame([], "field string, doc_id string, token string, tf bigint, dl bigint")
+        self._write(none if texts is None else bm25.measured(texts), keys.distinct(), mark)
 
     def _write(self, post: DataFrame, keys: DataFrame, mark: Mark | None, anew: bool = False) -> int:
-        gen = self._next()
+        """post: (field, doc_id, token, tf, dl). They are worked out once, and a bucket is dealt in parts whose
+        size does not depend on how many there are."""
+        gen, path = self._next(), work_folder(self.spark, "postings")
         before = self._alive(self._get("lengths")).join(keys, "doc_id", "left_semi")
-        bucketed = post.join(bm25.lengths(post), ["field", "doc_id"]).withColumn("bucket", _bucket())
-        self._put(gen, "postings", bucketed.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("token"), "bucket")
-        brought = self._get("postings", [gen]).select("field", "doc_id", "dl").distinct()
-        self._put(gen, "lengths", brought)
-        parts = [brought.select("field", F.lit(1).alias("n"), "dl")] + ([] if anew else [before.select("field", F.lit(-1).alias("n"), (-F.col("dl")).alias("dl"))])
-        self._put(gen, "stats", reduce(DataFrame.unionAll, parts).groupBy("field").agg(F.sum("n").alias("n"), F.sum("dl").alias("total")))
+        post.withColumn("bucket", _bucket()).write.parquet(path)
+        held = self.spark.read.schema(self.tables["postings"]).parquet(path)
+        parts = 1 + held.count() // (BUCKETS * PART_ROWS)
+        part = F.col("bucket") * parts + F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
+        self._put(gen, "postings", held.repartitionById(BUCKETS * parts, part).sortWithinPartitions("token"), "bucket")
+        self._put(gen, "lengths", held.select("field", "doc_id", "dl").distinct())
+        delete(self.spark, path)
+        brought = self._get("lengths", [gen])
+        changes = [brought.select("field", F.lit(1).alias("n"), "dl")] + ([] if anew else [before.select("field", F.lit(-1).alias("n"), (-F.col("dl")).alias("dl"))])
+        self._put(gen, "stats", reduce(DataFrame.unionAll, changes).groupBy("field").agg(F.sum("n").alias("n"), F.sum("dl").alias("total")))
         self._close(gen, keys, mark)
         return gen
 
@@ -160,7 +168,7 @@ class TextIndex(Kept):
 
     def compact(self) -> None:
         """One generation of all that is there."""
-        post, mark = self.postings().drop("bucket", "dl"), self.mark()
+        post, mark = self.postings().drop("bucket"), self.mark()
         self._forget(self._write(post, post.select("doc_id").distinct(), mark, anew=True))
 
 

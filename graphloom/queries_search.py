@@ -98,7 +98,7 @@ SQL["camel_split"] = "select p_partkey, " + CAMEL_SQL.format("replace(p_name, '
 
 QUERIES["bm25_postings"] = lambda s, d: bm25.postings(_docs(s, d)).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 SQL["bm25_postings"] = f"with {DOCS_SQL}, {postings_sql('docs_')} select token, count(*) as df, sum(tf)::bigint as cf from post group by token"
-QUERIES["bm25_stats"] = lambda s, d: bm25.stats(bm25.lengths(bm25.postings(demo.corpus(s, d)))).select("field", "n", F.round("avgdl", 6).alias("avgdl"))
+QUERIES["bm25_stats"] = lambda s, d: bm25.stats(bm25.text_lengths(demo.corpus(s, d))).select("field", "n", F.round("avgdl", 6).alias("avgdl"))
 SQL["bm25_stats"] = f"with {CORPUS_SQL}, {postings_sql('corpus')} select field, n, round(avgdl, 6) as avgdl from stat"
 
 
