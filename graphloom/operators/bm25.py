@@ -191,11 +191,14 @@ def _best_of_block(postings: pa.Table, asked: pa.Table, most: int) -> pa.Table:
     """(bag_id, field, doc_id, score) of what may be among the `most` best of each request and field: of
     documents that tie exactly, the first by id."""
     out = {"bag_id": [], "field": [], "doc_id": [], "score": []}
+    types = {"bag_id": pa.string(), "field": pa.string(), "doc_id": pa.string(), "score": pa.float64()}
+    if not postings.num_rows or not asked.num_rows:
+        return pa.table({k: pa.array([], t) for k, t in types.items()})
     asked = asked.sort_by([("bag_id", "ascending"), ("token", "ascending")])
-    bag_ids, starts = np.unique(asked["bag_id"].to_numpy(zero_copy_only=False), return_index=True) if asked.num_rows else ([], [])
+    bag_ids, starts = np.unique(asked["bag_id"].to_numpy(zero_copy_only=False), return_index=True)
     ends = [*starts[1:], asked.num_rows]
     words_, weights = asked["token"].to_pylist(), asked["weight"].to_numpy(zero_copy_only=False)
-    for field in pc.unique(postings["field"]).to_pylist() if len(bag_ids) else []:
+    for field in pc.unique(postings["field"]).to_pylist():
         rows = postings.filter(pc.equal(postings["field"], field)).sort_by([("token", "ascending"), ("doc_id", "ascending")])
         doc_ids = pc.unique(rows["doc_id"])
         doc_ids = doc_ids.take(pc.sort_indices(doc_ids))
@@ -226,7 +229,6 @@ def _best_of_block(postings: pa.Table, asked: pa.Table, most: int) -> pa.Table:
             out["field"].append(pa.array([field] * len(hit), "string"))
             out["doc_id"].append(doc_ids.take(pa.array(hit)))
             out["score"].append(pa.array(score))
-    types = {"bag_id": pa.string(), "field": pa.string(), "doc_id": pa.string(), "score": pa.float64()}
     return pa.table({k: pa.chunked_array([x.cast(types[k]) for x in v], types[k]) for k, v in out.items()})
 
 

@@ -1,9 +1,10 @@
 """What a step holds or hands on stays bounded where one word, name or text is very common."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from graphloom.operators import bm25
+from graphloom.operators import bm25, dense
 from graphloom.operators.index import TextIndex
 
 
@@ -52,3 +53,27 @@ def test_parts_of_a_bucket_follow_its_size(spark, tmp_path, monkeypatch):
     held = index._get("postings").where("token = 'sam'")
     sizes = [r.n for r in held.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 400 and max(sizes) <= 200
+
+
+def test_nearest_in_small_blocks(spark, monkeypatch):
+    for name, size in (("BLOCK_FLOATS", 120), ("ROWS", 7), ("COLUMNS", 12)):
+        monkeypatch.setattr(dense, name, size)
+    # a large group of copies, which tie with each other
+    vecs = np.random.default_rng(3).normal(size=(90, 4)).astype(np.float32)
+    vecs[20:60] = vecs[20]
+    table = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vecs)], "id long, vec array<float>")
+    got: dict = {}
+    for r in dense.nearest_many(table, table.withColumnRenamed("id", "query_id"), 5).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    sims = np.round(vecs.astype(float) @ vecs.astype(float).T, 9)
+    assert got == {k: set(sorted(range(90), key=lambda j: (-sims[k, j], j))[:5]) for k in range(90)}
+
+
+def test_products_are_held_in_slices(monkeypatch):
+    most = []
+    keep = dense._kept
+    monkeypatch.setattr(dense, "_kept", lambda row, *rest: most.append(len(row)) or keep(row, *rest))
+    vecs = np.random.default_rng(4).normal(size=(9000, 8))
+    side = {"vec": pa.array(list(vecs), pa.list_(pa.float64()))}
+    got = dense._top_of_block(pa.table({"query_id": range(9000), **side}).slice(0, 600), pa.table({"id": range(9000), **side}), 3)
+    assert got.num_rows == 1800 and max(most) < 512 * 40
