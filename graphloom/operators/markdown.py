@@ -6,12 +6,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import file_references, inline_code, strip_frontmatter
 
 EXTENSIONS = (".md", ".markdown")
+#: Parts that the targets of one name or section are dealt in, and ids of several names that are broadcast at most.
+PARTS, MOST_SHARED = 16, 1000
 SECTIONS = "path string, id string, name string, level int, start_line int, end_line int, content string"
 _ATX = re.compile(r"^(#{1,6})(?:\s+(.*)|)$")
 
@@ -73,12 +75,17 @@ def resolve(parsed: DataFrame, nodes: DataFrame) -> DataFrame:
     def refs(column: str) -> DataFrame:
         return parsed.select(F.col("id").alias("from_id"), F.explode(column).alias("matched_text"))
 
-    named = refs("inline_code_refs").join(code, "matched_text").withColumn("match_type", F.lit("inline_code"))
-    # code spans can name files, too
-    paths = refs("inline_code_refs").unionAll(refs("file_path_refs")).distinct().join(files, "matched_text").withColumn("match_type", F.lit("file_path"))
-    both = named.unionByName(paths)
-    first = Window.partitionBy("from_id", "to_id").orderBy(F.when(F.col("match_type") == "inline_code", 0).otherwise(1), "matched_text")
-    return both.withColumn("n", F.row_number().over(first)).where("n = 1").select("from_id", "to_id", "match_type", "matched_text")
+    # a target has one name, but for nodes that share an id: only theirs can give a pair twice, so no
+    # other pair is shuffled or sorted
+    names = code.groupBy("to_id").agg(F.min("matched_text").alias("matched_text"), F.countDistinct("matched_text").alias("names"))
+    asked = refs("inline_code_refs").distinct()
+    named = asked.join(names.where("names = 1").drop("names"), "matched_text").select("from_id", "to_id", "matched_text")
+    several = asked.join(code.join(names.where("names > 1").select("to_id"), "to_id", "left_semi"), "matched_text").groupBy("from_id", "to_id").agg(F.min("matched_text").alias("matched_text"))
+    # code spans can name files, too; a file that is also code by its id gives way to the name
+    paths = asked.unionAll(refs("file_path_refs")).distinct().join(files.distinct(), "matched_text").select("from_id", "to_id", "matched_text")
+    both = code.join(files.select("to_id"), "to_id", "left_semi").join(asked, "matched_text").select("from_id", "to_id").distinct()
+    found = named.unionByName(several).withColumn("match_type", F.lit("inline_code"))
+    return found.unionByName(paths.join(both, ["from_id", "to_id"], "left_anti").withColumn("match_type", F.lit("file_path"))).select("from_id", "to_id", "match_type", "matched_text")
 
 
 def affected(edges: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -92,7 +99,16 @@ def relink(hit: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     still there and the edge isn't; each once."""
     alive = hit.join(nodes.where("entity_type = 'Section'").select(F.col("id").alias("section")), "section", "left_semi")
     code = nodes.where("label = 'Entity' and entity_type in ('Function', 'Class')").select(F.col("id").alias("to_id"), F.col("name").alias("matched_text"))
-    there = edges.where("relationship = 'REFERENCES'").select(F.col("from_id").alias("section"), "to_id")
-    new = alive.join(code, "matched_text").join(there, ["section", "to_id"], "left_anti").dropDuplicates(["section", "to_id"])
+    # targets go as sets of a section and of a name, dealt in parts, so that no pair is sorted or shuffled as a row
+    parts = F.pmod(F.xxhash64("to_id"), F.lit(PARTS)).cast("int").alias("part")
+    names = code.groupBy("matched_text", parts).agg(F.collect_set("to_id").alias("named"))
+    there = edges.where("relationship = 'REFERENCES'").select(F.col("from_id").alias("section"), "to_id").groupBy("section", parts).agg(F.collect_set("to_id").alias("there"))
+    several = code.groupBy("to_id").agg(F.countDistinct("matched_text").alias("names")).where("names > 1").select("to_id")
+    several = F.broadcast(several) if several.limit(MOST_SHARED + 1).count() <= MOST_SHARED else several
+    sets = alive.distinct().join(names, "matched_text").join(there, ["section", "part"], "left")
+    left = F.when(F.col("there").isNull(), F.col("named")).otherwise(F.array_except("named", "there"))
+    new = sets.select("section", "matched_text", F.explode(left).alias("to_id"))
+    shared = new.join(several, "to_id", "left_semi").groupBy("section", "to_id").agg(F.min("matched_text").alias("matched_text"))
+    new = new.join(several, "to_id", "left_anti").unionByName(shared)
     properties = F.to_json(F.struct(F.lit("inline_code").alias("match_type"), "matched_text", F.lit(True).alias("relinked")))
     return new.select(F.col("section").alias("from_id"), "to_id", F.lit("REFERENCES").alias("relationship"), properties.alias("properties"))
