@@ -58,7 +58,9 @@ def notes(graph: Graph, limit: int = 5) -> DataFrame:
     """(workspace, id, content, created_at): the newest notes of active workspaces."""
     links = graph.edges.where("relationship = 'HAS_SCRATCHPAD'").join(active(graph).select(F.col("id").alias("from_id")), "from_id", "left_semi")
     pads = graph.nodes.where("label = 'Scratchpad'").select(F.col("id").alias("to_id"), "content", "created_at")
-    found = links.select("from_id", "to_id").distinct().join(pads, "to_id")
+    # the first pairs are of the first notes that have any, so only these meet their workspaces
+    newest = F.broadcast(pads.join(links.select("to_id").distinct(), "to_id").orderBy(F.desc("created_at"), "to_id").limit(limit))
+    found = links.select("from_id", "to_id").join(newest.select("to_id"), "to_id", "left_semi").distinct().join(newest, "to_id")
     return found.select(F.col("from_id").alias("workspace"), F.col("to_id").alias("id"), "content", "created_at").orderBy(F.desc("created_at"), "id", "workspace").limit(limit)
 
 

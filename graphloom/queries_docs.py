@@ -203,7 +203,9 @@ def _space(s: SparkSession, d: str) -> Graph:
     spaces = g.nodes.where("label = 'Workspace'").select("id", F.expr("cast(substring(id, 2) as int)").alias("k"))
     pads = g.nodes.where("label = 'Scratchpad'").select(F.col("id").alias("to_id"), F.expr("cast(substring(id, 2) as int)").alias("p"))
     none = [F.lit("{}").alias("properties"), F.lit(0).cast("bigint").alias("seq")]
-    to_notes = spaces.join(pads, F.col("k") % 3 == F.col("p") % 3).select(F.col("id").alias("from_id"), "to_id", F.lit("HAS_SCRATCHPAD").alias("relationship"), *none)
+    # all pairs of three classes: notes are dealt in parts that each workspace meets, so that no task holds a class
+    dealt, met = pads.withColumn("part", F.pmod(F.xxhash64("to_id"), F.lit(workspace.PARTS)).cast("int")), spaces.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(workspace.PARTS - 1))))
+    to_notes = met.join(dealt, (met["k"] % 3 == dealt["p"] % 3) & (met["part"] == dealt["part"])).select(F.col("id").alias("from_id"), "to_id", F.lit("HAS_SCRATCHPAD").alias("relationship"), *none)
     inside = g.nodes.where("entity_type = 'User'").select(F.col("id").alias("from_id"), F.lit("src/users.py").alias("to_id"), F.lit("DECLARED_IN").alias("relationship"), *none)
     return Graph(g.nodes, to_notes.unionAll(inside))
 

@@ -4,8 +4,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from graphloom.operators import bm25, dense
+from graphloom.operators import bm25, dense, markdown, workspace
 from graphloom.operators.index import TextIndex
+from graphloom.plans.graph import Graph
 
 
 def test_hits_of_a_common_word_are_no_rows():
@@ -77,3 +78,35 @@ def test_products_are_held_in_slices(monkeypatch):
     side = {"vec": pa.array(list(vecs), pa.list_(pa.float64()))}
     got = dense._top_of_block(pa.table({"query_id": range(9000), **side}).slice(0, 600), pa.table({"id": range(9000), **side}), 3)
     assert got.num_rows == 1800 and max(most) < 512 * 40
+
+
+def test_references_by_a_common_name(spark):
+    """Pairs of references and targets are neither sorted nor gathered; those of shared ids come once."""
+    parsed = spark.createDataFrame([(f"d{k}", ["same", "other"], ["f.py"]) for k in range(40)], "id string, inline_code_refs array<string>, file_path_refs array<string>")
+    nodes = [(f"x{k}", "Entity", "Function", "same") for k in range(30)] + [("two", "Entity", "Class", "same"), ("two", "Entity", "Function", "other"), ("f.py", "Entity", "File", "f.py"), ("f.py", "Entity", "Function", "other")]
+    nodes = spark.createDataFrame(nodes, "id string, label string, entity_type string, name string")
+    got = markdown.resolve(parsed, nodes)
+    want = {(f"d{k}", t, "inline_code", n) for k in range(40) for t, n in [(f"x{j}", "same") for j in range(30)] + [("two", "other"), ("f.py", "other")]}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_relinked_by_a_common_name(spark):
+    nodes = spark.createDataFrame([(f"x{k}", "Entity", "Function", "same") for k in range(40)] + [("s", "Entity", "Section", ""), ("x0", "Entity", "Class", "also")], "id string, label string, entity_type string, name string")
+    hit = spark.createDataFrame([("s", "same"), ("s", "also"), ("gone", "same"), ("s", "same")], "section string, matched_text string")
+    edges = spark.createDataFrame([("s", f"x{k}", "REFERENCES") for k in range(1, 30)], "from_id string, to_id string, relationship string")
+    got = markdown.relink(hit, nodes, edges)
+    assert sorted((r.from_id, r.to_id) for r in got.collect()) == sorted(("s", f"x{k}") for k in [0, *range(30, 40)])
+    assert "collect_set" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_newest_notes_before_pairs(spark):
+    nodes = [(f"w{k}", "Workspace", "active" if k else "inactive", None) for k in range(30)] + [(f"n{k}", "Scratchpad", None, k // 2) for k in range(50)]
+    edges = [(f"w{k}", f"n{j}", "HAS_SCRATCHPAD", 0) for k in range(30) for j in range(48) if j % 9 or not k]
+    nodes = spark.createDataFrame(nodes, "id string, label string, status string, created_at long").withColumn("content", F.col("id"))
+    g = Graph(nodes, spark.createDataFrame(edges, "from_id string, to_id string, relationship string, seq long"))
+    got = workspace.notes(g, 3)
+    assert [tuple(r)[:2] for r in got.collect()] == [(f"w{k}", "n46") for k in (1, 10, 11)]
+    # pairs are met by the newest notes alone
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("GlobalLimit 3") >= 3
