@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.folders import written
+
 DECLARATIONS = "path string, id string, entity_type string, name string, line int, place int, source_text string"
 REFERENCES = "path string, kind string, name string, line int, col int, enclosing string"
 
@@ -188,24 +190,52 @@ def asked(refs: DataFrame) -> DataFrame:
     return refs.select("path", "kind", last.alias("name"), sender.alias("from_id")).distinct()
 
 
-def nearest(refs: DataFrame, declared: DataFrame) -> DataFrame:
-    """(path, kind, name, from_id, to_id) of `refs` that one declaration (id, name, path) answers.
+def _folder(path: Column) -> Column:
+    return F.regexp_replace(path, "[^/]*$", "")
+
+
+#: Declarations of a name that references meet in one row.
+FEW = 64
 
-    The nearest counts: of the same file, else of the same folder, else any; where the nearest are
-    several, a reference has no answer. Declarations are brought to one row a name and place
-    first, so a common name never meets all its declarations.
-    """
 
-    def folder(path: str) -> Column:
-        return F.regexp_replace(path, "[^/]*$", "")
+def answered(refs: DataFrame, declared: DataFrame, **more: Column) -> DataFrame:
+    """`refs` (path, kind, name, from_id) with to_id of the declaration (id, name, path) that answers each, else
+    null, and with `more`, columns of `refs` by name. It is written.
 
-    known = declared.select("name", F.col("path").alias("near_0"), folder("path").alias("near_1"), F.lit("").alias("near_2"), "id")
-    found = refs.select("path", "kind", "name", "from_id").withColumns({"near_0": F.col("path"), "near_1": folder("path"), "near_2": F.lit("")})
+    The nearest counts: of the same file, else of the same folder, else any; where the nearest are
+    several, a reference has no answer. References are dealt by name once, and each meets its name's
+    declarations as one row. A name that has more than a few is looked up by place (`_by_place`) instead, so
+    that a common one never meets all its declarations.
+    """
+    first = declared.select("id", "name", "path").withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("id"))).where(F.col("k") <= FEW + 1)
+    rows = first.groupBy("name").agg(F.collect_list(F.struct("path", _folder(F.col("path")).alias("folder"), "id")).alias("all"))
+    asking = refs.select("path", "kind", "name", "from_id", *[c.alias(k) for k, c in more.items()], _folder(F.col("path")).alias("folder")).join(rows, "name", "left")
+    same_file, same_folder = F.filter("all", lambda x: x["path"] == F.col("path")), F.filter("all", lambda x: x["folder"] == F.col("folder"))
+    near = F.when(F.size(same_file) > 0, same_file).when(F.size(same_folder) > 0, same_folder).otherwise(F.col("all"))["id"]
+    many = F.coalesce(F.size("all") > FEW, F.lit(False))
+    kept = ["path", "kind", "name", "from_id", *more]
+    found = asking.select(*kept, "all", F.inline(F.array(F.struct(many.alias("many"), F.when(~many, near).alias("near")))))
+    out = written(found.select(*kept, F.when(F.array_min("near") == F.array_max("near"), F.array_min("near")).alias("to_id"), "many"), "answered")
+    rest = out.where("many")
+    few = out.where("not many").drop("many")
+    return few if rest.isEmpty() else written(few.unionByName(_by_place(rest.select(*kept), declared)), "answered")
+
+
+def _by_place(refs: DataFrame, declared: DataFrame) -> DataFrame:
+    """`refs` with to_id; declarations are brought to one row a name and place first."""
+    names = refs.select("name").distinct()
+    known = declared.join(names, "name", "left_semi").select("name", F.col("path").alias("near_0"), _folder(F.col("path")).alias("near_1"), F.lit("").alias("near_2"), "id")
+    found = refs.withColumns({"near_0": F.col("path"), "near_1": _folder(F.col("path")), "near_2": F.lit("")})
     for level in range(3):
         near, least, most = (f"{x}_{level}" for x in ("near", "least", "most"))
         found = found.join(known.groupBy("name", near).agg(F.min("id").alias(least), F.max("id").alias(most)), ["name", near], "left")
     least, most = (F.coalesce(*[F.col(f"{x}_{level}") for level in range(3)]) for x in ("least", "most"))
-    return found.where(least == most).select("path", "kind", "name", "from_id", least.alias("to_id"))
+    return found.select(*refs.columns, F.when(least == most, least).alias("to_id"))
+
+
+def nearest(refs: DataFrame, declared: DataFrame) -> DataFrame:
+    """(path, kind, name, from_id, to_id) of `refs` that are `answered`."""
+    return answered(refs, declared).where("to_id is not null")
 
 
 def links(found: DataFrame) -> DataFrame:

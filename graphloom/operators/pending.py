@@ -14,31 +14,37 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import code
 from graphloom.plans.graph import Graph
-from graphloom.sources.folders import delete, file_system, written
+from graphloom.sources.folders import delete, file_system
 from graphloom.sources.log import moved
 
 QUEUE = "path string, kind string, name string, from_id string"
 _KEY = ("path", "kind", "name", "from_id")
+#: Files of a batch that are broadcast to what waits; more meet it by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def step(queue: DataFrame, refs: DataFrame, linked: DataFrame, declared: DataFrame, changed: DataFrame, gone: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(answered, queue after) of a batch; what is answered is written, as both need it.
+    """(answered, queue after) of a batch, both of one table that is written.
 
-    queue: what waits. refs: references of the files taken in, as `code.asked` has them. linked: `QUEUE`
+    queue: what waits, each once. refs: references of the files taken in, as `code.asked` has them. linked: `QUEUE`
     and to_id of references that are linked. declared: (id, name, path) of all there is after the
     batch. changed: (name) of what the batch declares or removes. gone: (id) of what it removes. taken:
     (path) of its files, whose earlier references are void. answered: `QUEUE` and to_id.
 
-    Only references under a changed name are tried again: any other's answer is what it was.
+    Only references under a changed name are tried again: any other's answer is what it was. All are dealt
+    by name once, to meet their names' declarations and changes there.
     """
-    names = changed.select("name").distinct()
-    waiting = queue.select(*_KEY).join(taken.select("path"), "path", "left_anti")
-    back = linked.join(gone.select(F.col("id").alias("to_id")), "to_id", "left_semi").join(taken.select("path"), "path", "left_anti")
-    tried = refs.select(*_KEY).unionByName(back.select(*_KEY)).unionByName(waiting.join(names, "name", "left_semi").select(*_KEY)).distinct()
-    tried = written(tried, "tried")
-    found = written(code.nearest(tried, declared), "answered")
-    asleep = waiting.join(names, "name", "left_anti").select(*_KEY)
-    return found, asleep.unionByName(tried.join(found.select(*_KEY), [*_KEY], "left_anti").select(*_KEY)).distinct()
+    files = taken.select("path").distinct()
+    files = F.broadcast(files) if files.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else files
+    waiting = queue.select(*_KEY).join(files, "path", "left_anti")
+    back = linked.join(gone.select(F.col("id").alias("to_id")), "to_id", "left_semi").select(*_KEY).distinct().join(files, "path", "left_anti")
+    asking = refs.select(*_KEY).unionByName(back.join(waiting, [*_KEY], "left_anti"))
+    every = asking.withColumn("waits", F.lit(False)).unionByName(waiting.withColumn("waits", F.lit(True)))
+    names = changed.select("name").distinct().withColumn("changed", F.lit(True))
+    tried = every.join(names, "name", "left")
+    out = code.answered(tried, declared, asleep=F.col("waits") & F.col("changed").isNull())
+    found = F.col("to_id").isNotNull() & ~F.col("asleep")
+    return out.where(found).select(*_KEY, "to_id"), out.where(~found).select(*_KEY)
 
 
 def linked(graph: Graph, ends: DataFrame) -> DataFrame:

@@ -213,8 +213,9 @@ def _across_batches(s: SparkSession, d: str) -> DataFrame:
     lines = demo.table(s, d, "lineitem")
     name = F.concat(F.lit("part_"), F.col("l_partkey").cast("string"))
     maker, asker = (F.concat(F.lit(p), F.col(c).cast("string"), F.lit(".py")) for p, c in (("made/s", "l_suppkey"), ("used/o", "l_orderkey")))
-    declared = written(lines.select((F.col("l_suppkey") % 3).alias("third"), F.concat(maker, F.lit(":"), name).alias("id"), name.alias("name"), maker.alias("path")).distinct(), "declared")
-    refs = written(lines.select(asker.alias("path"), F.lit("CALLS").alias("kind"), name.alias("name"), F.concat(asker, F.lit(":run")).alias("from_id")).distinct(), "refs")
+    made, used = lines.select("l_suppkey", "l_partkey").distinct(), lines.select("l_orderkey", "l_partkey").distinct()
+    declared = written(made.select((F.col("l_suppkey") % 3).alias("third"), F.concat(maker, F.lit(":"), name).alias("id"), name.alias("name"), maker.alias("path")), "declared")
+    refs = written(used.select(asker.alias("path"), F.lit("CALLS").alias("kind"), name.alias("name"), F.concat(asker, F.lit(":run")).alias("from_id")), "refs")
     none = s.createDataFrame([], pending.QUEUE)
     queue, links = none, none.withColumn("to_id", F.lit(None).cast("string"))
     for batch in range(3):
@@ -225,7 +226,7 @@ def _across_batches(s: SparkSession, d: str) -> DataFrame:
         asked = refs if batch == 0 else none
         found, queue = pending.step(queue, asked, links, known, changed, gone.select("id"), taken)
         kept = links.join(gone.select(F.col("id").alias("to_id")), "to_id", "left_anti")
-        links, queue = written(kept.unionByName(found), "links"), written(queue, "queue")
+        links = kept.unionByName(found)
     return links.select("from_id", "name", "to_id").unionAll(queue.select("from_id", "name", F.lit(None).cast("string")))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from graphloom.operators import bm25, dense, markdown, workspace
+from graphloom.operators import bm25, code, dense, markdown, pending, workspace
 from graphloom.operators.index import TextIndex
 from graphloom.plans.graph import Graph
 
@@ -110,3 +110,32 @@ def test_newest_notes_before_pairs(spark):
     assert [tuple(r)[:2] for r in got.collect()] == [(f"w{k}", "n46") for k in (1, 10, 11)]
     # pairs are met by the newest notes alone
     assert got._jdf.queryExecution().optimizedPlan().toString().count("GlobalLimit 3") >= 3
+
+
+def test_references_are_dealt_once(spark, monkeypatch):
+    """A batch shuffles what it tries by name alone, and a common name's declarations are no row."""
+    plans = []
+    keep = code.written
+    monkeypatch.setattr(code, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    monkeypatch.setattr(code, "FEW", 3)
+    decl = [(f"a/{k}.py:f", "f", f"a/{k}.py") for k in range(6)] + [("b/x.py:f", "f", "b/x.py"), ("b/x.py:g", "g", "b/x.py"), ("a/1.py:g", "g", "a/1.py"), ("b/x.py:h", "h", "b/x.py")]
+    declared = spark.createDataFrame(decl, "id string, name string, path string")
+    refs = [(p, "CALLS", n, f"{p}:run") for p in ("a/1.py", "b/y.py", "c/z.py", "a/9.py") for n in "fghi"]
+    none = spark.createDataFrame([], pending.QUEUE)
+    queue = spark.createDataFrame([("c/q.py", "CALLS", n, "c/q.py") for n in "ghz"] + [("a/1.py", "CALLS", "h", "a/1.py")], pending.QUEUE)
+    linked = spark.createDataFrame([("c/w.py", "CALLS", "h", "c/w.py", "gone"), ("c/q.py", "CALLS", "z", "c/q.py", "gone")], f"{pending.QUEUE}, to_id string")
+    changed, gone, taken = (spark.createDataFrame(r, t) for r, t in (([("f",), ("h",), ("i",)], "name string"), ([("gone",)], "id string"), ([("a/1.py",)], "path string")))
+    monkeypatch.setattr(pending, "BROADCAST_ROWS", 0)
+    found, left = pending.step(queue, spark.createDataFrame(refs, pending.QUEUE).unionByName(none), linked, declared, changed, gone, taken)
+    tried = refs + [("c/w.py", "CALLS", "h", "c/w.py"), ("c/q.py", "CALLS", "h", "c/q.py")]
+    want = {}
+    for path, kind, name, sender in tried:
+        of = [d for d in decl if d[1] == name]
+        folder = path.rpartition("/")[0]
+        near = [d for d in of if d[2] == path] or [d for d in of if d[2].rpartition("/")[0] == folder] or of
+        want[path, kind, name, sender] = near[0][0] if len(near) == 1 else None
+    rows = [tuple(r) for r in found.collect()]
+    assert sorted(rows) == sorted((*k, v) for k, v in want.items() if v)
+    asleep = [("c/q.py", "CALLS", "g", "c/q.py"), ("c/q.py", "CALLS", "z", "c/q.py")]
+    assert sorted(tuple(r) for r in left.collect()) == sorted([k for k, v in want.items() if not v] + asleep)
+    assert "WindowGroupLimit" in plans[0].split("Initial Plan")[-1]
