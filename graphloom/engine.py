@@ -136,7 +136,7 @@ class Engine:
                 nodes = graph.nodes.join(ids, "id", "left_semi")
             else:
                 nodes, ids = graph.nodes, graph.nodes.select("id").unionAll(kept.held().toDF("id")).distinct()
-            kept.change(make(nodes), ids.select(F.col("id").alias(key)), mark)
+            kept.change(written(make(nodes), "indexed"), ids.select(F.col("id").alias(key)), mark)
         return text, vectors
 
     def open_workspace(self, name: str, description: str, now: int) -> None:

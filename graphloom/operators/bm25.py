@@ -19,6 +19,8 @@ from graphloom.sources.folders import work_folder, written
 #: Saturation, length normalisation, weights of fields.
 K1, B = 1.2, 0.75
 WEIGHTS = {"name": 3.0, "doc": 2.0, "content": 1.0}
+#: Bytes of texts that a task takes apart, on average.
+PART_BYTES = 4_000_000
 
 
 def measured(texts: DataFrame) -> DataFrame:
@@ -26,9 +28,12 @@ def measured(texts: DataFrame) -> DataFrame:
 
     Texts are dealt by document before they are taken apart, so tokens are counted where they are and never
     shuffled. They are counted before they are stemmed, so that stems are worked out once for each
-    distinct token of a document; stems don't change lengths.
+    distinct token of a document; stems don't change lengths. Parts follow the texts' bytes, which are summed
+    up first, as a task holds a row for each distinct token of its documents.
     """
-    dealt = texts.select("field", "doc_id", "text").repartition("field", "doc_id").select("field", "doc_id", raw_tokens(F.col("text")).alias("raw"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    dealt = texts.select("field", "doc_id", "text").repartition(parts, "field", "doc_id").select("field", "doc_id", raw_tokens(F.col("text")).alias("raw"))
     sized = dealt.withColumn("dl", F.sum(F.size("raw").cast("long")).over(Window.partitionBy("field", "doc_id")))
     counted = sized.select("field", "doc_id", "dl", F.explode("raw").alias("raw")).groupBy("field", "doc_id", "dl", "raw").agg(F.count("*").alias("n"))
     return counted.groupBy("field", "doc_id", "dl", stem(F.col("raw")).alias("token")).agg(F.sum("n").alias("tf")).select("field", "doc_id", "token", "tf", "dl")

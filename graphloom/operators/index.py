@@ -127,7 +127,7 @@ class TextIndex(Kept):
         size does not depend on how many there are."""
         gen, path = self._next(), work_folder(self.spark, "postings")
         before = self._alive(self._get("lengths")).join(keys, "doc_id", "left_semi")
-        post.withColumn("bucket", _bucket()).write.parquet(path)
+        post.withColumn("bucket", _bucket()).write.option("compression", "zstd").parquet(path)
         held = self.spark.read.schema(self.tables["postings"]).parquet(path)
         parts = 1 + held.count() // (BUCKETS * PART_ROWS)
         part = F.col("bucket") * parts + F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")

@@ -139,3 +139,10 @@ def test_references_are_dealt_once(spark, monkeypatch):
     asleep = [("c/q.py", "CALLS", "g", "c/q.py"), ("c/q.py", "CALLS", "z", "c/q.py")]
     assert sorted(tuple(r) for r in left.collect()) == sorted([k for k, v in want.items() if not v] + asleep)
     assert "WindowGroupLimit" in plans[0].split("Initial Plan")[-1]
+
+
+def test_parts_of_texts_follow_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "PART_BYTES", 100)
+    texts = spark.createDataFrame([(f"d{k}", "content", "word " * 20) for k in range(60)], "doc_id string, field string, text string")
+    post = bm25.measured(texts)
+    assert post.rdd.getNumPartitions() == 60 and [tuple(r) for r in post.select("tf", "dl").distinct().collect()] == [(20, 20)]
