@@ -9,6 +9,8 @@ from graphloom.plans.graph import Graph
 
 #: Users whose id the log's links wrap around.
 USERS = 150
+#: Line items whose pairs a task makes distinct, on average.
+PART_LINES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +64,9 @@ def star_graph(spark: SparkSession, sf_dir: str, distinct: bool = True) -> Graph
     lines = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey")
     calls, imports = lines.select("l_orderkey", "l_partkey"), lines.select("l_partkey", "l_suppkey")
     if distinct:
-        calls, imports = calls.distinct(), imports.distinct()
+        # in parts of about the same size, however many lines there are: an adaptive plan would make them one a core
+        parts = max(spark.sparkContext.defaultParallelism, -(-lines.count() // PART_LINES))
+        calls, imports = (pairs.repartition(parts, *pairs.columns).distinct() for pairs in (calls, imports))
     edges = [
         _edges(t["nation"], _id("nation", "n_nationkey"), _id("region", "n_regionkey"), "DECLARED_IN"),
         _edges(t["customer"], _id("customer", "c_custkey"), _id("nation", "c_nationkey"), "DECLARED_IN"),

@@ -2,10 +2,12 @@
 
 import numpy as np
 import pyarrow as pa
+from conftest import SF
 from pyspark.sql import functions as F
 
 from graphloom.operators import bm25, code, dense, markdown, pending, workspace
 from graphloom.operators.index import TextIndex
+from graphloom.plans import demo
 from graphloom.plans.graph import Graph
 
 
@@ -146,3 +148,9 @@ def test_parts_of_texts_follow_their_bytes(spark, monkeypatch):
     texts = spark.createDataFrame([(f"d{k}", "content", "word " * 20) for k in range(60)], "doc_id string, field string, text string")
     post = bm25.measured(texts)
     assert post.rdd.getNumPartitions() == 60 and [tuple(r) for r in post.select("tf", "dl").distinct().collect()] == [(20, 20)]
+
+
+def test_pairs_are_made_distinct_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(demo, "PART_LINES", 500)
+    plan = demo.star_graph(spark, SF).edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("REPARTITION_BY_NUM") == 2
