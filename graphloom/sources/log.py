@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.plans.schema import LOG
-from graphloom.sources.folders import file_system, read_text, write_text
+from graphloom.sources.folders import file_system, read_text, write_text, written
 
 VERSION = 1
 _PAYLOAD = ("id", "label", "from_id", "to_id", "relationship", "direction")
@@ -125,13 +125,13 @@ def read(spark: SparkSession, path: str, listed: Listing | None = None, after: i
     after number `after` only, ranked from `first` on.
 
     seq is by file name and then by place in the file, batches behind other files. A missing path is
-    an empty log.
+    an empty log. Lines are parsed at once and written as events, as a fold reads them several times.
     """
     paths = (listed or listing(spark, path)).paths(after)
     if not paths:
         return spark.createDataFrame([], LOG)
     lines = spark.read.option("recursiveFileLookup", True).text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    return parse(placed(lines, first))
+    return written(parse(placed(lines, first)), "events")
 
 
 def to_json(log: DataFrame) -> DataFrame:

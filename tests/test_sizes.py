@@ -9,6 +9,7 @@ from graphloom.operators import bm25, code, dense, markdown, pending, workspace
 from graphloom.operators.index import TextIndex
 from graphloom.plans import demo
 from graphloom.plans.graph import Graph
+from graphloom.sources import log as logs
 
 
 def test_hits_of_a_common_word_are_no_rows():
@@ -154,3 +155,9 @@ def test_pairs_are_made_distinct_in_parts(spark, monkeypatch):
     monkeypatch.setattr(demo, "PART_LINES", 500)
     plan = demo.star_graph(spark, SF).edges._jdf.queryExecution().executedPlan().toString()
     assert plan.split("Initial Plan")[-1].count("REPARTITION_BY_NUM") == 2
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    logs.append(spark.range(5).select(*logs.event("DELETE_NODE", F.col("id"), id=F.lit("a"))), str(tmp_path / "log"))
+    log = logs.read(spark, str(tmp_path / "log"))
+    assert log.count() == 5 and "parse_json" not in log._jdf.queryExecution().optimizedPlan().toString()
