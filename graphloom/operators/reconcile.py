@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import content_hash
-from graphloom.operators import code, markdown, pending
+from graphloom.operators import bm25, code, markdown, pending
 from graphloom.plans.graph import Graph
 from graphloom.sources.folders import written
 
@@ -57,10 +57,11 @@ def work(files: DataFrame, graph: Graph, now_ms: int, queue: DataFrame, first_se
     that comes with them. References of other documents to what was deleted are restored by name.
     Of declarations of one file that share a name the last counts. seq starts at `first_seq` and has gaps; rows that are equal share one.
     """
-    full = files.where("content is not null and trim(content) <> ''")
+    full = bm25.spread(files.where("content is not null and trim(content) <> ''"))
     names = graph.nodes.select("id", "name")
     gone = written(deletions(files, graph).join(names, "id", "left"), "gone")
-    decl, parsed = code.declarations(full), markdown.parse(full)
+    # files are parsed once, on all cores
+    decl, parsed = written(code.declarations(full), "declarations"), written(markdown.parse(full), "sections")
     stamp = F.lit(now_ms)
     file_props = F.to_json(F.struct(F.element_at(F.split("path", "/"), -1).alias("name"), F.lit("File").alias("entity_type"), F.lit("active").alias("status"), stamp.alias("last_modified"), F.to_json(F.struct(content_hash(F.col("content")).alias("hash"))).alias("metadata")))
     decl_props = F.to_json(F.struct("name", "entity_type", F.lit("active").alias("status"), stamp.alias("last_modified"), F.col("source_text").alias("content"), F.to_json(F.struct("line")).alias("metadata")))
@@ -72,6 +73,7 @@ def work(files: DataFrame, graph: Graph, now_ms: int, queue: DataFrame, first_se
     # of one id the last declaration, as the log's fold will have it
     every = kept.withColumn("place", F.lit(-2)).unionAll(new)
     nodes = every.groupBy("id").agg(F.max(F.struct("place", "label", "entity_type", "name")).alias("n")).select("id", "n.label", "n.entity_type", "n.name")
+    nodes = written(nodes, "names")
     known = nodes.where("entity_type in ('Function', 'Class')").select("id", "name", F.substring_index("id", ":", 1).alias("path"))
     refs_asked = written(code.asked(code.references(full)), "references")
     changed = gone.where("name is not null").select("name").unionAll(decl.select("name"))

@@ -5,10 +5,11 @@ import pyarrow as pa
 from conftest import SF
 from pyspark.sql import functions as F
 
-from graphloom.operators import bm25, code, dense, markdown, pending, workspace
+from graphloom.operators import bm25, code, dense, markdown, pending, reconcile, state, workspace
 from graphloom.operators.index import TextIndex
 from graphloom.plans import demo
 from graphloom.plans.graph import Graph
+from graphloom.plans.schema import LOG
 from graphloom.sources import log as logs
 
 
@@ -161,3 +162,15 @@ def test_lines_are_parsed_once(spark, tmp_path):
     logs.append(spark.range(5).select(*logs.event("DELETE_NODE", F.col("id"), id=F.lit("a"))), str(tmp_path / "log"))
     log = logs.read(spark, str(tmp_path / "log"))
     assert log.count() == 5 and "parse_json" not in log._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_are_parsed_once_on_all_cores(spark, monkeypatch):
+    parts = {}
+    keep = reconcile.written
+    monkeypatch.setattr(reconcile, "written", lambda df, name: parts.update({name: df.rdd.getNumPartitions()}) or keep(df, name))
+    files = spark.createDataFrame([(f"{k}.py", f"def f{k}():\n    return f0()\n") for k in range(9)], "path string, content string").coalesce(1)
+    batch = reconcile.events(files, state.fold(spark.createDataFrame([], LOG)), 1000)
+    assert parts["declarations"] == spark.sparkContext.defaultParallelism
+    links = batch.where("relationship = 'CALLS'").select("from_id", "to_id").collect()
+    assert sorted(map(tuple, links)) == [(f"{k}.py:f{k}", "0.py:f0") for k in range(9)]
+    assert "MapInPandas" not in batch._jdf.queryExecution().optimizedPlan().toString()
