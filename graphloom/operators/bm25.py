@@ -83,7 +83,7 @@ def of_postings(post: DataFrame) -> Source:
 def of_texts(texts: DataFrame) -> Source:
     """Straight from texts (doc_id, field, text), in one pass over them: stems don't change lengths,
     and no rule of stemming touches a word's first two letters, so only words that begin like a term
-    are kept and stemmed. What is kept is written to the shared folder."""
+    are kept and stemmed. What is kept is written to the shared folder, and so are hits, which are counted and scored."""
 
     def source(asked: dict[str, int]) -> tuple[DataFrame, DataFrame]:
         spark, path = texts.sparkSession, work_folder(texts.sparkSession, "tokens")
@@ -95,7 +95,8 @@ def of_texts(texts: DataFrame) -> Source:
         found = kept.select("field", "doc_id", F.explode("raw").alias("raw")).groupBy("field", "doc_id", "raw").agg(F.count("*").alias("n"))
         stemmed = found.select("field", "doc_id", stem(F.col("raw")).alias("token"), "n").where(F.col("token").isin(*asked))
         length = kept.groupBy("field", "doc_id").agg(F.sum("n").alias("dl"))
-        return stats(length), stemmed.groupBy("field", "doc_id", "token").agg(F.sum("n").alias("tf")).join(length, ["field", "doc_id"])
+        hits = stemmed.groupBy("field", "doc_id", "token").agg(F.sum("n").alias("tf")).join(length, ["field", "doc_id"])
+        return stats(length), written(hits, "hits")
 
     return source
 

@@ -174,3 +174,10 @@ def test_files_are_parsed_once_on_all_cores(spark, monkeypatch):
     links = batch.where("relationship = 'CALLS'").select("from_id", "to_id").collect()
     assert sorted(map(tuple, links)) == [(f"{k}.py:f{k}", "0.py:f0") for k in range(9)]
     assert "MapInPandas" not in batch._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hits_are_worked_out_once(spark):
+    texts = spark.createDataFrame([("a", "content", "things thing red"), ("b", "content", "thing"), ("c", "name", "blue")], "doc_id string, field string, text string")
+    corpus, hits = bm25.of_texts(texts)({"thing": 1})
+    assert sorted(tuple(r) for r in hits.select("doc_id", "token", "tf", "dl").collect()) == [("a", "thing", 2, 3), ("b", "thing", 1, 1)]
+    assert "Generate" not in hits._jdf.queryExecution().optimizedPlan().toString() and corpus.count() == 2
