@@ -72,6 +72,16 @@ def raw_tokens(text: Column) -> Column:
     return F.transform(bare, F.lower)
 
 
+#: Where `split_camel` sets a blank: both sides belong to tokens, so that each is one token more.
+_CAMEL = r"\p{Lu}(?=\p{Lu}\p{Ll})|[\p{Ll}0-9](?=\p{Lu})"
+
+
+def token_count(text: Column) -> Column:
+    """How many `raw_tokens` a text has, without cutting it: what stands between white space and `_` and holds a letter or digit, and each change of case."""
+    text = F.coalesce(text, F.lit(""))
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}][^\s\p{Z}_]*+")) + F.regexp_count(text, F.lit(_CAMEL))
+
+
 def tokens(text: Column) -> Column:
     """Stemmed tokens of a text, in order, repeats kept."""
     return stems(raw_tokens(text))

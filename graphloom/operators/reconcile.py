@@ -57,7 +57,7 @@ def work(files: DataFrame, graph: Graph, now_ms: int, queue: DataFrame, first_se
     that comes with them. References of other documents to what was deleted are restored by name.
     Of declarations of one file that share a name the last counts. seq starts at `first_seq` and has gaps; rows that are equal share one.
     """
-    full = bm25.spread(files.where("content is not null and trim(content) <> ''"))
+    full = bm25.spread(files.where("content is not null and trim(content) <> ''"), "content", "path")
     names = graph.nodes.select("id", "name")
     gone = written(deletions(files, graph).join(names, "id", "left"), "gone")
     # files are parsed once, on all cores

@@ -49,6 +49,30 @@ def test_lengths_need_no_postings(spark):
     assert bm25.text_lengths(texts).exceptAll(bm25.lengths(bm25.postings(texts))).count() == 0
 
 
+def test_texts_of_one_row_group_are_dealt(spark, tmp_path):
+    """A file's splits are many, and the rows of its only row group all lie in one of them."""
+    rows = spark.range(400).selectExpr("concat('d', id) as doc_id", "'content' as field", "repeat(sha2(string(id), 512), 20) as text")
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows.repartition(8).write.parquet(str(tmp_path / "even"))
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        one = spark.read.parquet(str(tmp_path / "one"))
+        assert one.rdd.getNumPartitions() > 4 and max(one.rdd.glom().map(len).collect()) == 400
+        dealt = bm25.spread(one, "text", "field", "doc_id")
+        assert max(dealt.rdd.glom().map(len).collect()) < 200 and dealt.exceptAll(one).count() == 0
+        got = bm25.text_lengths(one)
+        # counted once, where texts have been dealt
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("[^\\s") == 1
+        assert got.count() == 400 and got.exceptAll(bm25.lengths(bm25.postings(one))).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+    even = spark.read.parquet(str(tmp_path / "even"))
+    assert bm25.spread(even, "text", "doc_id") is even
+    none = even.where("doc_id is null")
+    assert bm25.spread(none, "text", "doc_id") is none
+
+
 def test_parts_of_a_bucket_follow_its_size(spark, tmp_path, monkeypatch):
     from graphloom.operators import index as kept
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +46,13 @@ def test_tokens(spark):
     assert [words(t) for t in TOKENS] == want
 
 
+def test_tokens_are_counted_as_they_are_cut(spark):
+    """Capitals, digits, marks and blanks of all kinds, and letters beyond 16 bits, in any order."""
+    rng, signs = random.Random(5), "aabBC\u01c5\u00df1\u0663\u00b2\u2163\u0301__ .-\t\n\x0b\x1c\x85\u00a0\u2028\u3000\u6f6e\U00010400\U00010428\U0001d7d8\U0001f600"
+    texts = [*TOKENS, None, *("".join(rng.choices(signs, k=rng.randrange(1, 40))) for _ in range(3000))]
+    assert column(spark, texts, fn.token_count) == column(spark, texts, lambda x: F.size(fn.raw_tokens(x)))
+
+
 def test_stems(spark):
     cases = [(w, s) for s, ws in STEMS.items() for w in ws.split()] + [(w, w) for w in SAME]
     assert column(spark, [w for w, _ in cases], fn.stem) == [s for _, s in cases]
